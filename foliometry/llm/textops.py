@@ -14,7 +14,7 @@ import pyarrow as pa
 
 _RNG = np.random.default_rng(20240229)
 #: Random odd multiplier and one random number for each byte value: the rolling hash.
-_BASE = np.uint64(_RNG.integers(1 << 62, 1 << 63) * 2 + 1)
+_BASE = np.uint64(int(_RNG.integers(1 << 61, 1 << 62)) * 4 + 3)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SLICE = 1 << 21
