@@ -33,6 +33,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch between the JVM and Python: long texts stay few to a batch.
+BATCH_BYTES = "4m"
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Bounds Arrow batches in bytes, so a worker's memory does not depend on the texts' length."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 

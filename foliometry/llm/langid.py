@@ -17,6 +17,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Documents sampled for each language, characters taken of each, and bytes of its dictionary at most.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 256, 4_000, 120_000
 LEVEL = 7
@@ -119,6 +121,7 @@ def judge_types(f):
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected of every document, learned from the documents not held out."""
+    small_batches(docs.sparkSession)
     model = fit(docs)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = predict(narrow, model)

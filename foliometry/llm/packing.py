@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .textops import buffers, prefix, slices, span_hash, words
 
 #: Hashed features, dimensions of the projection, bits for each, bits that break ties by id.
@@ -147,6 +148,7 @@ def pack(docs: DataFrame, vocabulary: tuple[str, str, str] | None = None, length
     each; a null doc_id is kept. Ties on the curve are ordered by id. No rows give no rows;
     other columns are ignored. ``vocabulary``: paths of the tokenizer's two files, and its pattern.
     """
+    small_batches(docs.sparkSession)
     vocabulary = vocabulary or public_vocabulary()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n_docs, n_bytes = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 #: Buckets of hashed n-grams, trusted documents used at most, added to each bucket's count,
 #: and the mean log ratio below which a document goes.
-BUCKETS, TRUSTED_DOCS, SMOOTHING, THRESHOLD = 1 << 14, 4_096, 1.0, -0.75
+BUCKETS, TRUSTED_DOCS, SMOOTHING, THRESHOLD = 1 << 14, 4_096, 1.0, -0.08
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
