@@ -26,45 +26,42 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    parts = F.split(F.translate(text, SPACES[1:], " " * 5), " ")
-    return F.filter(parts, lambda w: w != "")
+    return F.filter(F.split(text, f"[{SPACES}]+"), lambda w: w != "")
 
 
-def _pairs(a: Column, of: Callable[[Column, Column], Column], ahead: int = 1) -> Column:
-    """``of`` each item and the one ``ahead`` places after it."""
-    n = F.greatest(F.size(a) - ahead, F.lit(0))
-    return F.zip_with(F.slice(a, 1, n), F.slice(a, 1 + ahead, n), of)
+def _pairs(a: Column, b: Column, of: Callable[[Column, Column], Column], ahead: int = 1) -> Column:
+    """``of`` each item of ``a`` and the one of ``b`` that is ``ahead`` places further."""
+    n = F.greatest(F.size(b) - ahead, F.lit(0))
+    return F.zip_with(F.slice(a, 1, n), F.slice(b, 1 + ahead, n), of)
 
 
-def ngram_buckets(words: Column, buckets: int = BUCKETS) -> Column:
-    place = lambda h: F.pmod(h, F.lit(buckets)).cast("int")
+def with_hashes(words: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` of the hashes of all words and those of all two successive ones."""
     hashes = F.transform(words, lambda w: F.xxhash64(w))
-    return let(hashes, lambda h: F.concat(F.transform(h, place), _pairs(h, lambda x, y: place(F.xxhash64(x, y)))))
+    return let(hashes, lambda h: let(_pairs(h, h, lambda x, y: F.xxhash64(x, y)), lambda two: body(h, two)))
 
 
-def repeated_words(words: Column) -> Column:
+def ngram_buckets(h: Column, two: Column, buckets: int = BUCKETS) -> Column:
+    return F.transform(F.concat(h, two), lambda x: F.pmod(x, F.lit(buckets)).cast("int"))
+
+
+def repeated_words(h: Column, two: Column) -> Column:
     """Words inside 3-word windows that stand twice or more in the text."""
 
     def covered(windows: Column) -> Column:
         tagged = F.sort_array(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-        twins = let(tagged, lambda s: F.flatten(_pairs(s, lambda a, b: F.when(a["w"] == b["w"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")))))
+        none = F.array().cast("array<int>")
+        twins = let(tagged, lambda s: F.flatten(_pairs(s, s, lambda a, b: F.when(a["w"] == b["w"], F.array(a["i"], b["i"])).otherwise(none))))
         start = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
         step = lambda acc, p: F.struct(p.alias("last"), (acc["n"] + F.least(F.lit(3), p - acc["last"])).alias("n"))
         return F.aggregate(F.sort_array(F.array_distinct(twins)), start, step, lambda acc: acc["n"])
 
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    windows = let(hashes, lambda h: _pairs_of(_pairs(h, lambda x, y: F.xxhash64(x, y)), h))
+    windows = _pairs(two, h, lambda x, y: F.xxhash64(x, y), 2)
     return let(windows, lambda w: F.when(F.size(F.array_distinct(w)) < F.size(w), covered(w)).otherwise(F.lit(0).cast("long")))
 
 
-def _pairs_of(two: Column, h: Column) -> Column:
-    """Hashes of three words from those of two and the third."""
-    n = F.greatest(F.size(h) - 2, F.lit(0))
-    return F.zip_with(F.slice(two, 1, n), F.slice(h, 3, n), lambda x, y: F.xxhash64(x, y))
-
-
 def duplicate_lines(text: Column) -> Column:
-    lines = F.filter(F.split(text, "\n"), lambda line: F.translate(line, SPACES, "") != "")
+    lines = F.filter(F.split(text, "\n"), lambda line: F.trim(line, F.lit(SPACES)) != "")
     return let(lines, lambda a: (F.size(a) - F.size(F.array_distinct(a))).cast("long"))
 
 
@@ -77,7 +74,7 @@ def trusted_ids(labels: DataFrame, most: int = TRUSTED_DOCS) -> DataFrame:
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """bucket, ratio: log of the bucket's share in trusted documents over its share in all."""
     rows = docs.join(F.broadcast(trusted), F.col("doc_id") == F.col("trusted"), "left")  # at most TRUSTED_DOCS ids
-    grams = rows.select(F.explode(ngram_buckets(words_of(F.col("text")), buckets)).alias("bucket"), F.col("trusted").isNotNull().cast("long").alias("mine"))
+    grams = rows.select(F.explode(with_hashes(words_of(F.col("text")), lambda h, two: ngram_buckets(h, two, buckets))).alias("bucket"), F.col("trusted").isNotNull().cast("long").alias("mine"))
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("mine").alias("good"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     counts = every.join(counts, "bucket", "left").select("bucket", *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("raw", "good")))
@@ -106,13 +103,16 @@ def assess(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     found = {r["bucket"]: r["ratio"] for r in log_ratios(docs, trusted_ids(labels)).collect()}  # BUCKETS rows
     ratios = constant([found[b] for b in range(BUCKETS)])
 
+    def score(buckets: Column) -> Column:
+        return let(ratios, lambda r: F.aggregate(buckets, F.lit(0.0), lambda acc, b: acc + r[b]) / F.greatest(F.size(buckets), F.lit(1)))
+
     def features(words: Column) -> Column:
-        score = let(F.array(ngram_buckets(words)), lambda g: let(ratios, lambda r: F.aggregate(g[0], F.lit(0.0), lambda acc, b: acc + r[b]) / F.greatest(F.size(g[0]), F.lit(1))))
-        return F.struct(F.size(words).cast("long").alias("n_words"), repeated_words(words).alias("n_repeat_words"), score.alias("score"))
+        hashed = with_hashes(words, lambda h, two: F.struct(repeated_words(h, two).alias("n_repeat_words"), let(ngram_buckets(h, two), score).alias("score")))
+        return F.struct(F.size(words).cast("long").alias("n_words"), F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"), hashed.alias("h"))
 
     text = F.col("text")
     f = let(words_of(text), features)
-    out = docs.select("doc_id", F.char_length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"), (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"), duplicate_lines(text).alias("n_dup_lines"), f.alias("f"))
+    out = docs.select("doc_id", F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"), duplicate_lines(text).alias("n_dup_lines"), f.alias("f"))
+    out = out.select("doc_id", F.col("f.n_words").alias("n_words"), F.col("f.word_chars").alias("word_chars"), "n_symbols", "n_dup_lines", F.col("f.h.n_repeat_words").alias("n_repeat_words"), F.col("f.h.score").alias("score"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = out.select("doc_id", F.col("f.n_words").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("f.n_repeat_words").alias("n_repeat_words"), F.col("f.score").alias("score"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("score") >= threshold)).alias("kept"), "score")
