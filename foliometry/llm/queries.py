@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, packing, quality, sharding, warc
+from . import chat, decontaminate, langid, packing, pii, quality, sharding, warc
 from .common import table
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -35,7 +43,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_warc, op5_packing, op6_quality, op7_language_id, op9_chat, op10_sharding)}
+    return {f.__name__: f for f in (op2_pii, op3_decontamination, op4_warc, op5_packing, op6_quality, op7_language_id, op9_chat, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

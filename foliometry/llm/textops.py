@@ -68,11 +68,16 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each maximal run without space, tab or line ends."""
+#: Bytes that words consist of: all but space and line ends; or letters, digits and what is not ASCII.
+SOLID = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
+LETTERS = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
+
+
+def words(data: np.ndarray, offsets: np.ndarray, of: np.ndarray = SOLID) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each maximal run of bytes in ``of`` within a row."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    inside = of[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
