@@ -16,13 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bitfilter import build, maybe
 from .common import null_safe, small_batches, written
 from .textops import LETTERS, buffers, lowered, mix, prefix, shingles, slices, span_hash, words
 
 #: Words of a seed and of the shortest tile; covered share of an item at which a document is contaminated.
 SEED, COVERAGE = 5, 0.5
-#: Bits of the seed filter: 16 for each of the items' seeds, between these powers of two.
-LEAST_BITS, MOST_BITS = 20, 28
 _BASE = (1 << 61) - 1
 
 
@@ -86,36 +85,6 @@ def tiles(pattern: list[int], text: list[int], least: int = SEED) -> list[tuple[
         n = n // 2 if n > 2 * least else least
 
 
-def _seed_filter(bench: DataFrame, count: int) -> np.ndarray:
-    bits = min(max(LEAST_BITS, int(np.ceil(np.log2(16 * max(1, count))))), MOST_BITS)
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seed = b.column(0).to_numpy().view(np.uint64)
-            place = np.unique(np.concatenate([seed >> np.uint64(64 - bits), mix(seed) >> np.uint64(64 - bits)]).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(place)], names=["place"])
-
-    # at most 2 ** MOST_BITS places, packed eight to a byte before they are sent
-    byte = bench.select("seed").distinct().mapInArrow(fill, "place long").groupBy(F.shiftright("place", 3).alias("byte")).agg(F.expr("bit_or(shiftleft(1, CAST(place & 7 AS INT)))").alias("bits"))
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    found = byte.toPandas()
-    out[found["byte"].to_numpy(np.int64)] = found["bits"].to_numpy(np.uint8)
-    return out
-
-
-def _maybe(table: np.ndarray, seed: np.ndarray) -> np.ndarray:
-    shift = np.uint64(64 - 3 - int(np.log2(len(table))))
-
-    def hit(h: np.ndarray) -> np.ndarray:
-        place = h >> shift
-        return (table[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
-
-    out = hit(seed).astype(bool)
-    at = np.flatnonzero(out)
-    out[at] = hit(mix(seed[at])).astype(bool)
-    return out
-
-
 def _encoded(rows: DataFrame, table=None) -> DataFrame:
     """id, print, tokens (8 bytes each), seeds (distinct; those in ``table`` only) of texts that have a seed."""
     small_batches(rows.sparkSession)
@@ -127,7 +96,7 @@ def _encoded(rows: DataFrame, table=None) -> DataFrame:
                 h, row = token_hashes(part, offs)
                 seed, at = shingles(h, row, SEED)
                 if table is not None:
-                    ok = _maybe(table.value, seed)
+                    ok = maybe(table.value, seed)
                     seed, at = seed[ok], at[ok]
                 bounds = np.searchsorted(row, np.arange(j - i + 1))
                 owner = row[at]
@@ -156,7 +125,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     as_rows = lambda df, name: df.select(F.col(name).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     bench = written(_encoded(as_rows(benchmark, "item_id")).dropDuplicates(["id", "print"]), "bench")
     seeds = bench.select(F.col("id").alias("item_id"), F.col("print").alias("item_print"), F.explode("seeds").alias("seed"))
-    table = spark.sparkContext.broadcast(_seed_filter(seeds, seeds.count()))  # 2 ** (MOST_BITS - 3) bytes at most
+    table = spark.sparkContext.broadcast(build(seeds.select("seed").distinct(), F.col("seed"), seeds.count()))  # of bounded size
     hits = written(_encoded(as_rows(docs, "doc_id"), table).dropDuplicates(["id", "print"]), "seeded")
     pairs = hits.select("id", "print", F.explode("seeds").alias("seed")).join(seeds, "seed").select("id", "print", "item_id", "item_print").distinct()
     items = bench.select(F.col("id").alias("i"), F.col("print").alias("p"), F.col("tokens").alias("item"))
