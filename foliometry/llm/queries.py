@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, langid, packing, pii, quality, sharding, warc
+from . import chat, decontaminate, jaccard, langid, packing, pii, quality, sharding, suffix_dedup, warc
 from .common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"), length=50)
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.maximal_conversations(table(spark, sf_dir, "conversations"))
 
@@ -43,7 +51,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op3_decontamination, op4_warc, op5_packing, op6_quality, op7_language_id, op9_chat, op10_sharding)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_pii, op3_decontamination, op4_warc, op5_packing, op6_quality, op7_language_id, op8_ngram_jaccard, op9_chat, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
