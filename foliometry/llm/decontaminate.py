@@ -150,3 +150,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     best = F.max_by(F.struct("coverage", "n_tiles", "covered", "item_words"), F.struct("coverage", F.negative("n_tiles"), "item_words"))
     out = out.where(F.col("coverage") >= coverage).groupBy("doc_id", "item_id").agg(best.alias("b"))
     return out.select("doc_id", "item_id", "b.*")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """``docs`` without the contaminated rows; all columns stay as they are.
+
+    Rows are told apart by their text's hash, so null and repeated ids do not matter.
+    """
+    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    bad = contaminated(docs.select(key.alias("doc_id"), "text"), benchmark, coverage).select(F.col("doc_id").alias("other")).distinct()
+    return docs.join(bad, key == bad["other"], "left_anti")

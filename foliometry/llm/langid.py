@@ -94,35 +94,36 @@ def classify(texts: list[str | None], encoders: list) -> tuple[list[str], list[f
     return langs, scores, rejected
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` that are there, with lang_pred, score and rejected after them.
+def judged(text: Column, model: Model) -> Column:
+    """A struct of lang_pred, score and rejected for each text.
 
-    Columns of these names in ``docs`` are replaced. Null texts and texts without a letter
-    are ``und``, score 0, rejected. Case is ignored. Ties go to the more frequent language. Repeated rows
-    are judged alike; no rows give no rows.
+    Null texts and texts without a letter are ``und``, score 0, rejected. Case is ignored.
+    Ties go to the more frequent language.
     """
 
     def judge(batches: Iterator) -> Iterator:
         encoders = model.encoders()
-        for text in batches:
-            langs, scores, rejected = classify(text.to_pylist(), encoders)
+        for column in batches:
+            langs, scores, rejected = classify(column.to_pylist(), encoders)
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], ["lang_pred", "score", "rejected"])
 
-    judged = F.arrow_udf(judge_types(judge), "lang_pred string, score double, rejected boolean")
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    out = docs.select(*(F.col(f"`{c}`") for c in kept), judged(F.col("text").cast("string")).alias("judged"))
-    return out.select(*(F.col(f"`{c}`") for c in kept), "judged.lang_pred", "judged.score", "judged.rejected")
-
-
-def judge_types(f):
-    f.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return f
+    judge.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(judge, "lang_pred string, score double, rejected boolean")(text.cast("string"))
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, rejected of every document, learned from the documents not held out."""
+    """doc_id, held_out, lang_pred, score, rejected of every document, learned from the documents not held out.
+
+    Rows with a null doc_id are judged, but never learned from. Repeated rows are judged
+    alike; no rows give no rows; other columns are ignored.
+    """
     small_batches(docs.sparkSession)
     model = fit(docs)
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = predict(narrow, model)
-    return out.select("doc_id", F.coalesce(~learnable(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), judged(F.col("text"), model).alias("judged"))
+    return rows.select("doc_id", F.coalesce(~learnable(F.col("doc_id")), F.lit(False)).alias("held_out"), "judged.lang_pred", "judged.score", "judged.rejected")
+
+
+def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """The rows of ``docs`` whose language is told with a clear margin; all columns stay as they are."""
+    small_batches(docs.sparkSession)
+    return docs.where(~judged(F.col("text"), model or fit(docs))["rejected"])
