@@ -12,7 +12,7 @@ a smaller id. Suffixes are compared to that depth only.
   splitters and sorted in each bucket by a multikey quicksort on words of eight bytes.
   Runs of equal suffixes yield the smallest document. A splitter is no longer than an anchor, so
   equal suffixes are never on two sides of a boundary; buckets need no exchange of their
-  borders. Anchors in many chunks are split further by a hash of each whole suffix.
+  borders. Anchors with very many records are split further by a hash of each whole suffix.
 * *Chunks.* Documents are dealt into chunks of some megabytes by their id. A string that a third of
   all documents hold is one record for each chunk, and answers go back to chunks.
 """
@@ -32,8 +32,8 @@ from .textops import buffers, mix, prefix, span_hash
 
 #: Bytes of an anchor, of a splitter, of a chunk; bytes of text for each bucket of anchors and of suffixes.
 ANCHOR, LEAD, CHUNK_BYTES, ANCHOR_BUCKET, SUFFIX_BUCKET = 20, 16, 8 << 20, 16 << 20, 8 << 20
-#: An anchor in so many chunks is split by its suffixes' hashes, into so many buckets.
-HOT_CHUNKS, HOT_PARTS = 64, 64
+#: An anchor with so many records in all is split by its suffixes' hashes, into so many buckets.
+HOT_RECORDS, HOT_PARTS = 16_384, 256
 #: Documents sampled for the splitters at most, and windows looked at together.
 SAMPLE_DOCS, BLOCK = 2_000, 1 << 21
 _POS = 24  # bits for the place of a window's anchor within a block
@@ -122,20 +122,24 @@ class Chunk:
         return (self.hash % np.uint64(buckets)).astype(np.int64), (mix(self.hash) >> np.uint64(32)).astype(np.uint32)
 
     def anchors(self, buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
-        """(bucket, distinct keys, whether each is in several of the chunk's documents)."""
+        """(bucket, distinct keys, for each its records, 127 at most, plus 128 if several documents hold it)."""
         bucket, key = self.anchor_keys(buckets)
-        order = np.lexsort((self.row, key, bucket))
-        b, k, r = bucket[order], key[order], self.ids[self.row[order]]
+        context = span_hash(prefix(self.data), self.first, self.last + self.length)
+        order = np.lexsort((context, key, bucket))
+        b, k, r, c = bucket[order], key[order], self.ids[self.row[order]], context[order]
         new = np.ones(len(b), bool)
         new[1:] = (b[1:] != b[:-1]) | (k[1:] != k[:-1])
         start = np.flatnonzero(new)
         if not len(start):
             return
+        other = new.copy()
+        other[1:] |= c[1:] != c[:-1]
         several = np.maximum.reduceat(r, start) != np.minimum.reduceat(r, start)
+        mark = (np.minimum(np.add.reduceat(other.astype(np.int64), start), 127) | (several.astype(np.int64) << 7)).astype(np.uint8)
         b, k = b[start], k[start]
         cut = np.append(np.flatnonzero(np.append(True, b[1:] != b[:-1])), len(b))
         for x, y in zip(cut[:-1], cut[1:], strict=True):
-            yield int(b[x]), k[x:y].tobytes(), several[x:y].tobytes()
+            yield int(b[x]), k[x:y].tobytes(), mark[x:y].tobytes()
 
     def candidates(self, repeated: np.ndarray, hot: np.ndarray, buckets: int, splitters: np.ndarray, suffix_buckets: int) -> None:
         """Keeps the runs whose anchor is in several documents; runs of hot anchors become single windows."""
@@ -174,25 +178,29 @@ class Chunk:
         padded = np.concatenate([np.zeros(before, np.uint8), self.data, np.zeros(after, np.uint8)])
         return np.lib.stride_tricks.sliding_window_view(padded, before + after)[at]
 
+    def cuts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bucket of each record sent, and where each bucket's records begin, and the end."""
+        bucket = self.c_bucket[self.sent]
+        return bucket, np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else np.zeros(1, int)
+
     def records(self) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
         """(bucket, documents, bytes before, bytes from the anchor on, contexts) in the fixed order."""
-        before_most = self.length - ANCHOR
-        bucket = self.c_bucket[self.sent]
-        cut = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else np.zeros(1, int)
+        most, s = self.length - ANCHOR, self.sent
+        before, after = self.c_anchor[s] - self.c_first[s], self.c_last[s] + self.length - self.c_anchor[s]
+        context = self._around(self.c_anchor[s], most, self.length).copy()
+        column = np.arange(most + self.length) - most
+        context[(column < -before[:, None]) | (column >= after[:, None])] = 0
+        doc, before, after = self.c_doc[s], before.astype(np.uint8), after.astype(np.uint8)
+        bucket, cut = self.cuts()
         for x, y in zip(cut[:-1], cut[1:], strict=True):
-            s = self.sent[x:y]
-            before, after = self.c_anchor[s] - self.c_first[s], self.c_last[s] + self.length - self.c_anchor[s]
-            context = self._around(self.c_anchor[s], before_most, self.length).copy()
-            column = np.arange(before_most + self.length) - before_most
-            context[(column < -before[:, None]) | (column >= after[:, None])] = 0
-            yield int(bucket[x]), self.c_doc[s].tobytes(), before.astype(np.uint8).tobytes(), after.astype(np.uint8).tobytes(), context.tobytes()
+            yield int(bucket[x]), doc[x:y].tobytes(), before[x:y].tobytes(), after[x:y].tobytes(), context[x:y].tobytes()
 
     def removed(self, answers: dict[int, bytes]) -> np.ndarray:
         """Marks the bytes to remove. ``answers``: for each bucket the windows of each record sent, as bits."""
-        bucket = self.c_bucket[self.sent]
+        bucket, cut = self.cuts()
         masks = np.zeros(len(self.sent), np.uint64)
-        for b, raw in answers.items():
-            masks[bucket == b] = np.frombuffer(raw, np.uint64)
+        for x, y in zip(cut[:-1], cut[1:], strict=True):
+            masks[x:y] = np.frombuffer(answers[int(bucket[x])], np.uint64)
         mask = masks[self.lead_of]
         first, n = self.c_first[self.order], (self.c_last - self.c_first)[self.order] + 1
         later = self.c_doc[self.order] > self.c_doc[self.sent][self.lead_of]
@@ -281,14 +289,14 @@ def deduplicate(docs: DataFrame, length: int = 50) -> DataFrame:
     def anchors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         found = list(Chunk(table, length).anchors(anchor_buckets))
         n = len(found)
-        return _table({"bucket": ([x[0] for x in found], pa.int64()), "chunk": ([key[0].as_py()] * n, pa.int64()), "keys": ([x[1] for x in found], pa.binary()), "several": ([x[2] for x in found], pa.binary())})
+        return _table({"bucket": ([x[0] for x in found], pa.int64()), "chunk": ([key[0].as_py()] * n, pa.int64()), "keys": ([x[1] for x in found], pa.binary()), "marks": ([x[2] for x in found], pa.binary())})
 
     def repeated(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         keys = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("keys")]
-        every, several = np.concatenate(keys), np.concatenate([np.frombuffer(x.as_py(), bool) for x in table.column("several")])
+        every, marks = np.concatenate(keys), np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in table.column("marks")])
         values, at, n = np.unique(every, return_inverse=True, return_counts=True)
-        again = (n > 1) | (np.bincount(at, several, len(values)) > 0)
-        hot = n >= HOT_CHUNKS
+        again = (n > 1) | (np.bincount(at, marks >> 7, len(values)) > 0)
+        hot = np.bincount(at, marks & 127, len(values)) >= HOT_RECORDS
         out_keys, out_hot, place = [], [], 0
         for k in keys:
             mine = at[place : place + len(k)]
@@ -340,7 +348,7 @@ def deduplicate(docs: DataFrame, length: int = 50) -> DataFrame:
         return _table({n: (v, pa.string() if n == "kept_sha256" else pa.int64()) for n, v in zip(("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), out, strict=True)})
 
     answer = "chunk long, bucket long, a binary, b binary"
-    first = texts.groupBy("chunk").applyInArrow(anchors, "bucket long, chunk long, keys binary, several binary")
+    first = texts.groupBy("chunk").applyInArrow(anchors, "bucket long, chunk long, keys binary, marks binary")
     shared = first.groupBy("bucket").applyInArrow(repeated, answer)
     records = texts.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(suffixes, "chunk long, bucket long, docs binary, before binary, after binary, context binary")
     answers = shared.union(records.groupBy("bucket").applyInArrow(ranked, answer))

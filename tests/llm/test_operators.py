@@ -61,11 +61,11 @@ def brute_removed(rows, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [2, 64])
+@pytest.mark.parametrize("hot", [3, 16_384])
 def test_suffix_dedup(spark, odd, none, monkeypatch, hot):
     for name in ("CHUNK_BYTES", "ANCHOR_BUCKET", "SUFFIX_BUCKET"):
         monkeypatch.setattr(suffix_dedup, name, 20_000)
-    monkeypatch.setattr(suffix_dedup, "HOT_CHUNKS", hot)
+    monkeypatch.setattr(suffix_dedup, "HOT_RECORDS", hot)
     got = Counter(tuple(r) for r in suffix_dedup.deduplicate(odd).collect())
     assert got == brute_removed([(r.doc_id, r.text) for r in odd.collect()], 50)
     assert suffix_dedup.deduplicate(none).collect() == []
