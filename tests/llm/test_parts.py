@@ -69,7 +69,9 @@ def test_linked_sets_share_a_signature(seed, ratio, size):
     if not limit.linked(len(a), len(b), common):
         return
     sets = [np.array(sorted(x), np.uint64) for x in (a, b)]
-    sig, row = jaccard.signatures(np.array([0, len(a), len(a) + len(b)]), np.concatenate(sets), limit)
+    values = np.concatenate(sets)
+    heavy = values % np.uint64(7) < np.uint64(rng.randrange(8))  # any choice by value must do
+    sig, row = jaccard.signatures(np.array([0, len(a), len(a) + len(b)]), values, limit, heavy)
     assert set(sig[row == 0].tolist()) & set(sig[row == 1].tolist())
 
 
