@@ -36,7 +36,9 @@ def partition(grey: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
         return out[names]
 
     schema = _schema(grey, keys, f"y int, x0 int, x1 int, label int, {HOW}")
-    return grey.select(*keys, "y", "x0", "x1").groupBy(*keys).cogroup(cuts.select(*keys, "cut_id", "idx", "x", "y").groupBy(*keys)).applyInPandas(solve, schema)
+    other = [f"{k}_of_cut" for k in keys]  # both sides may come from one table
+    lines = cuts.select(*(F.col(k).alias(o) for k, o in zip(keys, other, strict=True)), "cut_id", "idx", "x", "y")
+    return grey.select(*keys, "y", "x0", "x1").groupBy(*keys).cogroup(lines.groupBy(*other)).applyInPandas(solve, schema)
 
 
 def section_areas(cut: DataFrame, labelled: DataFrame, keys: list[str]) -> DataFrame:
