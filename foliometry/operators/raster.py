@@ -55,6 +55,10 @@ def label_runs(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, diagonal: bool = T
     start = {int(v): int(i) for v, i in zip(*np.unique(ys, return_index=True), strict=True)}
     end = {v: i + int(n) for (v, i), n in zip(start.items(), np.unique(ys, return_counts=True)[1], strict=True)}
     a, b = a.tolist(), b.tolist()
+    for i in range(1, len(up)):
+        if ys[i] == ys[i - 1] and a[i] <= b[i - 1]:  # runs of one line that meet
+            p, q = find(i - 1), find(i)
+            up[max(p, q)] = min(p, q)
     for row, i in start.items():
         if row - 1 not in start:
             continue
@@ -67,7 +71,6 @@ def label_runs(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, diagonal: bool = T
                 i += 1
             else:
                 j += 1
-    # runs that touch the next one only diagonally at both ends are met by the merge order above
     roots = np.array([find(i) for i in range(len(up))], dtype=np.int64)
     _, number = np.unique(roots, return_inverse=True)
     out = np.empty(len(order), np.int64)

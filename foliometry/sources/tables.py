@@ -108,3 +108,49 @@ paired AS (
          CAST(ceil(lead(c) OVER w - 0.5) AS INTEGER) AS x1, row_number() OVER w AS n
   FROM crossing WINDOW w AS (PARTITION BY section_id, layer, y ORDER BY c)),
 span AS (SELECT section_id, layer, CAST(y AS INTEGER) AS y, x0, x1 FROM paired WHERE n % 2 = 1 AND x0 < x1)"""
+
+
+#: Directions of seven cuts and of the reference line's vertices, as shares of the half size; reach of the cuts' ends.
+CUT_DIRECTIONS = ((1.0, 0.125), (1.0, -0.375), (0.25, 1.0), (-0.375, 1.0), (-1.0, 0.25), (-1.0, -0.125), (0.125, -1.0))
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("s_suppkey"))
+    return s.select(F.col("s_suppkey").alias("section_id"), *(F.expr(f"CAST({e} AS DOUBLE)").alias(n) for n, e in SIZES.items()))
+
+
+def cut_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """section_id, cut_id, idx, x, y: seven radial cuts of three vertices where there is white matter.
+
+    Every other one stops short of the outline, every third short of white matter, and half are
+    traced from the inside.
+    """
+    cut = F.explode(F.array(*(F.struct(F.lit(f).alias("cut_id"), F.lit(a).alias("a"), F.lit(b).alias("b")) for f, (a, b) in enumerate(CUT_DIRECTIONS)))).alias("c")
+    s = _sized(spark, sf_dir).where(F.col("section_id") % 3 != 0).select("*", cut).select("section_id", "cb", "wm", "c.*")
+    outer = F.col("cb") * F.when(F.col("cut_id") % 2 == 0, 0.96875).otherwise(1.0625)
+    inner = F.col("wm") * F.when(F.col("cut_id") % 3 == 0, 1.0625).otherwise(0.875)
+    s = s.withColumn("outer", outer).withColumn("inner", inner)
+    reach = F.array(F.col("outer"), (F.col("outer") + F.col("inner")) / 2, F.col("inner"))
+    v = s.select("section_id", "cut_id", "a", "b", F.posexplode(reach).alias("k", "r"))
+    idx = F.when((F.col("section_id") + F.col("cut_id")) % 2 == 1, 2 - F.col("k")).otherwise(F.col("k"))
+    return v.select("section_id", "cut_id", idx.alias("idx"), (F.lit(CX) + F.col("a") * F.col("r")).alias("x"), (F.lit(CY) + F.col("b") * F.col("r")).alias("y"))
+
+
+def reference_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """section_id, idx, x, y: an open line just outside the middle octagon."""
+    corner = F.posexplode(F.array(*(F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for a, b in _OCTAGON))).alias("idx", "c")
+    v = _sized(spark, sf_dir).select("section_id", F.col("gl").alias("r"), corner)
+    return v.select("section_id", "idx", (F.lit(CX) + F.col("c.a") * F.col("r") * 1.0625).alias("x"), (F.lit(CY) + F.col("c.b") * F.col("r") * 1.0625).alias("y"))
+
+
+CUTS_SQL = f"""
+sized AS (
+  SELECT CAST(s_suppkey AS BIGINT) AS section_id, CAST({SIZES["cb"]} AS DOUBLE) AS cb, CAST({SIZES["gl"]} AS DOUBLE) AS gl, CAST({SIZES["wm"]} AS DOUBLE) AS wm FROM supplier),
+direction(cut_id, a, b) AS (VALUES {", ".join(f"({i}, CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for i, (a, b) in enumerate(CUT_DIRECTIONS))}),
+ends AS (
+  SELECT section_id, cut_id, a, b, cb * CASE WHEN cut_id % 2 = 0 THEN 0.96875 ELSE 1.0625 END AS o, wm * CASE WHEN cut_id % 3 = 0 THEN 1.0625 ELSE 0.875 END AS i
+  FROM sized, direction WHERE section_id % 3 <> 0),
+reach AS (SELECT section_id, cut_id, a, b, k, CASE k WHEN 0 THEN o WHEN 1 THEN (o + i) / 2 ELSE i END AS r FROM ends, (VALUES (0), (1), (2)) AS t(k)),
+cut AS (
+  SELECT section_id, cut_id, CAST(CASE WHEN (section_id + cut_id) % 2 = 1 THEN 2 - k ELSE k END AS INTEGER) AS idx, {CX} + a * r AS x, {CY} + b * r AS y FROM reach),
+ref AS (SELECT section_id, k AS idx, {CX} + a * gl * 1.0625 AS x, {CY} + b * gl * 1.0625 AS y FROM sized, corner)"""
