@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import components, fissure, partition, results, spans
-from ..sources.tables import CUTS_SQL, SPANS_SQL, cut_lines, event_lines, octagons, reference_lines
+from ..plans.analyze import analyze, combine
+from ..sources.phantom import phantoms
+from ..sources.tables import CUTS_SQL, SPANS_SQL, cut_lines, event_lines, octagons, reference_lines, table
 
 KEYS = ["section_id"]
 
@@ -89,7 +91,14 @@ def upper_median_order(spark, sf_dir):
     return out.select("line_id", "label", F.round("order_arc", 6).alias("order_arc"), "ord", "name")
 
 
-QUERIES = {f.__name__: f for f in (nesting_depth, orient_fissure, crossing_arc, spanning_cut, mean_cut_length, connected_components, has_hole, complete_partition, section_areas, upper_median_order)}
+def phantom_sections(spark, sf_dir):
+    """Names and measures of the sections of synthetic images, one for every hundred suppliers."""
+    n = max(1, table(spark, sf_dir, "supplier").count() // 100)
+    images, rois = phantoms(spark, n)
+    return combine(analyze(rois, images))[1].select("section_id", "ord", "name", "granular", "molecular", F.round("purkinje", 6).alias("purkinje"))
+
+
+QUERIES = {f.__name__: f for f in (phantom_sections, nesting_depth, orient_fissure, crossing_arc, spanning_cut, mean_cut_length, connected_components, has_hole, complete_partition, section_areas, upper_median_order)}
 
 _DEPTH = """
 depth AS (
