@@ -251,7 +251,7 @@ def brute_components(rows, words, num, den):
     return Counter((i, len(s), None if i is None else find(i)) for i, s in sets)
 
 
-@pytest.mark.parametrize(("words", "num", "part"), [(3, 90, 1 << 18), (5, 80, 150)])
+@pytest.mark.parametrize(("words", "num", "part"), [(3, 90, 1 << 21), (5, 80, 150)])
 def test_jaccard(spark, odd, none, monkeypatch, words, num, part):
     monkeypatch.setattr(jaccard, "PART_SHINGLES", part)  # a small one cuts blocks into parts
     rng = random.Random(4)
