@@ -15,6 +15,11 @@ def _schema(df: DataFrame, keys: list[str], rest: str) -> T.StructType:
     return T.StructType([df.schema[k] for k in keys] + T._parse_datatype_string(rest).fields)
 
 
+def plain_keys(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """Text keys as plain objects: Arrow-backed ones come in chunks, which the way back does not take."""
+    return pdf.astype({k: object for k in keys if not pd.api.types.is_numeric_dtype(pdf[k])})
+
+
 def label_spans(spans: DataFrame, keys: list[str], diagonal: bool = True) -> DataFrame:
     """keys, y, x0, x1, label: 8-connected components, numbered by first pixel, row by row.
 
@@ -23,7 +28,7 @@ def label_spans(spans: DataFrame, keys: list[str], diagonal: bool = True) -> Dat
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         n = raster.label_runs(*(pdf[c].to_numpy() for c in ("y", "x0", "x1")), diagonal)
-        return pdf.assign(label=n.astype(np.int32))
+        return plain_keys(pdf.assign(label=n.astype(np.int32)), keys)
 
     schema = _schema(spans, keys, "y int, x0 int, x1 int, label int")
     return spans.select(*keys, "y", "x0", "x1").groupBy(*keys).applyInPandas(label, schema)
@@ -53,7 +58,7 @@ def holes(spans: DataFrame, keys: list[str]) -> DataFrame:
         y, x0, x1 = (pdf[c].to_numpy() for c in ("y", "x0", "x1"))
         top, left = y.min(), x0.min()
         n = raster.enclosed(raster.mask_of(y - top, x0 - left, x1 - left, (int(y.max() - top) + 1, int(x1.max() - left))))
-        return pdf.loc[:, keys].head(1).assign(enclosed=n, ring=n > raster.HOLE_PIXELS)
+        return plain_keys(pdf.loc[:, keys].head(1).assign(enclosed=n, ring=n > raster.HOLE_PIXELS), keys)
 
     schema = _schema(spans, keys, "enclosed long, ring boolean")
     return spans.select(*keys, "y", "x0", "x1").groupBy(*keys).applyInPandas(count, schema)
@@ -67,7 +72,7 @@ def outlines(spans: DataFrame, keys: list[str]) -> DataFrame:
         top, left = int(y.min()), int(x0.min())
         rings = raster.outline(raster.mask_of(y - top, x0 - left, x1 - left, (int(y.max()) - top + 1, int(x1.max()) - left)))
         value = [[{"x": float(a + left), "y": float(b + top)} for a, b in r] for r in rings]
-        return pdf.loc[:, keys].head(1).assign(rings=[value])
+        return plain_keys(pdf.loc[:, keys].head(1).assign(rings=[value]), keys)
 
     schema = _schema(spans, keys, "rings array<array<struct<x: double, y: double>>>")
     return spans.select(*keys, "y", "x0", "x1").groupBy(*keys).applyInPandas(trace, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import raster
-from .components import _schema
+from .components import _schema, plain_keys
 
 HOW = "ring boolean, expected int, kept int, clean boolean, half_width double, area long, assigned long"
 
@@ -33,7 +33,7 @@ def partition(grey: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
         labels, how = raster.split(mask, lines)
         sy, sx0, sx1, label = raster.spans_of(labels.astype(np.int32))
         out = pd.DataFrame(dict(zip(keys, key, strict=True)) | {"y": sy + oy, "x0": sx0 + ox, "x1": sx1 + ox, "label": label} | how)
-        return out[names]
+        return plain_keys(out[names], keys)
 
     schema = _schema(grey, keys, f"y int, x0 int, x1 int, label int, {HOW}")
     other = [f"{k}_of_cut" for k in keys]  # both sides may come from one table
