@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import raster
-from .components import _schema, plain_keys
+from .components import _schema
 
 HOW = "ring boolean, expected int, kept int, clean boolean, half_width double, area long, assigned long"
 
@@ -20,25 +21,29 @@ def partition(grey: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
     are independent of each other and run in parallel. Regions without cuts are left out.
     """
 
-    def solve(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = [*keys, "y", "x0", "x1", "label", *(x.split()[0] for x in HOW.split(", "))]
-        if not len(left) or not len(right):
-            return pd.DataFrame({n: [] for n in names})
-        y, x0, x1 = (left[c].to_numpy() for c in ("y", "x0", "x1"))
+    schema = _schema(grey, keys, f"y int, x0 int, x1 int, label int, {HOW}")
+    arrow = to_arrow_schema(schema)
+
+    def solve(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return arrow.empty_table()
+        y, x0, x1 = (left.column(c).to_numpy() for c in ("y", "x0", "x1"))
         w, h = int(x1.max() - x0.min()), int(y.max() - y.min() + 1)
         margin = int(max(50, 0.08 * max(w, h)))
         ox, oy = int(x0.min()) - margin, int(y.min()) - margin
         mask = raster.mask_of(y - oy, x0 - ox, x1 - ox, (h + 2 * margin, w + 2 * margin))
-        lines = [c.sort_values("idx")[["x", "y"]].to_numpy() - (ox, oy) for _, c in right.groupby("cut_id", sort=True)]
-        labels, how = raster.split(mask, lines)
+        cut, idx, cx, cy = (right.column(c).to_numpy() for c in ("cut_id", "idx", "x", "y"))
+        order = np.lexsort((idx, cut))
+        points, cut = np.stack([cx, cy], 1)[order] - (ox, oy), cut[order]
+        labels, how = raster.split(mask, np.split(points, np.flatnonzero(np.diff(cut)) + 1))
         sy, sx0, sx1, label = raster.spans_of(labels.astype(np.int32))
-        out = pd.DataFrame(dict(zip(keys, key, strict=True)) | {"y": sy + oy, "x0": sx0 + ox, "x1": sx1 + ox, "label": label} | how)
-        return plain_keys(out[names], keys)
+        n = len(sy)
+        columns = [[k.as_py()] * n for k in key] + [sy + oy, sx0 + ox, sx1 + ox, label] + [[how[x.split()[0]]] * n for x in HOW.split(", ")]
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    schema = _schema(grey, keys, f"y int, x0 int, x1 int, label int, {HOW}")
     other = [f"{k}_of_cut" for k in keys]  # both sides may come from one table
     lines = cuts.select(*(F.col(k).alias(o) for k, o in zip(keys, other, strict=True)), "cut_id", "idx", "x", "y")
-    return grey.select(*keys, "y", "x0", "x1").groupBy(*keys).cogroup(lines.groupBy(*other)).applyInPandas(solve, schema)
+    return grey.select(*keys, "y", "x0", "x1").groupBy(*keys).cogroup(lines.groupBy(*other)).applyInArrow(solve, schema)
 
 
 def section_areas(cut: DataFrame, labelled: DataFrame, keys: list[str]) -> DataFrame:
