@@ -4,12 +4,15 @@ Documents and benchmark items share *seeds*: hashes of five successive words. A
 fixed size passes the few documents that may hold one; an equi-join of their seeds with
 the items' gives the pairs to compare. Each pair is tiled: the longest common runs, found
 with running Karp-Rabin hashes, are marked first and never overlap, whatever their
-order, so a reordered passage is still covered. Coverage of the item decides.
+order, so a reordered passage is still covered; of a match that a tile cuts into, the free rest
+is tried again. Coverage of the item decides.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -74,12 +77,19 @@ def tiles(pattern: list[int], text: list[int], least: int = SEED) -> list[tuple[
         if longest > 2 * n and longest > n:
             n = longest
             continue
-        for k in sorted(found, reverse=True):
-            for i, j in found[k]:
-                if free_p[i] and free_t[j] and all(free_p[i : i + k]) and all(free_t[j : j + k]):
-                    free_p[i : i + k] = [False] * k
-                    free_t[j : j + k] = [False] * k
-                    out.append((i, j, k))
+        queue = [(-k, j, i) for k, places in found.items() for i, j in places]
+        heapify(queue)
+        while queue:  # longest first; what a tile leaves free of a match waits its turn again
+            k, j, i = heappop(queue)
+            free = [a and b for a, b in zip(free_p[i : i - k], free_t[j : j - k], strict=True)]
+            if all(free):
+                free_p[i : i - k] = free_t[j : j - k] = [False] * -k
+                out.append((i, j, -k))
+                continue
+            for ok, run in groupby(range(-k), free.__getitem__):
+                run = list(run)
+                if ok and len(run) >= n:
+                    heappush(queue, (-len(run), j + run[0], i + run[0]))
         if n == least:
             return out
         n = n // 2 if n > 2 * least else least

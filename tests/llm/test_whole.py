@@ -2,7 +2,7 @@
 
 import random
 
-from foliometry.llm import langid
+from foliometry.llm import decontaminate, langid
 
 
 def prose(lang, n, seed):
@@ -26,3 +26,33 @@ def test_a_long_text_of_one_language_is_accepted():
     assert langs == ["en"] * 3 and rejected == [False] * 3
 
 
+def test_the_free_rest_of_a_match_is_tiled():
+    p = list(range(15))
+    text = [*range(5, 11), *range(90, 95), *range(6)]
+    assert sorted(decontaminate.tiles(p, text)) == [(0, 11, 5), (5, 0, 6)]
+    # in a longer item, fragments of six to nine words that share some
+    long = list(range(30))
+    text = [*range(9), 91, *range(4, 13), 92, *range(8, 17), 93, *range(17, 23)]
+    assert sum(k for _, _, k in decontaminate.tiles(long, text)) == 9 + 8 + 6  # 0 to 8, 9 to 16, 17 to 22
+    assert no_match_is_left(p, [*range(5, 11), *range(6)]) and no_match_is_left(long, text)
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ([rng.randrange(3) for _ in range(rng.randrange(60))] for _ in range(2))
+        assert no_match_is_left(a, b)
+
+
+def no_match_is_left(pattern, text):
+    """Whether no five unmarked successive tokens are common to both."""
+    a, b = list(pattern), list(text)
+    for i, j, k in decontaminate.tiles(pattern, text):
+        a[i : i + k], b[j : j + k] = [None] * k, [None] * k
+    fives = [{tuple(x[i : i + 5]) for i in range(len(x) - 4) if None not in x[i : i + 5]} for x in (a, b)]
+    return not fives[0] & fives[1]
+
+
+def test_overlapping_fragments_contaminate(spark):
+    p = [f"w{i}" for i in range(15)]
+    docs = spark.createDataFrame([(1, " ".join([*p[5:11], "and", "so", *p[:6]]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(p))], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, r.n_tiles, r.covered) for r in decontaminate.contaminated(docs, bench).collect()] == [(1, 7, 2, 11)]
+    assert decontaminate.clean(docs, bench).count() == 0
