@@ -19,7 +19,6 @@ a smaller id. Suffixes are compared to that depth only.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -270,13 +269,15 @@ def sampled_splitters(docs: DataFrame, buckets: int, n_docs: int, length: int) -
     return np.unique(found[np.arange(1, buckets) * len(found) // buckets]) if len(found) else found
 
 
-def deduplicate(docs: DataFrame, length: int = 50) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document.
+def deduplicated(docs: DataFrame, length: int = 50) -> DataFrame:
+    """doc_id, kept, spans of every document: the bytes that stay, and where in the text the others were.
 
     Texts are UTF-8 bytes, null is empty; matches never cross documents. Removed is each byte
     covered by a string of ``length`` bytes that also starts in a document with a smaller
-    doc_id, judged on the input. Rows of one doc_id do not remove each other's bytes; a
-    null doc_id is larger than all others. No rows give no rows; other columns are ignored.
+    doc_id, judged on the input. ``spans`` are the runs of removed bytes as (start, length) in
+    the order of the text; ``kept`` is binary, as a cut may lie within a character. Rows of one
+    doc_id do not remove each other's bytes; a null doc_id is larger than all others. No rows
+    give no rows; other columns are ignored.
     """
     small_batches(docs.sparkSession)
     nobody = (1 << 63) - 1
@@ -333,23 +334,38 @@ def deduplicate(docs: DataFrame, length: int = 50) -> DataFrame:
         parts = np.split(masks, np.cumsum([len(d) for d in doc])[:-1])
         return _table({"chunk": (table.column("chunk").to_pylist(), pa.int64()), "bucket": ([key[0].as_py()] * len(doc), pa.int64()), "a": ([x.tobytes() for x in parts], pa.binary()), "b": ([None] * len(doc), pa.binary())})
 
-    def digest(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], [], [], []]
+    def cut(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, kept, starts, sizes, counts = [], [], [], [], [0]
         if left.num_rows:
             chunk, answers = chunk_of(left, right)
             gone = chunk.removed(answers)
             for d, text, a, b in zip(chunk.ids.tolist(), chunk.texts, chunk.offsets[:-1], chunk.offsets[1:], strict=True):
                 g = gone[a:b]
-                n = int(g.sum())
-                spans = int(g[:1].sum()) + int((g[1:] & ~g[:-1]).sum())
-                kept = text if not n else chunk.data[a:b][~g].tobytes()
-                for column, v in zip(out, (None if d == nobody else d, len(text), n, spans, hashlib.sha256(kept).hexdigest()), strict=True):
-                    column.append(v)
-        return _table({n: (v, pa.string() if n == "kept_sha256" else pa.int64()) for n, v in zip(("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), out, strict=True)})
+                edge = np.flatnonzero(np.diff(g, prepend=False, append=False))
+                ids.append(None if d == nobody else d)
+                kept.append(chunk.data[a:b][~g].tobytes() if len(edge) else text)
+                starts.append(edge[::2])
+                sizes.append(edge[1::2] - edge[::2])
+                counts.append(len(edge) // 2)
+        flat = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (starts, sizes)]
+        spans = pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), pa.StructArray.from_arrays(flat, ["start", "length"]))
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "kept": pa.array(kept, pa.binary()), "spans": spans})
 
     answer = "chunk long, bucket long, a binary, b binary"
     first = texts.groupBy("chunk").applyInArrow(anchors, "bucket long, chunk long, keys binary, marks binary")
     shared = first.groupBy("bucket").applyInArrow(repeated, answer)
     records = texts.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(suffixes, "chunk long, bucket long, docs binary, before binary, after binary, context binary")
     answers = shared.union(records.groupBy("bucket").applyInArrow(ranked, answer))
-    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(cut, "doc_id long, kept binary, spans array<struct<start: long, length: long>>")
+
+
+def deduplicate(docs: DataFrame, length: int = 50) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document, from ``deduplicated``."""
+    n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["length"])
+    return deduplicated(docs, length).select(
+        "doc_id",
+        (F.octet_length("kept") + n_removed).alias("n_bytes"),
+        n_removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )

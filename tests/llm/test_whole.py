@@ -2,7 +2,7 @@
 
 import random
 
-from foliometry.llm import decontaminate, langid
+from foliometry.llm import decontaminate, langid, suffix_dedup
 
 
 def prose(lang, n, seed):
@@ -56,3 +56,18 @@ def test_overlapping_fragments_contaminate(spark):
     bench = spark.createDataFrame([(7, " ".join(p))], "item_id long, text string")
     assert [(r.doc_id, r.item_id, r.n_tiles, r.covered) for r in decontaminate.contaminated(docs, bench).collect()] == [(1, 7, 2, 11)]
     assert decontaminate.clean(docs, bench).count() == 0
+
+
+def test_suffix_dedup_gives_texts_and_spans(spark):
+    a, b, odd = "first passage " * 5, "zweite Stelle mit Umlauten äöü " * 3, "é" * 60
+    texts = [a + odd, "new_" + a + "words", None, b, "x" + b + "y" + a, "", odd[:30] + "tail"]
+    docs = spark.createDataFrame([*enumerate(texts), (None, b)], "doc_id long, text string")
+    got = {r.doc_id: r for r in suffix_dedup.deduplicated(docs).collect()}
+    for i, text in [*enumerate(texts), (None, b)]:
+        raw = (text or "").encode()
+        for s in reversed(got[i].spans):
+            raw = raw[: s.start] + raw[s.start + s.length :]
+        assert bytes(got[i].kept) == raw
+    assert bytes(got[1].kept) == b"new_words" and [tuple(s) for s in got[1].spans] == [(4, len(a))]
+    assert bytes(got[4].kept) == b"xy" and len(got[4].spans) == 2 and got[0].spans == [] and bytes(got[None].kept) == b""
+    assert bytes(got[6].kept) == b"tail"
