@@ -26,6 +26,12 @@ def test_a_long_text_of_one_language_is_accepted():
     assert langs == ["en"] * 3 and rejected == [False] * 3
 
 
+def test_every_part_of_a_text_counts_alike():
+    pairs = [("fr", 100_000, "en", 300_000), ("de", 40_000, "en", 200_000), ("fr", 5_000, "en", 40_000), ("en", 40_000, "fr", 5_000), ("en", 30_000, "de", 90_000)]
+    langs, _, rejected = langid.classify([f"{prose(a, m, 1)} {prose(b, n, 2)}" for a, m, b, n in pairs], encoders())
+    assert langs == ["en", "en", "en", "en", "de"] and not any(rejected)
+
+
 def test_the_free_rest_of_a_match_is_tiled():
     p = list(range(15))
     text = [*range(5, 11), *range(90, 95), *range(6)]
