@@ -32,6 +32,14 @@ def test_every_part_of_a_text_counts_alike():
     assert langs == ["en", "en", "en", "en", "de"] and not any(rejected)
 
 
+def test_dictionaries_are_learned_from_any_place_of_a_text(spark):
+    docs = spark.createDataFrame([(i, f"{'head ' * 2_000}{'body ' * 2_000}{'tail ' * 2_000}", "en") for i in range(40)], "doc_id long, text string, lang string")
+    content = langid.fit(docs).content["en"]
+    assert all(word in content for word in (b"head", b"body", b"tail")) and len(content) <= langid.DICT_BYTES
+    short = spark.createDataFrame([(1, "short text", "en")], "doc_id long, text string, lang string")
+    assert langid.fit(short).content == {"en": b"short text"}
+
+
 def test_the_free_rest_of_a_match_is_tiled():
     p = list(range(15))
     text = [*range(5, 11), *range(90, 95), *range(6)]
