@@ -167,7 +167,8 @@ def assemble(records: DataFrame) -> DataFrame:
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, n_parts of each page,
-    written to archives in the shared folder and read back.
+    written to archives in the shared folder and read back. Bytes and digest of a response
+    are those of the assembled body.
 
     Null html is the empty payload, and empty payloads are equal to each other. Of rows with
     equal payload and the same smallest page_id each is a response. A null page_id is kept,
@@ -176,7 +177,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
     write_archives(pages, path)
-    captures = assemble(read_archives(spark, path, with_body=False))
+    captures = assemble(read_archives(spark, path))
     return captures.select(*columns_of(captures))
 
 
@@ -190,10 +191,11 @@ def _page(urn: Column) -> Column:
 
 def columns_of(captures: DataFrame) -> list[Column]:
     r = F.col("response")
+    whole = r["type"] == "response"
     return [
         _page(F.col("capture_id")).alias("page_id"),
-        r["payload_bytes"].alias("payload_bytes"),
-        F.coalesce(r["computed_digest"], r["payload_digest"]).alias("payload_digest"),
+        F.when(whole, F.octet_length(r["body"]).cast("long")).otherwise(r["payload_bytes"]).alias("payload_bytes"),
+        F.when(whole, base32_sha1(r["body"].cast("binary"))).otherwise(r["payload_digest"]).alias("payload_digest"),
         r["type"].alias("record_type"),
         _page(r["refers_to"]).alias("refers_to"),
         (F.lit(1) + F.col("request").isNotNull().cast("int") + F.col("metadata").isNotNull().cast("int")).cast("int").alias("n_parts"),

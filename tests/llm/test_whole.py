@@ -1,8 +1,10 @@
 """Operators do the whole job: long texts, all tiles, real outputs."""
 
+import hashlib
 import random
+from base64 import b32encode
 
-from foliometry.llm import decontaminate, langid, suffix_dedup
+from foliometry.llm import decontaminate, langid, suffix_dedup, warc
 
 
 def prose(lang, n, seed):
@@ -85,3 +87,16 @@ def test_suffix_dedup_gives_texts_and_spans(spark):
     assert bytes(got[1].kept) == b"new_words" and [tuple(s) for s in got[1].spans] == [(4, len(a))]
     assert bytes(got[4].kept) == b"xy" and len(got[4].spans) == 2 and got[0].spans == [] and bytes(got[None].kept) == b""
     assert bytes(got[6].kept) == b"tail"
+
+
+def test_warc_query_assembles_bodies(spark, monkeypatch):
+    html = ["<p>a</p>", "é" * 50, "", "<p>a</p>"]
+    pages = spark.createDataFrame([(i, f"http://x/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    seen, assemble = [], warc.assemble
+    monkeypatch.setattr(warc, "assemble", lambda records: seen.append(assemble(records)) or seen[-1])
+    got = {r.page_id: r for r in warc.round_trip(pages).collect()}
+    assert sorted(r.response.body for r in seen[0].where("response.type = 'response'").collect()) == sorted(set(html))
+    digest = lambda text: b32encode(hashlib.sha1(text.encode()).digest()).decode()
+    assert [(got[i].payload_bytes, got[i].payload_digest) for i in range(4)] == [(len(h.encode()), digest(h)) for h in html]
+    other = seen[0].withColumn("response", seen[0]["response"].withField("body", warc.F.lit("other")))
+    assert {(r.payload_bytes, r.payload_digest) for r in other.select(*warc.columns_of(other)).where("record_type = 'response'").collect()} == {(5, digest("other"))}
