@@ -92,8 +92,8 @@ def upper_median_order(spark, sf_dir):
 
 
 def phantom_sections(spark, sf_dir):
-    """Names and measures of the sections of synthetic images, one for every hundred suppliers."""
-    n = max(1, table(spark, sf_dir, "supplier").count() // 100)
+    """Names and measures of the sections of synthetic images, one for every supplier."""
+    n = table(spark, sf_dir, "supplier").count()
     images, rois = phantoms(spark, n)
     return combine(analyze(rois, images))[1].select("section_id", "ord", "name", "granular", "molecular", F.round("purkinje", 6).alias("purkinje"))
 
