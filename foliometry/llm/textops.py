@@ -17,7 +17,7 @@ _RNG = np.random.default_rng(20240229)
 _BASE = np.uint64(int(_RNG.integers(1 << 61, 1 << 62)) * 4 + 3)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SLICE = 1 << 21
+SLICE = 1 << 20
 _POWERS: dict[str, np.ndarray] = {}
 
 
