@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bitfilter import build, maybe
+from .bitfilter import build, filter_of, marks, maybe
 from .common import null_safe, small_batches, written
 from .textops import LETTERS, buffers, lowered, mix, prefix, shingles, slices, span_hash, words
 
@@ -169,4 +169,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     """
     key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     bad = contaminated(docs.select(key.alias("doc_id"), "text"), benchmark, coverage).select(F.col("doc_id").alias("other")).distinct()
-    return docs.join(bad, key == bad["other"], "left_anti")
+    bad = written(bad, "bad")
+    mark = marks(filter_of(bad, "other"), key)  # rows that may go are joined exactly; the texts of the others are not moved
+    return docs.where(~mark).unionByName(docs.where(mark).join(bad, key == bad["other"], "left_anti"))
