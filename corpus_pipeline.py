@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from foliometry.llm import decontaminate, jaccard, langid, packing, pii
-from foliometry.llm.common import table, written
+from foliometry.llm.common import remove, table, tables_written, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
+        before = set(tables_written())
         docs = written(stage(spark, docs, sf_dir), name)
+        made = [path for path in tables_written() if path not in before]
+        remove(spark, [*last, *made[:-1]])  # what the stage read, and what it kept on the way
+        last = made[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
