@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import base64
 import math
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from json import load
 
 import numpy as np
 import pyarrow as pa
@@ -79,7 +81,8 @@ def curve_keys(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.nda
 class Tokens:
     """Token ids by a byte-level BPE; ``ranks`` and ``json`` hold the same vocabulary.
 
-    The rank file's library is several times faster; a text that it cannot take goes to the other.
+    The rank file's library is several times faster; a text that it cannot take, or that has one
+    of the JSON file's added tokens in it, goes to the other.
     """
 
     def __init__(self, json: str, ranks: str, pattern: str) -> None:
@@ -87,10 +90,15 @@ class Tokens:
 
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        with open(json, encoding="utf-8") as f:
+            added = [re.escape(t["content"]) for t in load(f).get("added_tokens", [])]
         self.json, self.slow = json, None
+        self.added = re.compile("|".join(added) or r"(?!)")
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
     def encode(self, text: str) -> list[int]:
+        if self.added.search(text):
+            return self.plain(text)
         try:
             return self.fast.encode_ordinary(text)
         except BaseException as e:  # the Rust side panics on runs that exceed its regex limits
@@ -103,7 +111,6 @@ class Tokens:
             from tokenizers import Tokenizer
 
             self.slow = Tokenizer.from_file(self.json)
-            self.slow.encode_special_tokens = True
         return self.slow.encode(text, add_special_tokens=False).ids
 
 
