@@ -10,9 +10,10 @@ a smaller id. Suffixes are compared to that depth only.
   has moved then.
 * *Suffix array.* The candidates' suffixes are range-partitioned by their leading bytes at sampled
   splitters and sorted in each bucket by a multikey quicksort on words of eight bytes.
-  Runs of equal suffixes yield the smallest document. A splitter is no longer than an anchor, so
-  equal suffixes are never on two sides of a boundary; buckets need no exchange of their
-  borders. Anchors with very many records are split further by a hash of each whole suffix.
+  Runs of equal suffixes yield the smallest document. A splitter is as long as an anchor, so
+  equal suffixes are never on two sides of a boundary, and the comparison across boundaries has
+  nothing to compare. Anchors with very many records are split further by a hash of each whole
+  suffix, and ranges beyond ``MOST_RANGES`` by a hash of the anchor.
 * *Chunks.* Documents are dealt into chunks of some megabytes by their id. A string that a third of
   all documents hold is one record for each chunk, and answers go back to chunks.
 """
@@ -30,11 +31,14 @@ from .common import small_batches
 from .textops import buffers, mix, prefix, span_hash
 
 #: Bytes of an anchor, of a splitter, of a chunk; bytes of text for each bucket of anchors and of suffixes.
-ANCHOR, LEAD, CHUNK_BYTES, ANCHOR_BUCKET, SUFFIX_BUCKET = 20, 16, 8 << 20, 16 << 20, 8 << 20
+ANCHOR, CHUNK_BYTES, ANCHOR_BUCKET, SUFFIX_BUCKET = 20, 8 << 20, 16 << 20, 8 << 20
+LEAD = ANCHOR
 #: An anchor with so many records in all is split by its suffixes' hashes, into so many buckets.
 HOT_RECORDS, HOT_PARTS = 16_384, 256
-#: Documents sampled for the splitters at most, and windows looked at together.
-SAMPLE_DOCS, BLOCK = 2_000, 1 << 21
+#: Documents sampled for the splitters at least, and for each range; ranges at most; windows looked at together.
+SAMPLE_DOCS, RANGE_DOCS, MOST_RANGES, BLOCK = 2_000, 8, 1 << 14, 1 << 21
+#: Windows that share an anchor are bits of one word.
+MOST_LENGTH = ANCHOR + 63
 _POS = 24  # bits for the place of a window's anchor within a block
 
 
@@ -141,7 +145,10 @@ class Chunk:
             yield int(b[x]), k[x:y].tobytes(), mark[x:y].tobytes()
 
     def candidates(self, repeated: np.ndarray, hot: np.ndarray, buckets: int, splitters: np.ndarray, suffix_buckets: int) -> None:
-        """Keeps the runs whose anchor is in several documents; runs of hot anchors become single windows."""
+        """Keeps the runs whose anchor is in several documents; runs of hot anchors become single windows.
+
+        A bucket is a range of anchors between two splitters, dealt by the anchor's hash if there are more buckets than ranges.
+        """
         bucket, key = self.anchor_keys(buckets)
         full = (bucket.astype(np.uint64) << np.uint64(32)) | key.astype(np.uint64)
         at = np.minimum(np.searchsorted(repeated, full), max(len(repeated) - 1, 0))
@@ -160,7 +167,10 @@ class Chunk:
         sums = prefix(self.data)
         hashes = span_hash(sums, self.c_first, self.c_last + self.length)
         lead = np.ascontiguousarray(self._around(self.c_anchor, 0, LEAD)).view(f"S{LEAD}").ravel()
-        self.c_bucket = np.searchsorted(splitters, lead, side="right").astype(np.int64)
+        deal = -(-suffix_buckets // (len(splitters) + 1)) if suffix_buckets > MOST_RANGES else 1
+        anchor_hash = np.concatenate([self.hash[plain], self.hash[each]])
+        self.c_bucket = np.searchsorted(splitters, lead, side="right").astype(np.int64) * deal + (anchor_hash % np.uint64(deal)).astype(np.int64)
+        suffix_buckets = (len(splitters) + 1) * deal
         salt = (hashes[len(plain) :] % np.uint64(HOT_PARTS)).astype(np.int64)
         self.c_bucket[len(plain) :] = suffix_buckets + self.c_bucket[len(plain) :] * HOT_PARTS + salt
         # equal records of the chunk: the one of the smallest document goes on for all
@@ -253,19 +263,25 @@ def _table(columns: dict[str, tuple[list, pa.DataType]]) -> pa.Table:
 
 
 def sampled_splitters(docs: DataFrame, buckets: int, n_docs: int, length: int) -> np.ndarray:
-    """Leading bytes that cut the anchors of a bounded sample of documents into equal shares."""
-    limit = min(1 << 30, (1 << 30) * SAMPLE_DOCS // max(1, n_docs) + 1)
+    """Leading bytes that cut the anchors of a sample of documents into equal shares.
+
+    The sample grows with the buckets up to MOST_RANGES ranges, so the driver gets RANGE_DOCS *
+    MOST_RANGES documents at most, and about sixteen anchors of each.
+    """
+    buckets = min(buckets, MOST_RANGES)
+    limit = min(1 << 30, (1 << 30) * max(SAMPLE_DOCS, RANGE_DOCS * buckets) // max(1, n_docs) + 1)
     sample = docs.where(F.pmod(F.xxhash64("doc", F.lit("splitter")), F.lit(1 << 30)) < limit)
 
     def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = buffers(b.column("text"))
             _, _, anchor, _ = runs(data, offsets, length)
-            take = anchor[:: max(1, len(anchor) // 2_000)]
+            take = anchor[:: max(1, len(anchor) // (16 * b.num_rows))]
             out = [data[a : a + LEAD].tobytes() for a in take]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["lead"])
 
-    found = np.sort(np.array([bytes(r["lead"]) for r in sample.select("text").mapInArrow(leads, "lead binary").collect()], f"S{LEAD}"))
+    found = sample.select("text").mapInArrow(leads, "lead binary").toArrow().column("lead").to_pylist()
+    found = np.sort(np.array(found, f"S{LEAD}"))
     return np.unique(found[np.arange(1, buckets) * len(found) // buckets]) if len(found) else found
 
 
@@ -277,14 +293,16 @@ def deduplicated(docs: DataFrame, length: int = 50) -> DataFrame:
     doc_id, judged on the input. ``spans`` are the runs of removed bytes as (start, length) in
     the order of the text; ``kept`` is binary, as a cut may lie within a character. Rows of one
     doc_id do not remove each other's bytes; a null doc_id is larger than all others. No rows
-    give no rows; other columns are ignored.
+    give no rows; other columns are ignored. ``length`` is from ANCHOR to MOST_LENGTH; others raise a ValueError.
     """
-    small_batches(docs.sparkSession)
+    if not ANCHOR <= length <= MOST_LENGTH:
+        raise ValueError(f"length must be from {ANCHOR} to {MOST_LENGTH} bytes, not {length}")
+    spark = small_batches(docs.sparkSession)
     nobody = (1 << 63) - 1
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(nobody)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     n_docs, n_bytes = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
     chunks, anchor_buckets, suffix_buckets = (max(1, -(-n_bytes // size)) for size in (CHUNK_BYTES, ANCHOR_BUCKET, SUFFIX_BUCKET))
-    splitters = sampled_splitters(rows, suffix_buckets, n_docs, length)
+    splitters = spark.sparkContext.broadcast(sampled_splitters(rows, suffix_buckets, n_docs, length))  # MOST_RANGES at most
     texts = rows.select(F.pmod(F.xxhash64("doc"), F.lit(chunks)).alias("chunk"), "doc", "text")
 
     def anchors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -319,7 +337,7 @@ def deduplicated(docs: DataFrame, length: int = 50) -> DataFrame:
         chunk = Chunk(left, length)
         keys, hot = (np.concatenate(keys), np.concatenate(hot)) if keys else (np.zeros(0, np.uint64), np.zeros(0, bool))
         order = np.argsort(keys)
-        chunk.candidates(keys[order], hot[order], anchor_buckets, splitters, suffix_buckets)
+        chunk.candidates(keys[order], hot[order], anchor_buckets, splitters.value, suffix_buckets)
         return chunk, answers
 
     def suffixes(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
