@@ -28,10 +28,14 @@ def steps(lines: DataFrame, keys: list[str], px_w: float = 1.0, px_h: float = 1.
 
 def labelled_steps(walked: DataFrame, labelled: DataFrame, keys: list[str]) -> DataFrame:
     """Steps with the label of their pixel; null outside all regions. Regions must not overlap."""
-    spans = labelled.select(*keys, F.col("y").alias("row"), "x0", "x1", "label")
-    w = walked.withColumn("col", F.floor("mx").cast("int")).withColumn("row", F.floor("my").cast("int"))
-    hit = w.select(*keys, "idx", "s", "row", "col").join(spans, [*keys, "row"]).where((F.col("x0") <= F.col("col")) & (F.col("col") < F.col("x1"))).select(*keys, "idx", "s", "label")
-    return w.drop("row", "col").join(hit, [*keys, "idx", "s"], "left")
+    names = [f"span_{k}" for k in keys]
+    spans = labelled.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.col("y").alias("span_y"), F.col("x0").alias("span_x0"), F.col("x1").alias("span_x1"), "label")
+    column = F.floor("mx").cast("int")
+    met = F.floor("my").cast("int") == F.col("span_y")
+    for k, n in zip(keys, names, strict=True):
+        met = met & (F.col(k) == F.col(n))
+    met = met & (F.col("span_x0") <= column) & (column < F.col("span_x1"))
+    return walked.join(spans, met, "left").select(*walked.columns, "label")
 
 
 def length_by_label(marked: DataFrame, keys: list[str]) -> DataFrame:

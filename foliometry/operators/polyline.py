@@ -55,18 +55,21 @@ def points_at(segs: DataFrame, arcs: DataFrame, keys: list[str]) -> DataFrame:
 
     ``segs`` comes from ``segments``. The first segment that ends at or beyond the arc has it.
     """
-    last = F.max("cum1").over(Window.partitionBy(*keys))
-    first = F.min("idx").over(Window.partitionBy(*keys))
-    s = segs.select(*keys, F.col("idx").alias("s"), "x", "y", "x2", "y2", "len", "cum0", "cum1", last.alias("all"), first.alias("s0"))
-    inside = (F.col("arc") > F.col("cum0")) & (F.col("arc") <= F.col("cum1")) & (F.col("arc") < F.col("all"))
-    at_start = (F.col("arc") <= 0) & (F.col("s") == F.col("s0"))
-    at_end = (F.col("arc") >= F.col("all")) & (F.col("arc") > 0) & (F.col("cum1") == F.col("all"))
-    found = arcs.join(s, keys).where(inside | at_start | at_end)
-    t = F.when(at_start, F.lit(0.0)).when(at_end, F.lit(1.0)).when(F.col("len") < 1e-9, F.lit(0.0)).otherwise((F.col("arc") - F.col("cum0")) / F.when(F.col("len") < 1e-9, F.lit(1.0)).otherwise(F.col("len")))
-    along = lambda a, b: F.when(at_end, F.col(b)).otherwise(F.col(a) + t * (F.col(b) - F.col(a)))
-    out = found.withColumn("px", along("x", "x2")).withColumn("py", along("y", "y2"))
     rest = [c for c in arcs.columns if c not in keys]
-    return out.groupBy(*keys, *rest).agg(F.min_by(F.struct("px", "py"), "s").alias("p")).select(*keys, *rest, "p.px", "p.py")
+    # one merge along each line: lengths asked for stand before a segment that begins at them
+    none = F.lit(None)
+    seg = F.struct(F.col("idx").cast("long").alias("s"), *(F.col(c) for c in ("x", "y", "x2", "y2", "len", "cum0", "cum1"))).alias("seg")
+    starts = segs.select(*keys, F.col("cum0").alias("at"), F.lit(1).alias("kind"), F.col("idx").cast("long").alias("tie"), seg, *(none.cast(arcs.schema[c].dataType).alias(c) for c in rest))
+    asked = arcs.select(*keys, F.col("arc").cast("double").alias("at"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("tie"), none.cast(starts.schema["seg"].dataType).alias("seg"), *rest)
+    rows = starts.unionByName(asked)
+    line = Window.partitionBy(*keys)
+    before = F.last("seg", ignorenulls=True).over(line.orderBy("at", "kind", "tie").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.select(*keys, *rest, "kind", before.alias("b"), F.max("seg.cum1").over(line).alias("all"), F.min_by("seg", "seg.s").over(line).alias("first"))
+    rows = rows.where((F.col("kind") == 0) & F.col("all").isNotNull()).withColumn("b", F.coalesce("b", "first"))
+    t = (F.col("arc") - F.col("b.cum0")) / F.when(F.col("b.len") < 1e-9, F.lit(1.0)).otherwise(F.col("b.len"))
+    t = F.when((F.col("arc") <= 0) | (F.col("b.len") < 1e-9), F.lit(0.0)).otherwise(t)
+    along = lambda c: F.when((F.col("arc") >= F.col("all")) & (F.col("arc") > 0), F.col(f"b.{c}2")).otherwise(F.col(f"b.{c}") + t * (F.col(f"b.{c}2") - F.col(f"b.{c}"))).alias(f"p{c}")
+    return rows.select(*keys, *rest, along("x"), along("y"))
 
 
 def nearest(segs: DataFrame, points: DataFrame, keys: list[str], point_keys: list[str]) -> DataFrame:

@@ -2,13 +2,12 @@
 
 Plain numpy on one section at a time; the DataFrame operators run these functions on many sections
 in parallel, one group for each. What needs pixel neighbourhoods in a fixed order is here,
-everything else is span algebra.
+everything else is span algebra. Regions are handled as runs of pixels wherever that will do, so
+a large image costs one canvas of labels and little more.
 """
 
 from __future__ import annotations
 
-from collections import deque
-
 import numpy as np
 
 #: Neighbours in the order in which growth visits them.
@@ -16,27 +15,37 @@ AROUND = ((-1, -1), (0, -1), (1, -1), (-1, 0), (1, 0), (-1, 1), (0, 1), (1, 1))
 #: Cut widths tried, as shares of the mean cut length, least half width, kept share, sliver share, hole size.
 WIDTHS, LEAST_HALF_WIDTH, KEPT_SHARE, SLIVER_SHARE, HOLE_PIXELS = (0.02, 0.06, 0.15), 1.0, 0.75, 0.015, 32
 
+Runs = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def paint(canvas: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray, value) -> np.ndarray:
+    """Sets the pixels of runs, clipped to the canvas; ``value`` is one for all or one for each."""
+    h, w = canvas.shape
+    values = np.broadcast_to(value, np.shape(y)).tolist()
+    for r, a, b, v in zip(np.asarray(y).tolist(), np.maximum(x0, 0).tolist(), np.minimum(x1, w).tolist(), values, strict=True):
+        if 0 <= r < h and a < b:
+            canvas[r, a:b] = v
+    return canvas
+
 
 def mask_of(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
     """Pixels of spans, clipped to the canvas."""
-    step = np.zeros((shape[0], shape[1] + 1), np.int32)
-    ok = (y >= 0) & (y < shape[0]) & (x1 > 0) & (x0 < shape[1])
-    np.add.at(step, (y[ok], np.clip(x0[ok], 0, shape[1])), 1)
-    np.add.at(step, (y[ok], np.clip(x1[ok], 0, shape[1])), -1)
-    return np.cumsum(step[:, :-1], axis=1) > 0
+    return paint(np.zeros(shape, bool), y, x0, x1, True)
 
 
 def spans_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(y, x0, x1, value) of the runs of equal values that are not negative."""
+    """(y, x0, x1, value) of the runs of equal values that are not negative; true counts as 0."""
     h, w = values.shape
-    edge = np.full((h, 1), -2, values.dtype)
-    change = np.diff(np.concatenate([edge, values, edge], axis=1), axis=1) != 0
-    y, x = np.nonzero(change)
-    same = y[1:] == y[:-1]
-    y, x0, x1 = y[:-1][same], x[:-1][same], x[1:][same]
-    value = values[y, x0]
-    ok = value >= 0
-    return y[ok], x0[ok], x1[ok], value[ok]
+    flat = np.full((h, w + 1), False if values.dtype == bool else -1, values.dtype)  # a column of background ends each line
+    flat[:, :w] = values
+    flat = flat.ravel()
+    at = np.append(0, np.flatnonzero(flat[1:] != flat[:-1]) + 1)
+    end = np.append(at[1:], len(flat))
+    value = flat[at]
+    use = value if values.dtype == bool else value >= 0
+    at, end, value = at[use], end[use], np.zeros(int(use.sum()), np.int32) if values.dtype == bool else value[use]
+    y = at // (w + 1)
+    return y, at - y * (w + 1), end - y * (w + 1), value
 
 
 def label_runs(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, diagonal: bool = True) -> np.ndarray:
@@ -54,7 +63,7 @@ def label_runs(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, diagonal: bool = T
     reach = 0 if diagonal else 1
     start = {int(v): int(i) for v, i in zip(*np.unique(ys, return_index=True), strict=True)}
     end = {v: i + int(n) for (v, i), n in zip(start.items(), np.unique(ys, return_counts=True)[1], strict=True)}
-    a, b = a.tolist(), b.tolist()
+    ys, a, b = ys.tolist(), a.tolist(), b.tolist()
     for i in range(1, len(up)):
         if ys[i] == ys[i - 1] and a[i] <= b[i - 1]:  # runs of one line that meet
             p, q = find(i - 1), find(i)
@@ -78,22 +87,22 @@ def label_runs(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, diagonal: bool = T
     return out
 
 
+def component_runs(mask: np.ndarray, diagonal: bool = True) -> tuple[Runs, np.ndarray]:
+    """The runs of a mask, and the component of each."""
+    y, x0, x1, _ = spans_of(mask)
+    return (y, x0, x1), label_runs(y, x0, x1, diagonal)
+
+
 def components(mask: np.ndarray, diagonal: bool = True) -> np.ndarray:
     """Labels of a mask, -1 outside."""
-    y, x0, x1, _ = spans_of(np.where(mask, 0, -1).astype(np.int32))
-    number = label_runs(y, x0, x1, diagonal)
-    step = np.zeros((mask.shape[0], mask.shape[1] + 1), np.int64)
-    np.add.at(step, (y, x0), number + 1)
-    np.add.at(step, (y, x1), -(number + 1))
-    return np.cumsum(step[:, :-1], axis=1) - 1
+    found, number = component_runs(mask, diagonal)
+    return paint(np.full(mask.shape, -1, np.int32), *found, number)
 
 
 def enclosed(mask: np.ndarray) -> int:
     """Background pixels that no 4-connected path joins with the canvas border."""
-    back = components(~np.pad(mask, 1), diagonal=False)[1:-1, 1:-1]
-    border = {*np.unique(back[[0, -1]]), *np.unique(back[:, [0, -1]])} - {-1}
-    # the padding joins all border background: its label is that of the first pixel, 0
-    return int(((back >= 0) & ~np.isin(back, list(border | {0}))).sum())
+    (_, x0, x1), number = component_runs(~np.pad(mask, 1), diagonal=False)
+    return int((x1 - x0)[number != 0].sum())  # the padding joins all background at the border to the first pixel's component
 
 
 def has_hole(mask: np.ndarray) -> bool:
@@ -101,66 +110,90 @@ def has_hole(mask: np.ndarray) -> bool:
 
 
 def grow(labels: np.ndarray, region: np.ndarray, blocked: np.ndarray | None = None) -> None:
-    """Labels spread into the region breadth first, seeds row by row, neighbours in a fixed order."""
+    """Labels spread into the region breadth first, seeds row by row, neighbours in a fixed order.
+
+    All pixels of one distance are taken together; of those that reach a pixel, the first in the
+    order of a queue gives its label.
+    """
     h, w = labels.shape
-    open_ = region & (labels == -1)
+    open_ = np.zeros((h + 2, w + 2), bool)
+    open_[1:-1, 1:-1] = region & (labels < 0)
     if blocked is not None:
-        open_ &= ~blocked
-    padded = np.pad(open_, 1)
-    near = np.zeros_like(open_)
+        open_[1:-1, 1:-1] &= ~blocked
+    near = np.zeros((h, w), bool)
     for dx, dy in AROUND:
-        near |= padded[1 + dy : h + 1 + dy, 1 + dx : w + 1 + dx]
-    queue = deque(zip(*np.nonzero((labels >= 0) & near), strict=True))
-    while queue:
-        y, x = queue.popleft()
-        label = labels[y, x]
-        for dx, dy in AROUND:
-            i, j = y + dy, x + dx
-            if 0 <= i < h and 0 <= j < w and open_[i, j]:
-                open_[i, j] = False
-                labels[i, j] = label
-                queue.append((i, j))
-
-
-def complete(raw: np.ndarray, region: np.ndarray, least: int) -> np.ndarray:
+        near |= open_[1 + dy : h + 1 + dy, 1 + dx : w + 1 + dx]
+    y, x = np.nonzero(near & (labels >= 0))
+    flat, width = open_.ravel(), w + 2
+    steps = np.array([dy * width + dx for dx, dy in AROUND])
+    front, value = (y + 1) * width + x + 1, labels[y, x]
+    while len(front):
+        reached = (front[:, None] + steps).ravel()
+        hit = np.flatnonzero(flat[reached])
+        _, first = np.unique(reached[hit], return_index=True)
+        hit = hit[np.sort(first)]
+        front, value = reached[hit], value[hit // len(AROUND)]
+        flat[front] = False
+        labels[front // width - 1, front % width - 1] = value
+
+
+def complete(runs: Runs, number: np.ndarray, region: np.ndarray, least: int) -> np.ndarray:
     """Every region pixel that can be reached gets the label of a kept component.
 
-    Components below ``least`` pixels are slivers. Kept ones grow around them first; then each
-    sliver, in order, goes whole to the label it touches most (lowest of equals);
-    then growth fills the rest.
+    Components (``number`` for each of ``runs``) below ``least`` pixels are slivers. Kept ones grow around
+    them first; then each sliver, in order, goes whole to the label it touches most (lowest of
+    equals); then growth fills the rest.
     """
-    sizes = np.bincount(raw[raw >= 0], minlength=int(raw.max()) + 1) if raw.max() >= 0 else np.zeros(0, int)
+    y, x0, x1 = runs
+    sizes = np.bincount(number, x1 - x0).astype(np.int64) if len(number) else np.zeros(0, np.int64)
     keep = sizes >= least
     name = np.where(keep, np.cumsum(keep) - 1, -1)
-    labels = np.where(raw >= 0, name[np.maximum(raw, 0)] if len(name) else -1, -1)
-    blocked = (raw >= 0) & (labels < 0)
-    grow(labels, region, blocked)
+    labels = paint(np.full(region.shape, -1, np.int32), y, x0, x1, name[number] if len(number) else 0)
+    order = np.argsort(number, kind="stable")
+    bounds = np.searchsorted(number[order], np.arange(len(sizes) + 1))
+    slivers = [order[bounds[c] : bounds[c + 1]] for c in np.flatnonzero(~keep)]
+    small = np.concatenate(slivers) if slivers else np.zeros(0, np.int64)
+    grow(labels, region, mask_of(y[small], x0[small], x1[small], region.shape))
     h, w = labels.shape
-    for c in np.flatnonzero(~keep):
-        y, x = np.nonzero(raw == c)
+    for own in slivers:
+        n = x1[own] - x0[own]
+        py = np.repeat(y[own], n)
+        px = np.arange(n.sum()) + np.repeat(x0[own] - (np.cumsum(n) - n), n)
         votes = np.zeros(int(keep.sum()) + 1, np.int64)
         for dx, dy in AROUND:
-            i, j = y + dy, x + dx
+            i, j = py + dy, px + dx
             ok = (i >= 0) & (i < h) & (j >= 0) & (j < w)
             found = labels[i[ok], j[ok]]
-            np.add.at(votes, found[found >= 0], 1)
+            votes += np.bincount(found[found >= 0], minlength=len(votes))
         if votes.max() > 0:
-            labels[y, x] = int(votes.argmax())
+            labels[py, px] = int(votes.argmax())
     grow(labels, region)
     return labels
 
 
-def polygon_mask(px: np.ndarray, py: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
-    """Pixels whose centres are inside a polygon (even-odd)."""
-    flips = np.zeros((shape[0], shape[1] + 1), np.int32)
+def cut_polygon(mask: np.ndarray, px: np.ndarray, py: np.ndarray) -> None:
+    """Clears the pixels whose centres are inside a polygon (even-odd), working in its bounds only."""
+    h, w = mask.shape
+    top, bottom = max(int(np.ceil(py.min() - 0.5)), 0), min(int(np.ceil(py.max() - 0.5)), h)
+    left, right = max(int(np.ceil(px.min() - 0.5)), 0), min(int(np.ceil(px.max() - 0.5)), w)
+    if top >= bottom or left >= right:
+        return
+    flips = np.zeros((bottom - top, right - left + 1), np.int16)
     for ax, ay, bx, by in zip(px, py, np.roll(px, -1), np.roll(py, -1), strict=True):
         low, high = int(np.ceil(min(ay, by) - 0.5)), int(np.ceil(max(ay, by) - 0.5))
-        rows = np.arange(max(low, 0), min(high, shape[0]))
+        rows = np.arange(max(low, top), min(high, bottom))
         if ay == by or not len(rows):
             continue
         cross = ax + (rows + 0.5 - ay) * (bx - ax) / (by - ay)
-        flips[rows, np.clip(np.ceil(cross - 0.5), 0, shape[1]).astype(int)] += 1
-    return np.cumsum(flips[:, :-1], axis=1) % 2 == 1
+        flips[rows - top, np.clip(np.ceil(cross - 0.5) - left, 0, right - left).astype(int)] += 1
+    mask[top:bottom, left:right] &= np.cumsum(flips[:, :-1], axis=1, dtype=np.int16) % 2 == 0
+
+
+def polygon_mask(px: np.ndarray, py: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """Pixels whose centres are inside a polygon (even-odd)."""
+    out = np.ones(shape, bool)
+    cut_polygon(out, np.asarray(px, float), np.asarray(py, float))
+    return ~out
 
 
 def strip(points: np.ndarray, half: float) -> np.ndarray:
@@ -205,43 +238,42 @@ def split(grey: np.ndarray, cuts: list[np.ndarray]) -> tuple[np.ndarray, dict]:
         divided = grey.copy()
         for c in cuts:
             p = strip(c, half)
-            divided &= ~polygon_mask(p[:, 0], p[:, 1], grey.shape)
-        raw = components(divided)
-        sizes = np.bincount(raw[raw >= 0]) if (raw >= 0).any() else np.zeros(0, int)
+            cut_polygon(divided, p[:, 0], p[:, 1])
+        found, number = component_runs(divided)
+        sizes = np.bincount(number, found[2] - found[1]).astype(np.int64) if len(number) else np.zeros(0, np.int64)
         kept, kept_area = int((sizes >= least).sum()), int(sizes[sizes >= least].sum())
         rank = (abs(kept - expected), -kept_area)
         clean = kept == expected and kept_area >= area * KEPT_SHARE
         if clean or best is None or rank < best:
-            best, chosen = rank, (raw, {"half_width": float(half), "kept": kept, "clean": clean})
+            best, chosen = rank, (found, number, {"half_width": float(half), "kept": kept, "clean": clean})
         if clean:
             break
-    raw, how = chosen
-    labels = complete(raw, grey, least)
+    found, number, how = chosen
+    labels = complete(found, number, grey, least)
     assigned = int((labels >= 0).sum())
     return labels, how | {"ring": bool(ring), "expected": int(expected), "area": area, "assigned": assigned}
 
 
 def outline(mask: np.ndarray) -> list[list[tuple[int, int]]]:
-    """Closed rings of pixel corners around a mask; filling them by the even-odd rule gives it back."""
+    """Closed rings of pixel corners around a mask; filling them by the even-odd rule gives it back.
+
+    Only the sides between a pixel and background are walked, with the mask to the right.
+    """
     m = np.pad(mask, 1)
+    inner = m[1:-1, 1:-1]
     after: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for y, x in zip(*np.nonzero(m), strict=True):
-        for (dy, dx), (p, q) in (((-1, 0), ((x, y), (x + 1, y))), ((0, 1), ((x + 1, y), (x + 1, y + 1))), ((1, 0), ((x + 1, y + 1), (x, y + 1))), ((0, -1), ((x, y + 1), (x, y)))):
-            if not m[y + dy, x + dx]:
-                after.setdefault((int(p[0]), int(p[1])), []).append((int(q[0]), int(q[1])))
+    sides = ((m[:-2, 1:-1], (0, 0), (1, 0)), (m[1:-1, 2:], (1, 0), (1, 1)), (m[2:, 1:-1], (1, 1), (0, 1)), (m[1:-1, :-2], (0, 1), (0, 0)))
+    for beside, (ax, ay), (bx, by) in sides:
+        y, x = np.nonzero(inner & ~beside)
+        for p, q in zip(zip((x + ax).tolist(), (y + ay).tolist(), strict=True), zip((x + bx).tolist(), (y + by).tolist(), strict=True), strict=True):
+            after.setdefault(p, []).append(q)
     rings = []
-    while after:
-        start = min(after)
-        ring, at = [start], after[start].pop()
-        if not after[start]:
-            del after[start]
-        while at != start:
-            ring.append(at)
-            options = after[at]
-            nxt = options.pop()
-            if not options:
-                del after[at]
-            at = nxt
-        corners = [p for i, p in enumerate(ring) if (p[0] - ring[i - 1][0]) * (ring[(i + 1) % len(ring)][1] - p[1]) != (p[1] - ring[i - 1][1]) * (ring[(i + 1) % len(ring)][0] - p[0])]
-        rings.append([(x - 1, y - 1) for x, y in corners])
+    for start in sorted(after):
+        while after[start]:
+            ring, at = [start], after[start].pop()
+            while at != start:
+                ring.append(at)
+                at = after[at].pop()
+            corners = [p for i, p in enumerate(ring) if (p[0] - ring[i - 1][0]) * (ring[(i + 1) % len(ring)][1] - p[1]) != (p[1] - ring[i - 1][1]) * (ring[(i + 1) % len(ring)][0] - p[0])]
+            rings.append(corners)
     return rings

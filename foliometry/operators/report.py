@@ -93,7 +93,7 @@ def font_size(width: Column, height: Column) -> Column:
     return F.greatest(F.lit(12), F.floor(F.least(width, height) / F.lit(40.0) + 0.5).cast("int"))
 
 
-def _rgba(rgb: tuple[int, int, int]) -> str:
+def rgba(rgb: tuple[int, int, int]) -> str:
     return "#{:02X}{:02X}{:02X}{:02X}".format(*rgb, FILL_ALPHA)
 
 
@@ -103,14 +103,14 @@ def overlay_items(pieces: DataFrame, cuts: DataFrame, parts: DataFrame, fills: b
     named = pieces.select("section_id", "instance", piece_prefix(F.col("instance"), n_inst).alias("pre"))
     item = lambda group, k, name, kind, fill, stroke, width: F.struct(F.lit(group).alias("g"), k.cast("int").alias("k"), name.alias("name"), F.lit(kind).alias("kind"), fill.cast("string").alias("fill"), F.lit(stroke).cast("string").alias("stroke"), F.lit(width).cast("double").alias("width"))
     none = F.lit(None)
-    fixed = [item(0, F.lit(i), F.concat("pre", F.lit(n)), "area", F.lit(_rgba(rgb)), s, AREA_WIDTH) for i, (n, rgb, s) in enumerate(LAYER_FILLS)]
+    fixed = [item(0, F.lit(i), F.concat("pre", F.lit(n)), "area", F.lit(rgba(rgb)), s, AREA_WIDTH) for i, (n, rgb, s) in enumerate(LAYER_FILLS)]
     fixed.append(item(1, F.lit(0), F.concat("pre", F.lit("Purkinje")), "line", none, "#FF0000", LINE_WIDTH))
     out = named.select("section_id", "instance", F.explode(F.array(*fixed)).alias("i"))
     number = F.row_number().over(Window.partitionBy("section_id", "instance").orderBy("arc", "cut_id"))
     lines = cuts.withColumn("number", number).join(named, ["section_id", "instance"])
     out = out.unionByName(lines.select("section_id", "instance", item(2, F.col("number"), F.concat("pre", F.lit("Fissure"), F.col("number").cast("string")), "line", none, "#FFFFFF", LINE_WIDTH).alias("i")))
     if fills:
-        colour = F.get(F.array(*(F.lit(_rgba(c)) for c in SECTION_FILLS)), ((F.col("ord") - 1) % len(SECTION_FILLS)).cast("int"))
+        colour = F.get(F.array(*(F.lit(rgba(c)) for c in SECTION_FILLS)), ((F.col("ord") - 1) % len(SECTION_FILLS)).cast("int"))
         full = F.concat("pre", "name")
         both = F.array(item(3, F.col("ord") * 2, full, "area", colour, None, None), item(3, F.col("ord") * 2 + 1, F.concat(full, F.lit(" label")), "text", F.lit("#0000008C"), "#FFFFFF", None))
         out = out.unionByName(parts.join(named, ["section_id", "instance"]).select("section_id", "instance", F.explode(both).alias("i")))

@@ -74,6 +74,30 @@ def derived_layers(cut: DataFrame) -> DataFrame:
     return cut.withColumn("grey", grey).withColumn("granular", granular).withColumn("molecular", grey & ~granular)
 
 
+def intersect(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, y, x0, x1 of the pixels in both regions; spans of one region must not overlap each other."""
+    other = second.select(*keys, "y", F.col("x0").alias("b0"), F.col("x1").alias("b1"))
+    both = first.select(*keys, "y", "x0", "x1").join(other, [*keys, "y"]).where((F.col("x0") < F.col("b1")) & (F.col("b0") < F.col("x1")))
+    return both.select(*keys, "y", F.greatest("x0", "b0").alias("x0"), F.least("x1", "b1").alias("x1"))
+
+
+def subtract(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, y, x0, x1 of the pixels in the first region only; an empty second region takes nothing.
+
+    Each scanline of the second region (a few spans) meets the first's spans, which keep the gaps.
+    """
+    span = F.struct(F.col("x0").alias("b0"), F.col("x1").alias("b1"))
+    other = second.groupBy(*keys, "y").agg(F.sort_array(F.collect_list(span)).alias("cut"))
+    rows = first.select(*keys, "y", "x0", "x1").join(other, [*keys, "y"], "left")
+    gap = lambda a, b: F.struct(a.alias("x0"), b.alias("x1"))
+    begin = F.struct(F.array().cast("array<struct<x0: int, x1: int>>").alias("gaps"), F.col("x0").cast("int").alias("at"))
+    step = lambda acc, s: F.struct(F.concat(acc["gaps"], F.array(gap(acc["at"], F.least(s["b0"], F.col("x1")).cast("int")))).alias("gaps"), F.greatest(acc["at"], s["b1"]).cast("int").alias("at"))
+    end = lambda acc: F.concat(acc["gaps"], F.array(gap(acc["at"], F.col("x1").cast("int"))))
+    cut = F.coalesce("cut", F.array().cast("array<struct<b0: int, b1: int>>"))
+    left = rows.select(*keys, "y", F.explode(F.aggregate(cut, begin, step, end)).alias("g"))
+    return left.select(*keys, "y", "g.x0", "g.x1").where("x0 < x1")
+
+
 def pixels(flag: Column) -> Column:
     """Aggregate: pixels of the cells where ``flag`` holds."""
     return F.coalesce(F.sum(F.when(flag, (F.col("x1") - F.col("x0")).cast("long"))), F.lit(0)).alias("px")

@@ -131,7 +131,43 @@ grid AS (
   UNION ALL SELECT section_id, 1, 'Area', printf('%.4f', cerebellum), printf('%.4f', grey), printf('%.4f', granular), printf('%.4f', molecular), printf('%.4f', purkinje_area) FROM tot
   UNION ALL SELECT section_id, 2, 'Length', NULL, NULL, NULL, NULL, printf('%.4f', purkinje_len) FROM tot
   UNION ALL SELECT section_id, ord + 2, name, NULL, NULL, printf('%.4f', granular), printf('%.4f', molecular), printf('%.4f', purkinje) FROM pool)"""
+_NAMED = """
+named AS (SELECT section_id, instance, joined, n, CASE WHEN count(*) OVER (PARTITION BY section_id) > 1 THEN '[' || instance || '] ' ELSE '' END AS pre FROM p)"""
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in row) + ")" for row in rows)
+
+
+_LAYERS = _values((i, name, report.rgba(rgb), stroke) for i, (name, rgb, stroke) in enumerate(report.LAYER_FILLS))
+_COLOURS = "[" + ", ".join(repr(report.rgba(c)) for c in report.SECTION_FILLS) + "]"
 ORACLES = {
+    "measurement_roi_names": f"""WITH {_PIECES}, {_NAMED}, own AS (SELECT part_.*, pre FROM part_ JOIN named USING (section_id, instance)),
+        item AS (
+          SELECT section_id, instance, 0 AS ord, k, pre || what AS name FROM named, (VALUES {_LAYERS}) AS l(k, what, fill, stroke)
+          UNION ALL SELECT section_id, instance, ord, 0, pre || name || '_Granular' FROM own WHERE granular > 0
+          UNION ALL SELECT section_id, instance, ord, 1, pre || name || '_Molecular' FROM own WHERE molecular > 0
+          UNION ALL SELECT section_id, instance, ord, run + 1, pre || name || CASE WHEN ord % 2 = 0 THEN '_Purkinje' ELSE '_Purkinje_' || run END
+            FROM (SELECT *, unnest(range(1, ord % 2 + 2)) AS run FROM own WHERE purkinje > 0))
+        SELECT section_id, CAST(row_number() OVER (PARTITION BY section_id ORDER BY instance, ord, k) - 1 AS INTEGER) AS seq, name FROM item""",
+    "overlay_items": f"""WITH {_PIECES}, {_NAMED}, own AS (SELECT part_.*, pre FROM part_ JOIN named USING (section_id, instance)),
+        item AS (
+          SELECT section_id, instance, 0 AS g, k, pre || what AS name, 'area' AS kind, fill, stroke, 1.0::DOUBLE AS width FROM named, (VALUES {_LAYERS}) AS l(k, what, fill, stroke)
+          UNION ALL SELECT section_id, instance, 1, 0, pre || 'Purkinje', 'line', NULL, '#FF0000', 1.5 FROM named
+          UNION ALL SELECT section_id, instance, 2, num, pre || 'Fissure' || num, 'line', NULL, '#FFFFFF', 1.5 FROM (SELECT *, row_number() OVER (PARTITION BY section_id, instance ORDER BY ord DESC) AS num FROM own)
+          UNION ALL SELECT section_id, instance, 3, ord * 2, pre || name, 'area', ({_COLOURS})[(ord - 1) % {len(report.SECTION_FILLS)} + 1], NULL, NULL FROM own
+          UNION ALL SELECT section_id, instance, 3, ord * 2 + 1, pre || name || ' label', 'text', '#0000008C', '#FFFFFF', NULL FROM own)
+        SELECT section_id, CAST(row_number() OVER (PARTITION BY section_id ORDER BY instance, g, k) - 1 AS INTEGER) AS z, name, kind, fill, stroke, width FROM item""",
+    "run_info": f"""WITH {_PIECES}, {_NAMED}, image AS (SELECT section_id, count(*) AS pieces, count(CASE WHEN joined THEN 1 END) AS warned FROM named GROUP BY 1),
+        item AS (
+          SELECT section_id, 0 AS k, 0 AS i, 'Image' AS field, 'image ' || section_id AS value FROM image
+          UNION ALL SELECT section_id, 1, 0, 'Image size', '6000 × 5000 pixels' FROM image
+          UNION ALL SELECT section_id, 2, 0, 'Pixel size', CASE WHEN section_id % 2 = 0 THEN '0.5 × 0.25 µm' ELSE 'not calibrated (areas in pixel², lengths in pixels)' END FROM image
+          UNION ALL SELECT section_id, 3, 0, 'Traced pieces', CAST(pieces AS VARCHAR) FROM image
+          UNION ALL SELECT section_id, 4, instance, 'Piece ' || instance, CASE WHEN n = 0 AND section_id % 2 = 0 THEN 'not split into sections (no fissures traced)' WHEN n = 0 THEN 'not split into sections (no White Matter)'
+              ELSE n || ' fissure(s), ' || n || ' section(s); grey matter is a closed ring' || CASE WHEN joined THEN '; first and last sections joined' ELSE '' END END FROM named
+          UNION ALL SELECT section_id, 5, 0, 'Warnings', CAST(warned AS VARCHAR) FROM image)
+        SELECT section_id, CAST(row_number() OVER (PARTITION BY section_id ORDER BY k, i) - 1 AS INTEGER) AS seq, field, value FROM item""",
     "line_length_by_region": f"WITH {_STEPS} SELECT line_id, label, round(sum(step_len), 6) AS length FROM marked WHERE label IS NOT NULL GROUP BY ALL",
     "line_runs": f"""WITH {_STEPS}, c AS (SELECT *, CASE WHEN lag(label) OVER w IS DISTINCT FROM label OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS change,
             CASE WHEN lead(label) OVER w IS DISTINCT FROM label OR lead(s) OVER w IS NULL THEN 1 ELSE 0 END AS stop FROM marked WINDOW w AS (PARTITION BY line_id ORDER BY idx, s))

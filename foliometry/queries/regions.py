@@ -26,12 +26,18 @@ def phantom_layer_areas(spark, sf_dir):
     return spans.layer_pixels(_cells(spark, sf_dir), ["section_id"])
 
 
+def _layer(filled, name):
+    return filled.where(F.col("layer") == name).drop("layer")
+
+
 def span_and(spark, sf_dir):
-    return _cells(spark, sf_dir).where(F.col("cb") & F.col("gl")).groupBy("section_id", "y").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
+    filled = _spans(spark, sf_dir)
+    return spans.intersect(_layer(filled, "cb"), _layer(filled, "gl"), ["section_id"])
 
 
 def span_not(spark, sf_dir):
-    return _cells(spark, sf_dir).where(F.col("cb") & ~F.col("gl")).groupBy("section_id", "y").agg(spans.pixels(F.lit(True)))
+    filled = _spans(spark, sf_dir)
+    return spans.subtract(_layer(filled, "cb"), _layer(filled, "gl"), ["section_id"])
 
 
 def containment_note(spark, sf_dir):
@@ -62,8 +68,10 @@ ORACLES = {
         SELECT section_id, CAST(cb AS BIGINT) AS cb, CAST(cb - cb_wm AS BIGINT) AS grey, CAST(gl - gl_wm AS BIGINT) AS granular, CAST(cb - cb_gl AS BIGINT) AS molecular FROM t JOIN o USING (section_id)""",
     "span_and": f"""WITH {SPANS_SQL} SELECT a.section_id, a.y, greatest(a.x0, b.x0) AS x0, least(a.x1, b.x1) AS x1 FROM span a JOIN span b ON a.section_id = b.section_id AND a.y = b.y
         WHERE a.layer = 'cb' AND b.layer = 'gl' AND greatest(a.x0, b.x0) < least(a.x1, b.x1)""",
-    "span_not": f"""WITH {SPANS_SQL} SELECT a.section_id, a.y, CAST(a.x1 - a.x0 - CASE WHEN b.y IS NULL THEN 0 ELSE greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) END AS BIGINT) AS px
-        FROM (SELECT * FROM span WHERE layer = 'cb') a LEFT JOIN (SELECT * FROM span WHERE layer = 'gl') b ON a.section_id = b.section_id AND a.y = b.y""",
+    # octagons are convex: one span of each on a scanline, so at most a piece on either side is left
+    "span_not": f"""WITH {SPANS_SQL}, m AS (SELECT a.section_id, a.y, a.x0, a.x1, b.x0 AS b0, b.x1 AS b1
+          FROM (SELECT * FROM span WHERE layer = 'cb') a LEFT JOIN (SELECT * FROM span WHERE layer = 'gl') b ON a.section_id = b.section_id AND a.y = b.y)
+        SELECT * FROM (SELECT section_id, y, x0, CASE WHEN b0 IS NULL THEN x1 ELSE least(b0, x1) END AS x1 FROM m UNION ALL SELECT section_id, y, greatest(b1, x0), x1 FROM m WHERE b0 IS NOT NULL) WHERE x0 < x1""",
     "containment_note": "WITH " + SPANS_SQL.replace(
         "600.25 + r * a AS x, 500.375 + r * b AS y", "600.25 + r * a * CASE WHEN layer = 'cb' AND section_id % 2 = 0 THEN 0.5 ELSE 1.0 END AS x, 500.375 + r * b * CASE WHEN layer = 'cb' AND section_id % 2 = 0 THEN 0.5 ELSE 1.0 END AS y"
     ) + f""", {_PX}, t AS (SELECT p.section_id, CAST(p.px AS BIGINT) AS inner_px, CAST(p.px - coalesce(c.px, 0) AS BIGINT) AS outside_px

@@ -107,7 +107,7 @@ paired AS (
   SELECT section_id, layer, y, CAST(ceil(c - 0.5) AS INTEGER) AS x0,
          CAST(ceil(lead(c) OVER w - 0.5) AS INTEGER) AS x1, row_number() OVER w AS n
   FROM crossing WINDOW w AS (PARTITION BY section_id, layer, y ORDER BY c)),
-span AS (SELECT section_id, layer, CAST(y AS INTEGER) AS y, x0, x1 FROM paired WHERE n % 2 = 1 AND x0 < x1)"""
+span AS MATERIALIZED (SELECT section_id, layer, CAST(y AS INTEGER) AS y, x0, x1 FROM paired WHERE n % 2 = 1 AND x0 < x1)"""
 
 
 #: Directions of seven cuts and of the reference line's vertices, as shares of the half size; reach of the cuts' ends.
