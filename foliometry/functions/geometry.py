@@ -22,14 +22,6 @@ def normalised(dx: Column, dy: Column) -> tuple[Column, Column]:
     return F.when(tiny, F.lit(1.0)).otherwise(dx / n), F.when(tiny, F.lit(0.0)).otherwise(dy / n)
 
 
-def along_segment(qx: Column, qy: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
-    """Parameter in [0, 1] of the point of segment ab nearest q; 0 for a segment without length."""
-    dx, dy = bx - ax, by - ay
-    square = dx * dx + dy * dy
-    t = F.when(square < 1e-12, F.lit(0.0)).otherwise(((qx - ax) * dx + (qy - ay) * dy) / F.when(square < 1e-12, F.lit(1.0)).otherwise(square))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-
-
 def pixel_from(x: Column) -> Column:
     """First pixel whose centre is at or beyond ``x``."""
     return F.ceil(x - F.lit(0.5)).cast("int")

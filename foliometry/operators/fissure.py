@@ -113,10 +113,13 @@ def diagonals(spans: DataFrame, keys: list[str]) -> DataFrame:
     return spans.where(F.col("layer") == "cb").groupBy(*keys).agg(F.sqrt((w * w + h * h).cast("double")).alias("diagonal"))
 
 
-def spanning_cuts(lines: DataFrame, spans: DataFrame, shapes: DataFrame, keys: list[str], line_key: str) -> DataFrame:
-    """keys, line_key, idx, x, y of oriented lines that begin outside the outline and end in white matter."""
-    d = diagonals(spans, keys)
-    out = _extended(lines, spans, reaches(lines, shapes, d, keys, line_key, True, "cb"), keys, line_key, True, "cb", False)
+def spanning_cuts(lines: DataFrame, spans: DataFrame, shapes: DataFrame, keys: list[str], line_key: str, keep=lambda df: df) -> DataFrame:
+    """keys, line_key, idx, x, y of oriented lines that begin outside the outline and end in white matter.
+
+    Each end is looked at several times; ``keep`` stores the lines in between.
+    """
+    d, lines = diagonals(spans, keys), keep(lines)
+    out = keep(_extended(lines, spans, reaches(lines, shapes, d, keys, line_key, True, "cb"), keys, line_key, True, "cb", False))
     return _extended(out, spans, reaches(out, shapes, d, keys, line_key, False, "wm"), keys, line_key, False, "wm", True)
 
 

@@ -6,10 +6,17 @@ all windows of a plan. Points are compared with the segments of their own line o
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.geometry import along_segment, length, normalised, wrapped
+from ..functions.geometry import length, normalised, wrapped
+
+#: Pairs of point and segment looked at together.
+PAIRS = 1 << 20
 
 
 def _along(keys: list[str]):
@@ -75,16 +82,40 @@ def points_at(segs: DataFrame, arcs: DataFrame, keys: list[str]) -> DataFrame:
 def nearest(segs: DataFrame, points: DataFrame, keys: list[str], point_keys: list[str]) -> DataFrame:
     """keys, point_keys, arc, dist, nx, ny: the nearest place of the line or outline to (qx, qy).
 
-    Of equally near segments the first counts.
+    Of equally near segments the first counts. A group is one line with its points; they are compared
+    as arrays of PAIRS at most, so no row is made for a pair.
     """
-    s = segs.select(*keys, F.col("idx").alias("s"), "x", "y", "x2", "y2", "cum0")
-    t = along_segment(F.col("qx"), F.col("qy"), F.col("x"), F.col("y"), F.col("x2"), F.col("y2"))
-    j = points.select(*keys, *point_keys, "qx", "qy").join(s, keys).withColumn("t", t)
-    dx, dy = F.col("x2") - F.col("x"), F.col("y2") - F.col("y")
-    j = j.withColumn("nx", F.col("x") + F.col("t") * dx).withColumn("ny", F.col("y") + F.col("t") * dy)
-    j = j.withColumn("dist", length(F.col("qx") - F.col("nx"), F.col("qy") - F.col("ny"))).withColumn("arc", F.col("cum0") + F.col("t") * length(dx, dy))
-    best = F.min_by(F.struct("arc", "dist", "nx", "ny"), F.struct("dist", "s"))
-    return j.groupBy(*keys, *point_keys).agg(best.alias("b")).select(*keys, *point_keys, "b.arc", "b.dist", "b.nx", "b.ny")
+    other = [f"{k}_of_point" for k in keys]  # both sides may come from one table
+    left = segs.select(*keys, F.col("idx").cast("long").alias("s"), *(F.col(c).cast("double").alias(c) for c in ("x", "y", "x2", "y2", "cum0")))
+    right = points.where(F.col("qx").isNotNull() & F.col("qy").isNotNull())
+    right = right.select(*(F.col(k).alias(o) for k, o in zip(keys, other, strict=True)), *point_keys, F.col("qx").cast("double").alias("qx"), F.col("qy").cast("double").alias("qy"))
+    schema = T.StructType([segs.schema[k] for k in keys] + [points.schema[k] for k in point_keys] + [T.StructField(c, T.DoubleType()) for c in ("arc", "dist", "nx", "ny")])
+    arrow = to_arrow_schema(schema)
+
+    def solve(key: tuple[pa.Scalar, ...], line: pa.Table, asked: pa.Table) -> pa.Table:
+        if not line.num_rows or not asked.num_rows:
+            return arrow.empty_table()
+        order = np.argsort(line.column("s").to_numpy(), kind="stable")
+        x, y, x2, y2, cum0 = (line.column(c).to_numpy()[order] for c in ("x", "y", "x2", "y2", "cum0"))
+        qx, qy = (asked.column(c).to_numpy() for c in ("qx", "qy"))
+        dx, dy = x2 - x, y2 - y
+        square = dx * dx + dy * dy
+        least, at_once = np.where(square < 1e-12, np.inf, square), max(1, PAIRS // len(x))
+        found = []
+        for i in range(0, len(qx), at_once):
+            px, py = qx[i : i + at_once, None], qy[i : i + at_once, None]
+            t = np.clip(((px - x) * dx + (py - y) * dy) / least, 0.0, 1.0)
+            gx, gy = px - (x + t * dx), py - (y + t * dy)
+            dist = np.sqrt(gx * gx + gy * gy)
+            best = dist.argmin(1)
+            row = np.arange(len(best))
+            t, dist = t[row, best], dist[row, best]
+            found.append((cum0[best] + t * np.sqrt(square[best]), dist, x[best] + t * dx[best], y[best] + t * dy[best]))
+        columns = [pa.array([k.as_py()] * len(qx), arrow.field(i).type) for i, k in enumerate(key)]
+        columns += [asked.column(k).cast(arrow.field(k).type) for k in point_keys]
+        return pa.table([*columns, *(pa.array(np.concatenate(c)) for c in zip(*found, strict=True))], schema=arrow)
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*other)).applyInArrow(solve, schema)
 
 
 def vertex_normals(lines: DataFrame, keys: list[str]) -> DataFrame:

@@ -54,7 +54,7 @@ def analyze(rois: DataFrame, sections: DataFrame, keep=stored) -> Analysis:
     traced = good.where(F.col("category") == "FISSURE").join(has_wm, KEYS, "left_semi")
     traced = line_vertices(traced.select(*KEYS, F.col("roi_idx").alias("cut_id"), "rings"), [*KEYS, "cut_id"])
     decisions = fissure.outer_end_first(traced, filled, shapes, KEYS, "cut_id")
-    cuts = keep(fissure.spanning_cuts(fissure.oriented(traced, decisions, KEYS, "cut_id"), filled, shapes, KEYS, "cut_id"))
+    cuts = keep(fissure.spanning_cuts(fissure.oriented(traced, decisions, KEYS, "cut_id"), filled, shapes, KEYS, "cut_id", keep))
     grey = cells.where("grey").select(*KEYS, "y", "x0", "x1")
     labelled = keep(partition(grey, cuts, KEYS))
 

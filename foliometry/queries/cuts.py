@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import components, fissure, partition, results, spans
 from ..plans.analyze import analyze, combine
+from ..plans.store import stored
 from ..sources.phantom import phantoms
 from ..sources.tables import CUTS_SQL, SPANS_SQL, cut_lines, event_lines, octagons, reference_lines, table
 
@@ -40,7 +41,7 @@ def _oriented(spark, sf_dir):
 
 def spanning_cut(spark, sf_dir):
     lines, filled, shapes = _oriented(spark, sf_dir)
-    out = fissure.spanning_cuts(lines, filled, shapes, KEYS, "cut_id")
+    out = fissure.spanning_cuts(lines, filled, shapes, KEYS, "cut_id", stored)
     return out.select("section_id", "cut_id", "idx", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
@@ -69,7 +70,7 @@ def has_hole(spark, sf_dir):
 def _sections(spark, sf_dir):
     lines, filled, shapes = _oriented(spark, sf_dir)
     cut = spans.derived_layers(spans.cells(filled, KEYS, ["cb", "gl", "wm"]))
-    return cut, partition.partition(cut.where("grey"), fissure.spanning_cuts(lines, filled, shapes, KEYS, "cut_id"), KEYS)
+    return cut, partition.partition(cut.where("grey"), fissure.spanning_cuts(lines, filled, shapes, KEYS, "cut_id", stored), KEYS)
 
 
 def complete_partition(spark, sf_dir):
