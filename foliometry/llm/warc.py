@@ -3,7 +3,8 @@ and assembling the transactions again through their concurrent-to identifiers.
 
 Records are text (headers, then UTF-8 HTML), so Spark's text writer makes the files:
 its line separator is the blank lines that end a record. The files are committed by
-Spark, compressed as a whole, bounded in rows, and any WARC reader can read them.
+Spark, compressed as one stream, of about FILE_BYTES each, and any WARC reader can read them. The reader
+takes archives of one or many gzip members, or none, and holds one record at a time.
 """
 
 from __future__ import annotations
@@ -17,19 +18,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import null_safe, shared_path
+from .bitfilter import filter_of, marks
+from .common import null_safe, shared_path, written
 
 END = "\r\n\r\n"
 #: The base-32 alphabet of RFC 4648.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Captures' records in one file at most.
-RECORDS_PER_FILE = 1_500
+#: Bytes of a file before compression, by the mean size of a capture; bytes that the reader gives out together.
+FILE_BYTES, BATCH = 32 << 20, 4 << 20
+#: A record's header is broken if it is longer.
+MOST_HEADER = 1 << 20
 KINDS = {"response": "01", "revisit": "01", "request": "02", "metadata": "03"}
 
 
-def base32_sha1(data: Column) -> Column:
-    """Bare upper-case base-32 SHA-1: five hex digits give four letters."""
-    digits = F.sha1(data)
+def base32(digits: Column) -> Column:
+    """Upper-case base 32 of forty hex digits: five of them give four letters."""
     groups = []
     for i in range(8):
         value = F.conv(F.substring(digits, 5 * i + 1, 5), 16, 10).cast("int")
@@ -47,15 +50,6 @@ def record_id(page_id: Column, digest: Column, kind: str) -> Column:
     return F.lower(F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">")))
 
 
-def page_of(record: str) -> int | None:
-    """The page id in a record's URN; None if it was null."""
-    digits = record.removeprefix("<urn:uuid:").removesuffix(">").replace("-", "")
-    if digits[16] == "8":
-        return None
-    value = int(digits[:16], 16)
-    return value - (1 << 64) if value >> 63 else value
-
-
 def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
     lines = [F.lit("WARC/1.0\r\n")]
     for name, value in headers:
@@ -66,19 +60,25 @@ def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
 def with_decisions(pages: DataFrame) -> DataFrame:
     """page_id, url, html, bytes, digest, first_page: the smallest page_id of an equal payload.
 
-    A null id comes after all others. Equal means equal SHA-1 and length. The hot group of
-    copies is pre-aggregated; the join's other side has one row for each payload.
+    A null id comes after all others. Equal means equal SHA-1 and length. Only pages whose payload
+    may be repeated, by a filter of bounded size, move to meet the smallest id.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumns({"bytes": F.octet_length("html").cast("long"), "digest": F.sha1(F.col("html").cast("binary"))})
-    first = rows.groupBy("digest", "bytes").agg(F.min("page_id").alias("first_page"))
-    return rows.join(first, ["digest", "bytes"])
+    many = rows.groupBy("digest", "bytes").agg(F.min("page_id").alias("first_page"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    many = written(many, "payloads")
+    mark = marks(filter_of(many, "digest"), F.col("digest"))
+    alone = rows.where(~mark).withColumn("first_page", F.col("page_id"))
+    met = rows.where(mark).join(many, ["digest", "bytes"], "left").withColumn("first_page", F.when(F.col("n").isNull(), F.col("page_id")).otherwise(F.col("first_page")))
+    return alone.unionByName(met.drop("n"))
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
     """Writes for each page a response or revisit record, a request and a metadata record."""
-    rows = with_decisions(pages).withColumn("payload_digest", base32_sha1(F.col("html").cast("binary")))
+    n, size = pages.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col("html").cast("string")).cast("long")), F.lit(0))).first()
+    captures = max(1, FILE_BYTES // (size // max(1, n) + 1_000))
+    rows = with_decisions(pages).withColumn("payload_digest", base32(F.col("digest")))
     page, digest = F.col("page_id"), F.col("payload_digest")
     clean = F.regexp_replace("url", r"[\x00-\x20\x7f]", "_")
     length = F.col("bytes").cast("string")
@@ -96,54 +96,116 @@ def write_archives(pages: DataFrame, path: str) -> None:
     meta = _record([("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", record_id(page, digest, "metadata")), date, uri, together, ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("payloadLength: "), length, F.lit("\r\n")))
     main = F.when(page.eqNullSafe(F.col("first_page")), response).otherwise(revisit)
     records = rows.select(F.explode(F.array(request, main, meta)).alias("value"))
-    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
-
-
-RECORD_SCHEMA = "record_id string, type string, concurrent_to string, refers_to string, uri string, payload_digest string, computed_digest string, payload_bytes long, body string"
+    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 3 * captures).text(path)
+
+
+RECORD_SCHEMA = "record_id string, type string, concurrent_to string, refers_to string, uri string, payload_digest string, computed_digest string, payload_bytes long, body binary"
+
+
+def _pieces(data: bytes) -> Iterator[bytes]:
+    """An archive's content, unpacked if need be, a little at a time; it ends where a gzip stream is damaged."""
+    step, at = 1 << 18, 0
+    if data[:2] != b"\x1f\x8b":
+        yield from (data[i : i + step] for i in range(0, len(data), step))
+        return
+    member = zlib.decompressobj(31)
+    while at < len(data):
+        try:
+            out = member.decompress(data[at : at + step])
+        except zlib.error:
+            return
+        at += step
+        if member.eof:  # the next member, if any, begins where this one ends
+            at = min(at, len(data)) - len(member.unused_data)
+            member = zlib.decompressobj(31)
+        yield out
 
 
 def parse(data: bytes) -> Iterator[dict]:
-    """The records of one archive's content, read by their declared lengths."""
-    if data[:2] == b"\x1f\x8b":
-        out = []
-        while data:  # one or several gzip members
-            member = zlib.decompressobj(31)
-            out.append(member.decompress(data))
-            data = member.unused_data
-        data = b"".join(out)
-    at = 0
-    while (at := data.find(b"WARC/1.", at)) >= 0:
-        stop = data.index(b"\r\n\r\n", at)
+    """The records of one archive's content, read by their declared lengths.
+
+    A record without a sound Content-Length, or cut short, is of type ``broken`` and has no block; reading
+    goes on at the next record that follows.
+    """
+    pieces, held = _pieces(data), bytearray()
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        held.extend(piece or b"")
+        return piece is not None
+
+    while True:
+        while (at := held.find(b"WARC/1.")) < 0:
+            del held[: max(0, len(held) - 6)]
+            if not more():
+                return
+        del held[:at]
+        while (stop := held.find(b"\r\n\r\n")) < 0 and len(held) < MOST_HEADER and more():
+            pass
         head = {}
-        for line in data[at:stop].split(b"\r\n")[1:]:
-            k, _, v = line.decode().partition(": ")
-            head[k.lower()] = v
-        length = int(head["content-length"])
-        block = data[stop + 4 : stop + 4 + length]
-        at = stop + 4 + length
+        for line in bytes(held[:stop] if stop >= 0 else b"").decode("utf-8", "replace").split("\r\n")[1:]:
+            name, _, value = line.partition(":")
+            head[name.strip().lower()] = value.strip()
+        length = head.get("content-length", "")
+        if not (length.isascii() and length.isdecimal()):
+            yield {"warc-type": "broken", "block": b""}
+            del held[:7]
+            continue
+        begin, end = stop + 4, stop + 4 + int(length)
+        while len(held) < end and more():
+            pass
+        if len(held) < end:
+            yield {"warc-type": "broken", "block": b""}
+            del held[:7]
+            continue
+        block = bytes(held[begin:end])
+        del held[:end]
         yield head | {"block": block}
 
 
+def _http(block: bytes) -> tuple[bytes, bytes]:
+    """Head and body of a message; a block of another protocol is all body."""
+    if not block.startswith(b"HTTP/"):
+        return b"", block
+    head, _, body = block.partition(b"\r\n\r\n")
+    return head, body
+
+
+def _declared(head: bytes) -> int | None:
+    """The Content-Length of a message's head; none if it is not there or not a number."""
+    for line in head.split(b"\r\n"):
+        name, _, value = line.partition(b":")
+        if name.strip().lower() == b"content-length" and value.strip().isdigit():
+            return int(value)
+    return None
+
+
 def read_archives(spark: SparkSession, path: str, with_body: bool = True) -> DataFrame:
-    """One row a record. ``with_body``: also the payload of responses, the block of the others."""
+    """One row a record. ``with_body``: also the payload of responses, the block of the others, as bytes."""
+    names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
+    kinds = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[x.split()[1]] for x in RECORD_SCHEMA.split(", ")]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = RECORD_SCHEMA.replace(",", "").split()[::2]
-        kinds = [pa.int64() if n == "payload_bytes" else pa.string() for n in names]
         for batch in batches:
             for content in batch.column(0):
-                out: dict[str, list] = {n: [] for n in names}
+                out: list[list] = [[] for _ in names]
+                held = 0
                 for r in parse(content.as_py()):
-                    kind, block = r["warc-type"], r["block"]
-                    length = None
+                    kind, block = r.get("warc-type"), r["block"]
+                    length = computed = None
                     if kind in ("response", "revisit"):
-                        head, _, block = block.partition(b"\r\n\r\n")
-                        length = len(block) if kind == "response" else int(next(x for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")).split(b":")[1])
-                    computed = b32encode(hashlib.sha1(block).digest()).decode() if kind == "response" else None
-                    body = block.decode() if with_body else None
-                    for n, v in zip(names, (r["warc-record-id"], kind, r.get("warc-concurrent-to"), r.get("warc-refers-to"), r.get("warc-target-uri"), r.get("warc-payload-digest", "").removeprefix("sha1:") or None, computed, length, body), strict=True):
-                        out[n].append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(out[n], k) for n, k in zip(names, kinds, strict=True)], names=names)
+                        head, block = _http(block)
+                        length = len(block) if kind == "response" else _declared(head)
+                    if kind == "response":
+                        computed = b32encode(hashlib.sha1(block).digest()).decode()
+                    row = (r.get("warc-record-id"), kind, r.get("warc-concurrent-to"), r.get("warc-refers-to"), r.get("warc-target-uri"), r.get("warc-payload-digest", "").removeprefix("sha1:") or None, computed, length, block if with_body and kind != "broken" else None)
+                    for column, v in zip(out, row, strict=True):
+                        column.append(v)
+                    held += len(block)
+                    if held > BATCH:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
+                        out, held = [[] for _ in names], 0
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     return files.mapInArrow(rows, RECORD_SCHEMA)
@@ -168,7 +230,7 @@ def assemble(records: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, n_parts of each page,
     written to archives in the shared folder and read back. Bytes and digest of a response
-    are those of the assembled body.
+    are those of the body that was read and assembled.
 
     Null html is the empty payload, and empty payloads are equal to each other. Of rows with
     equal payload and the same smallest page_id each is a response. A null page_id is kept,
@@ -195,7 +257,7 @@ def columns_of(captures: DataFrame) -> list[Column]:
     return [
         _page(F.col("capture_id")).alias("page_id"),
         F.when(whole, F.octet_length(r["body"]).cast("long")).otherwise(r["payload_bytes"]).alias("payload_bytes"),
-        F.when(whole, base32_sha1(r["body"].cast("binary"))).otherwise(r["payload_digest"]).alias("payload_digest"),
+        F.when(whole, base32(F.sha1(r["body"].cast("binary")))).otherwise(r["payload_digest"]).alias("payload_digest"),
         r["type"].alias("record_type"),
         _page(r["refers_to"]).alias("refers_to"),
         (F.lit(1) + F.col("request").isNotNull().cast("int") + F.col("metadata").isNotNull().cast("int")).cast("int").alias("n_parts"),

@@ -137,8 +137,8 @@ def test_warc(spark):
     warc.write_archives(pages, path)
     whole = warc.assemble(warc.read_archives(spark, path)).select("response.*", "request", "metadata").collect()
     bodies = [r.body for r in whole if r.type == "response"]
-    assert sorted(bodies) == sorted([*["<p>a</p>"] * 2, "", html[3], html[4]])
-    assert all(r.request.body.startswith("GET ") and r.metadata.body.startswith("payloadLength") for r in whole)
+    assert sorted(bodies) == sorted(x.encode() for x in [*["<p>a</p>"] * 2, "", html[3], html[4]])
+    assert all(r.request.body.startswith(b"GET ") and r.metadata.body.startswith(b"payloadLength") for r in whole)
 
 
 def test_packing(spark, odd, none):

@@ -1,5 +1,6 @@
 """Operators do the whole job: long texts, all tiles, real outputs."""
 
+import gzip
 import hashlib
 import random
 from base64 import b32encode
@@ -95,8 +96,46 @@ def test_warc_query_assembles_bodies(spark, monkeypatch):
     seen, assemble = [], warc.assemble
     monkeypatch.setattr(warc, "assemble", lambda records: seen.append(assemble(records)) or seen[-1])
     got = {r.page_id: r for r in warc.round_trip(pages).collect()}
-    assert sorted(r.response.body for r in seen[0].where("response.type = 'response'").collect()) == sorted(set(html))
+    assert sorted(r.response.body for r in seen[0].where("response.type = 'response'").collect()) == sorted(h.encode() for h in set(html))
     digest = lambda text: b32encode(hashlib.sha1(text.encode()).digest()).decode()
     assert [(got[i].payload_bytes, got[i].payload_digest) for i in range(4)] == [(len(h.encode()), digest(h)) for h in html]
     other = seen[0].withColumn("response", seen[0]["response"].withField("body", warc.F.lit("other")))
     assert {(r.payload_bytes, r.payload_digest) for r in other.select(*warc.columns_of(other)).where("record_type = 'response'").collect()} == {(5, digest("other"))}
+
+
+def foreign(kind, block, *headers, length=None):
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", *headers, f"content-length:{len(block) if length is None else length}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_archives_of_others(spark, tmp_path):
+    page = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n<p>\xff\xfe caf\xe9 WARC/1.0 within</p>"
+    records = [
+        foreign("warcinfo", b"software: other\r\n"),
+        foreign("response", page, "WARC-Record-ID: <urn:1>", "WARC-Target-URI: http://a/", "Content-Type: application/http"),
+        b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:2>\r\n\r\nno length\r\n\r\n",
+        foreign("request", b"GET / HTTP/1.1\r\n\r\n", "WARC-Record-ID: <urn:3>", "WARC-Concurrent-To: <urn:1>"),
+        foreign("revisit", b"HTTP/1.1 304 Not Modified\r\n\r\n", "WARC-Record-ID: <urn:4>", "WARC-Refers-To: <urn:1>"),
+        foreign("response", b"10 IN A 1.2.3.4", "WARC-Record-ID: <urn:5>", "Content-Type: text/dns"),
+        foreign("metadata", b"cut", "WARC-Record-ID: <urn:6>", length=999),
+    ]
+    whole = b"".join(records)
+    for name, data in (("members", b"".join(map(gzip.compress, records))), ("one", gzip.compress(whole)), ("torn", gzip.compress(whole)[:-20]), ("empty", b"")):
+        found = list(warc.parse(data))
+        assert [r["warc-type"] for r in found][:6] == ["warcinfo", "response", "broken", "request", "revisit", "response"][: len(found)], name
+        (tmp_path / f"{name}.warc.gz").write_bytes(data)
+    assert [r["warc-type"] for r in warc.parse(whole)][-1] == "broken"
+    rows = warc.read_archives(spark, str(tmp_path / "members.warc.gz")).collect()
+    by = {r.record_id: r for r in rows if r.record_id}
+    body = page.partition(b"\r\n\r\n")[2]
+    assert bytes(by["<urn:1>"].body) == body and by["<urn:1>"].payload_bytes == len(body)
+    assert by["<urn:1>"].computed_digest == b32encode(hashlib.sha1(body).digest()).decode()
+    assert by["<urn:4>"].payload_bytes is None and bytes(by["<urn:5>"].body) == b"10 IN A 1.2.3.4"
+    captures = {r.capture_id: r for r in warc.assemble(warc.read_archives(spark, str(tmp_path))).collect()}
+    assert captures["<urn:1>"].request.record_id == "<urn:3>" and captures["<urn:4>"].metadata is None
+
+
+def test_a_large_record_is_read_in_pieces():
+    block = bytes(range(256)) * 20_000
+    data = gzip.compress(foreign("response", block)) + gzip.compress(foreign("request", b"x"))
+    assert [r["block"] for r in warc.parse(data)] == [block, b"x"]
