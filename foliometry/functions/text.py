@@ -35,26 +35,6 @@ def csv_cell(x: Column) -> Column:
     return F.when(x.isNull(), F.lit("")).when(x.rlike('[,"\n\r]'), quoted).otherwise(x)
 
 
-def xml_text(x: Column) -> Column:
-    """Escaped for XML; control characters that XML 1.0 forbids are dropped."""
-    x = F.regexp_replace(x, "[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
-    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-        x = F.replace(x, F.lit(char), F.lit(entity))
-    return x
-
-
-def cell_reference(row: Column, column: Column) -> Column:
-    """A1-style reference of zero-based row and column (below 702)."""
-    letters = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-    high, low = F.floor(column / 26).cast("int"), (column % 26).cast("int")
-    first = F.when(high > 0, F.substring(letters, high, F.lit(1))).otherwise(F.lit(""))
-    return F.concat(first, F.substring(letters, low + 1, F.lit(1)), (row + 1).cast("string"))
-
-
-def column_width(longest: Column) -> Column:
-    return F.greatest(F.lit(8.0), F.least(F.lit(90.0), longest * 1.1 + 2))
-
-
 def file_base(requested: Column) -> Column:
     """A typed name as the base of result files."""
     base = F.trim(F.coalesce(requested, F.lit("")), F.lit("".join(map(chr, range(33)))))

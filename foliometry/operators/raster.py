@@ -137,7 +137,13 @@ def grow(labels: np.ndarray, region: np.ndarray, blocked: np.ndarray | None = No
         labels[front // width - 1, front % width - 1] = value
 
 
-def complete(runs: Runs, number: np.ndarray, region: np.ndarray, least: int) -> np.ndarray:
+def complete(raw: np.ndarray, region: np.ndarray, least: int) -> np.ndarray:
+    """``complete_runs`` of a canvas of component labels."""
+    y, x0, x1, number = spans_of(raw)
+    return complete_runs((y, x0, x1), number, region, least)
+
+
+def complete_runs(runs: Runs, number: np.ndarray, region: np.ndarray, least: int) -> np.ndarray:
     """Every region pixel that can be reached gets the label of a kept component.
 
     Components (``number`` for each of ``runs``) below ``least`` pixels are slivers. Kept ones grow around
@@ -249,7 +255,7 @@ def split(grey: np.ndarray, cuts: list[np.ndarray]) -> tuple[np.ndarray, dict]:
         if clean:
             break
     found, number, how = chosen
-    labels = complete(found, number, grey, least)
+    labels = complete_runs(found, number, grey, least)
     assigned = int((labels >= 0).sum())
     return labels, how | {"ring": bool(ring), "expected": int(expected), "area": area, "assigned": assigned}
 

@@ -12,9 +12,25 @@ GRID = ("measurement", "cerebellum", "grey", "granular", "molecular", "purkinje"
 SECTION_FILLS = ((255, 100, 80), (255, 180, 60), (180, 255, 80), (60, 210, 120), (60, 200, 240), (80, 120, 255), (180, 80, 255), (255, 80, 200), (255, 230, 90), (40, 170, 170), (200, 140, 90), (150, 150, 255))
 LAYER_FILLS = (("Grey Matter", (0, 0, 255), "#0000FF"), ("Granular Layer", (0, 200, 0), "#00FF00"), ("Molecular Layer", (255, 230, 0), "#FFFF00"))
 FILL_ALPHA, LINE_WIDTH, AREA_WIDTH = 60, 1.5, 1.0
+#: Names of draw items that older runs made without a mark.
 LEGACY_ITEM = r"^(\[\d+\] )?(Grey Matter|Granular Layer|Molecular Layer|Purkinje|Fissure\d+|\d+(/\d+)?Cb|Section \d+)$"
 
 
+def headers(area_unit: str, length_unit: str) -> list[str]:
+    """The columns' titles with their units."""
+    return ["Measurement", *(f"{t} ({area_unit})" for t in ("Cerebellum", "Grey Matter", "Granular Layer", "Molecular Layer")), f"Purkinje ({length_unit})"]
+
+
+def results_table(totals: DataFrame, parts: DataFrame) -> DataFrame:
+    """section_id, row_idx, measurement and five numbers at full precision: areas, length, a row for each section."""
+    none = F.lit(None).cast("double")
+    row = lambda i, name, *cells: F.struct(F.lit(i).alias("row_idx"), F.lit(name).alias("measurement"), *(c.alias(n) for c, n in zip(cells, GRID[1:], strict=True)))
+    areas = row(1, "Area", *(F.col(c) for c in ("cerebellum", "grey", "granular", "molecular", "purkinje_area")))
+    lengths = row(2, "Length", none, none, none, none, F.col("purkinje_len"))
+    top = totals.select("section_id", F.explode(F.array(areas, lengths)).alias("r")).select("section_id", "r.*")
+    return top.unionByName(parts.select("section_id", (F.col("ord") + 2).cast("int").alias("row_idx"), F.col("name").alias("measurement"), none.alias("cerebellum"), none.alias("grey"), "granular", "molecular", "purkinje"))
+
+
 def results_grid(totals: DataFrame, parts: DataFrame) -> DataFrame:
     """section_id, row_idx and six text columns: header, areas, length, then a row for each section."""
     none = F.lit(None).cast("string")
@@ -35,6 +51,7 @@ def pixel_size(px_w: Column, px_h: Column, unit: Column) -> Column:
 
 
 def piece_description(sections: Column, has_wm: Column, fissures: Column, ring: Column, joined: Column) -> Column:
+    # fixed values: the sentences of run information
     unsplit = F.when(~has_wm, "not split into sections (no White Matter)").otherwise("not split into sections (no fissures traced)")
     shape = F.when(ring, "grey matter is a closed ring").otherwise("grey matter pinched open at the peduncle")
     ends = F.when(joined, "; first and last sections joined").otherwise("")
@@ -68,7 +85,12 @@ def piece_prefix(instance: Column, n_inst: Column) -> Column:
 
 
 def region_names(pieces: DataFrame, parts: DataFrame, runs: DataFrame) -> DataFrame:
-    """section_id, seq, name of the regions and line stretches that a run adds.
+    """section_id, seq, name of the regions and line stretches that a run adds, from ``named_regions``."""
+    return named_regions(pieces, parts, runs).select("section_id", "seq", "name")
+
+
+def named_regions(pieces: DataFrame, parts: DataFrame, runs: DataFrame) -> DataFrame:
+    """section_id, instance, ord, k, seq, name: whole layers have ord 0; k tells layers from line stretches.
 
     ``pieces``: instance. ``parts``: instance, ord, name, granular, molecular (0 leaves a region out).
     ``runs``: instance, ord, run.
@@ -86,7 +108,7 @@ def region_names(pieces: DataFrame, parts: DataFrame, runs: DataFrame) -> DataFr
     lines = lines.select("section_id", "instance", "ord", (F.col("run") + 1).alias("k"), F.concat("pre", "name", "suffix").alias("name"))
     every = layers.unionByName(regions).unionByName(lines)
     seq = F.row_number().over(Window.partitionBy("section_id").orderBy("instance", "ord", "k")) - 1
-    return every.select("section_id", seq.alias("seq"), "name")
+    return every.select("section_id", "instance", "ord", "k", seq.alias("seq"), "name")
 
 
 def font_size(width: Column, height: Column) -> Column:

@@ -34,14 +34,14 @@ class Analysis:
     notes: DataFrame  # KEYS, level, code, percent
 
 
-def validate(rois: DataFrame) -> tuple[DataFrame, DataFrame]:
+def validate(rois: DataFrame, sections: DataFrame | None = None, marker: str = classify.OUTPUT_PROPERTY) -> tuple[DataFrame, DataFrame]:
     """(measurable rows with category and instance, problems)."""
-    return classify.measurable(rois), classify.problems(rois)
+    return classify.measurable(rois, marker), classify.problems(rois, sections, marker)
 
 
-def analyze(rois: DataFrame, sections: DataFrame, keep=stored) -> Analysis:
+def analyze(rois: DataFrame, sections: DataFrame, keep=stored, marker: str = classify.OUTPUT_PROPERTY) -> Analysis:
     """Measures every valid piece. ``keep`` stores the tables that later steps read several times."""
-    good, problems = validate(rois)
+    good, problems = validate(rois, sections, marker)
     good = keep(good)
     names = F.create_map(*(F.lit(x) for kv in _LAYER.items() for x in kv))
     shapes = good.where(F.col("category").isin(*_LAYER)).select(*KEYS, names[F.col("category")].alias("layer"), "rings")

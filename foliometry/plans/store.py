@@ -2,19 +2,40 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: Paths of the tables that were stored and not yet removed.
+_TABLES: list[str] = []
+
+
+def folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a local folder only where that is unset and all runs in one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share (master {master})")
+        found = "file://" + tempfile.mkdtemp(prefix="foliometry-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to ``spark.checkpoint.dir`` and read back; a local folder only where that is unset."""
+    """``df`` written to the shared folder and read back."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="foliometry-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/foliometry/plan-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/foliometry/plan-{uuid.uuid4().hex}"
+    _TABLES.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> None:
+    """Removes all tables of ``stored``; results that were not written elsewhere cannot be read any more."""
+    jvm = spark.sparkContext._jvm
+    while _TABLES:
+        at = jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -25,16 +25,15 @@ cls AS (
          CASE WHEN found IS NOT NULL THEN num END AS instance FROM known)"""
 _PIECE = """
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY section_id, instance, category ORDER BY roi_idx) AS nth,
+  SELECT *, lag(name) OVER (PARTITION BY section_id, instance, category ORDER BY roi_idx) AS before,
          kind IN ('POLYGON', 'RECTANGLE', 'OVAL', 'COMPOSITE') AS area FROM cls WHERE category IS NOT NULL),
 piece AS (
-  SELECT section_id, instance,
-         max(CASE WHEN category = 'CEREBELLUM' AND nth = 1 THEN area END) AS cb, max(CASE WHEN category = 'GRANULAR_WM' AND nth = 1 THEN area END) AS gl,
-         max(CASE WHEN category = 'WHITE_MATTER' AND nth = 1 THEN area END) AS wm, max(CASE WHEN category = 'PURKINJE' AND nth = 1 THEN area END) AS pl,
-         greatest(count(CASE WHEN category = 'CEREBELLUM' THEN 1 END) - 1, 0) AS cb_x, greatest(count(CASE WHEN category = 'GRANULAR_WM' THEN 1 END) - 1, 0) AS gl_x,
-         greatest(count(CASE WHEN category = 'WHITE_MATTER' THEN 1 END) - 1, 0) AS wm_x, greatest(count(CASE WHEN category = 'PURKINJE' THEN 1 END) - 1, 0) AS pl_x,
-         count(CASE WHEN category = 'FISSURE' THEN 1 END) AS fissures, count(CASE WHEN category = 'FISSURE' AND area THEN 1 END) AS fissure_areas
-  FROM ranked GROUP BY ALL)"""
+  SELECT *, count(*) OVER (PARTITION BY section_id) AS n_inst FROM (
+    SELECT section_id, instance, {roles},
+           count(*) FILTER (category = 'FISSURE') AS fissures, count(*) FILTER (category = 'FISSURE' AND area) AS fissure_areas,
+           string_agg(name, '", "' ORDER BY roi_idx) FILTER (category = 'FISSURE' AND area) AS fissure_names
+    FROM ranked GROUP BY ALL))"""
+_PIECE = _PIECE.replace("{roles}", ", ".join(f"arg_max(area, roi_idx) FILTER (category = '{role}') AS {s}, arg_max(name, roi_idx) FILTER (category = '{role}') AS {s}_name" for role, s in classify.SINGLE.items()))
 
 
 def _named(f, *columns):
@@ -51,21 +50,37 @@ QUERIES = {
     "classify_roi_names": _named(classify.classified, "section_id", "roi_idx", "name", "output", "category", "instance"),
     "skip_outputs": _named(classify.skipped_outputs, "section_id", "n"),
     "ignored_names": _named(classify.ignored_names, "section_id", "n", "shown"),
-    "validation_problems": _named(classify.problems, "section_id", "instance", "code", "n"),
+    "validation_problems": _named(classify.problems, "section_id", "instance", "code", "n", "message"),
     "fissure_requirement": _named(classify.fissure_requirement, "section_id", "instance", "fissures", "used", "required", "note"),
     "measurable_sections": lambda spark, sf_dir: classify.measurable(named_rois(spark, sf_dir)).select("section_id", "roi_idx", "category", "instance"),
     "file_base_name": file_base_name,
 }
 
+_HINT = f"CASE WHEN n_inst > 1 THEN replace('{classify.NUMBER_HINT}', '%s', CAST(instance AS VARCHAR)) END"
+#: code -> (how often, what the message is about)
 _CHECKS = {
-    **{f"DUPLICATE_{s.upper()}": f"{s}_x" for s in ("cb", "gl", "wm", "pl")},
-    **{f"MISSING_{s.upper()}": f"CAST({s} IS NULL AS BIGINT)" for s in ("cb", "gl", "pl")},
-    **{f"{s.upper()}_NOT_AREA": f"CAST(coalesce(NOT {s}, false) AS BIGINT)" for s in ("cb", "gl", "wm")},
-    "PL_NOT_LINE": "CAST(coalesce(pl, false) AS BIGINT)",
-    "NO_FISSURES": "CAST(instance = 1 AND wm IS NOT NULL AND fissures = 0 AS BIGINT)",
-    "FISSURE_NOT_LINE": "CASE WHEN wm IS NOT NULL THEN fissure_areas ELSE 0 END",
+    **{f"MISSING_{s.upper()}": (f"CAST({s} IS NULL AS BIGINT)", _HINT) for s in ("cb", "gl", "pl")},
+    **{f"{s.upper()}_NOT_AREA": (f"CAST(coalesce(NOT {s}, false) AS BIGINT)", f"{s}_name") for s in ("cb", "gl", "wm")},
+    "PL_NOT_LINE": ("CAST(coalesce(pl, false) AS BIGINT)", "pl_name"),
+    "NO_FISSURES": ("CAST(instance = 1 AND wm IS NOT NULL AND fissures = 0 AS BIGINT)", "NULL"),
+    "FISSURE_NOT_LINE": ("CASE WHEN wm IS NOT NULL THEN fissure_areas ELSE 0 END", "fissure_names"),
 }
-_PROBLEM = "bad AS (" + " UNION ALL ".join(f"SELECT section_id, instance, '{c}' AS code, {e} AS n FROM piece WHERE {e} > 0" for c, e in _CHECKS.items()) + ")"
+_LAYERS = ", ".join(f"'{x}'" for x in classify.WHOLE_LAYERS)
+_TEXTS = ", ".join(f"('{code}', '{text}')" for code, text in classify.MESSAGES.items())
+_PROBLEM = f"""
+own AS (
+  {" UNION ALL ".join(f"SELECT section_id, instance, n_inst, '{c}' AS code, {n} AS n, {about} AS about FROM piece WHERE {n} > 0" for c, (n, about) in _CHECKS.items())}
+  UNION ALL SELECT section_id, r.instance, p.n_inst, CASE r.category {" ".join(f"WHEN '{role}' THEN 'DUPLICATE_{s.upper()}'" for role, s in classify.SINGLE.items())} END, 1,
+      '"' || before || '" and "' || name || '"' || CASE WHEN lower(trim(before)) IN ({_LAYERS}) OR lower(trim(name)) IN ({_LAYERS}) THEN '{classify.LAYER_HINT}' ELSE '' END
+    FROM ranked r JOIN piece p USING (section_id, instance) WHERE before IS NOT NULL AND r.category <> 'FISSURE'),
+every AS (
+  SELECT * FROM own
+  UNION ALL SELECT DISTINCT section_id, CAST(NULL AS INTEGER), 1, 'SEVERAL_PIECES', n_inst, CAST(n_inst AS VARCHAR) FROM own WHERE n_inst > 1
+  UNION ALL SELECT section_id, CAST(NULL AS INTEGER), 1, 'NO_NAMES', count(*), NULL FROM cls GROUP BY section_id HAVING count(category) = 0),
+said(code, text) AS (VALUES {_TEXTS}),
+bad AS (
+  SELECT section_id, instance, code, n, CASE WHEN instance IS NOT NULL AND n_inst > 1 THEN '[Instance ' || instance || '] ' ELSE '' END || replace(text, '%s', coalesce(about, '')) AS message
+  FROM every JOIN said USING (code))"""
 _HEAD = f"WITH {NAMED_SQL}, {_ROLE}"
 
 ORACLES = {

@@ -21,7 +21,7 @@ NAMES = (
     "FL1", "fissure 1", "FL_2", "fl", "Fissure",
     "notes", "2Cb_Granular", "Section 3_Purkinje", "[2] Grey Matter", "CB wm",
 )
-PREFIXES = ("", "", "2", "0", "12345", "3", "20260715_", "10", "2")
+PREFIXES = ("", "", "2", "0", "12345", "3", "199901_", "10", "2")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import zipfile
 from dataclasses import replace
 from functools import reduce
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,13 +111,29 @@ def test_grid_and_files(spark, tmp_path):
     assert len(lines) == 5 and lines[0].endswith("Purkinje (µm)") and lines[1] == "Area,453660.1235,337396.5000,126036.2500,211360.7500," and lines[2] == "Length,,,,,1466.1235"
     sinks.write_csv(grid, str(tmp_path / "csv"))
     assert [r.value for r in spark.read.text(str(tmp_path / "csv")).collect() if r.value.startswith("3Cb")] == ["3Cb,,,14000.0000,23000.0000,170.0000"]
-    info = spark.createDataFrame([("s", 0, "Image", "a <b>.tif")], "section_id string, seq int, field string, value string")
-    path = tmp_path / "book.xlsx"
-    sinks.section_workbook(str(path), grid, info, "s")
-    with zipfile.ZipFile(path) as z:
-        sheet, about = (z.read(f"xl/worksheets/sheet{i}.xml").decode() for i in (1, 2))
-        assert '<c r="B2" s="2"><v>453660.1235</v></c>' in sheet and "frozen" in sheet and "a &lt;b&gt;.tif" in about
-    assert [p.name for p in tmp_path.iterdir() if p.suffix == ".tmp"] == []
+    info = spark.createDataFrame([("s", 0, "Image", "a <b>\x01.tif")], "section_id string, seq int, field string, value string")
+    said = spark.createDataFrame([("s", 0, "WARNING", "look \ufffe here")], "section_id string, seq int, level string, message string")
+    books = sinks.workbooks(totals, parts, info, said)
+    for _ in range(2):  # a second run replaces the file
+        (written,) = sinks.write_workbooks(books, str(tmp_path), "book").collect()
+    assert written.path == str(tmp_path / "s" / "book.xlsx") and [p.name for p in (tmp_path / "s").iterdir()] == ["book.xlsx"]
+    with zipfile.ZipFile(written.path) as z:
+        parts_of = {n: ElementTree.fromstring(z.read(n)) for n in z.namelist()}
+    main = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+    def cells(i):
+        for c in parts_of[f"xl/worksheets/sheet{i}.xml"].iter(f"{main}c"):
+            text, value = c.find(f"{main}is/{main}t"), c.find(f"{main}v")
+            yield c.get("r"), list(sinks.LOOKS)[int(c.get("s"))], text.text if text is not None else None if value is None else float(value.text)
+
+    table, about = ({r: (look, v) for r, look, v in cells(i)} for i in (1, 2))
+    assert table["A1"] == ("header", "Measurement") and table["F1"] == ("header", "Purkinje (µm)")
+    assert table["B2"] == ("bold number", 453660.123456) and table["F3"] == ("bold number", 1466.123456789) and table["B3"] == ("bold", None) and "F2" in table
+    assert table["A4"] == ("italic", "2Cb") and table["D4"] == ("number", 15000.5) and "B4" not in table
+    assert about == {"A1": ("header", "Field"), "B1": ("header", "Value"), "A2": ("bold", "Image"), "B2": ("wrapped", "a <b>.tif"), "A3": ("bold", "Warning"), "B3": ("wrapped", "look  here")}
+    pane = parts_of["xl/worksheets/sheet1.xml"].find(f"{main}sheetViews/{main}sheetView/{main}pane")
+    assert (pane.get("xSplit"), pane.get("ySplit"), pane.get("state")) == ("1", "1", "frozen")
+    assert len(parts_of["xl/styles.xml"].find(f"{main}cellXfs")) == 7 and parts_of["xl/styles.xml"].find(f"{main}numFmts/{main}numFmt").get("formatCode") == "0.0000"
     assert [sinks.reference(0, c) for c in (0, 25, 26, 701, 702)] == ["A1", "Z1", "AA1", "ZZ1", "AAA1"]
 
 
