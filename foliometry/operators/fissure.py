@@ -123,6 +123,11 @@ def spanning_cuts(lines: DataFrame, spans: DataFrame, shapes: DataFrame, keys: l
     return _extended(out, spans, reaches(out, shapes, d, keys, line_key, False, "wm"), keys, line_key, False, "wm", True)
 
 
+def with_white_matter(lines: DataFrame, shapes: DataFrame, keys: list[str]) -> DataFrame:
+    """The lines of sections that have white matter: only these are cut into parts."""
+    return lines.join(shapes.where(F.col("layer") == "wm").select(*keys).distinct(), keys, "left_semi")
+
+
 def path_lengths(lines: DataFrame, keys: list[str], line_key: str) -> DataFrame:
     own = [*keys, line_key]
     return polyline.total_length(lines, own).select(*own, "length")

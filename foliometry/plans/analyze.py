@@ -50,8 +50,7 @@ def analyze(rois: DataFrame, sections: DataFrame, keep=stored, marker: str = cla
     filled = keep(spans.clip(filled, F.col("width"), F.col("height")).drop("width", "height"))
     cells = keep(spans.derived_layers(spans.cells(filled, KEYS, ["cb", "gl", "wm"])))
     lines = line_vertices(good.where(F.col("category") == "PURKINJE"), KEYS)
-    has_wm = shapes.where(F.col("layer") == "wm").select(*KEYS).distinct()
-    traced = good.where(F.col("category") == "FISSURE").join(has_wm, KEYS, "left_semi")
+    traced = fissure.with_white_matter(good.where(F.col("category") == "FISSURE"), shapes, KEYS)
     traced = line_vertices(traced.select(*KEYS, F.col("roi_idx").alias("cut_id"), "rings"), [*KEYS, "cut_id"])
     decisions = fissure.outer_end_first(traced, filled, shapes, KEYS, "cut_id")
     cuts = keep(fissure.spanning_cuts(fissure.oriented(traced, decisions, KEYS, "cut_id"), filled, shapes, KEYS, "cut_id", keep))

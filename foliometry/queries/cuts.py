@@ -69,6 +69,7 @@ def has_hole(spark, sf_dir):
 
 def _sections(spark, sf_dir):
     lines, filled, shapes = _oriented(spark, sf_dir)
+    lines = fissure.with_white_matter(lines, shapes, KEYS)
     cut = spans.derived_layers(spans.cells(filled, KEYS, ["cb", "gl", "wm"]))
     return cut, partition.partition(cut.where("grey"), fissure.spanning_cuts(lines, filled, shapes, KEYS, "cut_id", stored), KEYS)
 

@@ -120,13 +120,13 @@ def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cut_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """section_id, cut_id, idx, x, y: seven radial cuts of three vertices where there is white matter.
+    """section_id, cut_id, idx, x, y: seven radial cuts of three vertices in every section, with white matter or without.
 
     Every other one stops short of the outline, every third short of white matter, and half are
     traced from the inside.
     """
     cut = F.explode(F.array(*(F.struct(F.lit(f).alias("cut_id"), F.lit(a).alias("a"), F.lit(b).alias("b")) for f, (a, b) in enumerate(CUT_DIRECTIONS)))).alias("c")
-    s = _sized(spark, sf_dir).where(F.col("section_id") % 3 != 0).select("*", cut).select("section_id", "cb", "wm", "c.*")
+    s = _sized(spark, sf_dir).select("*", cut).select("section_id", "cb", "wm", "c.*")
     outer = F.col("cb") * F.when(F.col("cut_id") % 2 == 0, 0.96875).otherwise(1.0625)
     inner = F.col("wm") * F.when(F.col("cut_id") % 3 == 0, 1.0625).otherwise(0.875)
     s = s.withColumn("outer", outer).withColumn("inner", inner)
@@ -149,7 +149,7 @@ sized AS (
 direction(cut_id, a, b) AS (VALUES {", ".join(f"({i}, CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for i, (a, b) in enumerate(CUT_DIRECTIONS))}),
 ends AS (
   SELECT section_id, cut_id, a, b, cb * CASE WHEN cut_id % 2 = 0 THEN 0.96875 ELSE 1.0625 END AS o, wm * CASE WHEN cut_id % 3 = 0 THEN 1.0625 ELSE 0.875 END AS i
-  FROM sized, direction WHERE section_id % 3 <> 0),
+  FROM sized, direction),
 reach AS (SELECT section_id, cut_id, a, b, k, CASE k WHEN 0 THEN o WHEN 1 THEN (o + i) / 2 ELSE i END AS r FROM ends, (VALUES (0), (1), (2)) AS t(k)),
 cut AS (
   SELECT section_id, cut_id, CAST(CASE WHEN (section_id + cut_id) % 2 = 1 THEN 2 - k ELSE k END AS INTEGER) AS idx, {CX} + a * r AS x, {CY} + b * r AS y FROM reach),
