@@ -161,6 +161,7 @@ def votes(text: str, span: Span) -> str:
 
 #: Values of each feature of a span: digit groups, separators, digits, what stands left and right of it.
 FEATURES = (7, 6, 6, 4, 4)
+BLANK = "0" * len(FEATURES)
 
 
 def looks(text: str, span: Span) -> str:
@@ -182,7 +183,7 @@ class SpanModel:
     #: For each kind: labelers' estimated accuracy.
     accuracy: dict[str, list[float]] = field(default_factory=dict)
 
-    def score(self, kind: str, pattern: str, look: str = "00000") -> float:
+    def score(self, kind: str, pattern: str, look: str = BLANK) -> float:
         w = self.weights.get(kind)
         return 0.0 if w is None else float(1 / (1 + np.exp(-(inputs([pattern], [look]) @ w)[0])))
 
@@ -226,11 +227,13 @@ def reliabilities(patterns: list[str], counts: np.ndarray, source: np.ndarray |
     return posterior, accuracy.tolist()
 
 
-def train(counts: dict[tuple[str, bool, str, str], int]) -> SpanModel:
+def train(counts: dict[tuple, int]) -> SpanModel:
     """A logistic classifier for each kind, fitted to the EM posteriors of all candidates.
 
-    ``counts`` has how often each (kind, whether a base match, votes, look) occurs.
+    ``counts`` has how often each (kind, whether a base match, votes, look) occurs; (kind, votes) is
+    a look-alike of which only the votes are known.
     """
+    counts = {k if len(k) == 4 else (k[0], False, k[1], BLANK): n for k, n in counts.items()}
     model = SpanModel()
     for kind in KINDS:
         rows = sorted(k for k in counts if k[0] == kind)

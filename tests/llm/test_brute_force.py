@@ -89,6 +89,21 @@ def docs_column():
     return F.lit("a column of the result's name")
 
 
+def test_added_spans_of_labelled_look_alikes(spark):
+    """All true look-alikes are added and no false one: numbers of orders, versions and invoices, and labels that no domain ends in."""
+    rng = random.Random(30)
+    n = lambda k: "".join(rng.choice("23456789") for _ in range(k))
+    name = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [lambda: f"mail {name()}@{name()}.org today", lambda: f"call +1 ({n(3)}) {n(3)}-{n(4)} office", lambda: f"server 10.{n(2)}.{n(2)}.1 port"]
+    true = [lambda: f"contact {name()} [at] {name()} [dot] org", lambda: f"mail {name()} (at) {name()}.com today", lambda: f"call {n(3)}-{n(3)}-{n(4)} office", lambda: f"tel ({n(3)}) {n(3)}-{n(4)} ext 4"]
+    false = [lambda: f"order 1{n(2)}-0{n(2)}-{n(4)} pieces", lambda: f"version 3{n(2)}.{n(3)}.1.2 beta", lambda: f"invoice {n(13)} items", lambda: f"version {name()} (at) {name()}.7 beta"]
+    rows = [(rng.choice(base)(), None) for _ in range(400)] + [(rng.choice(kinds)(), label) for label, kinds in ((True, true), (False, false)) for _ in range(120)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.find(docs).collect()}
+    got = Counter((label, bool(spans[i])) for i, (_, label) in enumerate(rows))
+    assert got == {(None, True): 400, (True, True): 120, (False, False): 120}
+
+
 # decontamination
 
 
