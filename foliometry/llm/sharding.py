@@ -18,8 +18,10 @@ from .common import written
 
 #: Sizes below this are classes of their own; above, a class holds sizes within 1 / 1024.
 EXACT_SIZES = 65_536
-#: Numbers within a class or shard are counted in so many parts and then shifted.
-PARTS = 64
+#: Numbers within a class or shard are counted in so many parts at least, and in one for so many rows of the table, and then shifted.
+PARTS, PART_ROWS = 64, 1 << 20
+#: So many runs of the packing are broadcast at most (some 30 bytes each); more of them meet their groups by a shuffle.
+BROADCAST_RUNS = 1 << 18
 
 
 class CapacityTree:
@@ -154,13 +156,15 @@ def fewest_bytes(classes: list[tuple[int, int]], n_shards: int) -> Packing:
     return found
 
 
-def numbered(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+def numbered(df: DataFrame, by: list[str], order: list[str], name: str, n_rows: int) -> DataFrame:
     """Adds gapless numbers from 0 within ``by``, without one task for a large key.
 
-    Rows are counted in ``PARTS`` parts by a hash of ``order``; each part's numbers start
-    after those of the parts before it.
+    Rows are counted in parts by a hash of ``order``; each part's numbers start after those of
+    the parts before it. The parts grow with ``n_rows``, the length of the table, so that a part
+    has about ``PART_ROWS`` rows at most, even if one key has all.
     """
-    part = F.pmod(F.xxhash64(*order), F.lit(PARTS)).cast("int")
+    parts = max(PARTS, -(-n_rows // PART_ROWS))
+    part = F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int")
     df = df.withColumn("_part", part)
     sums = df.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -192,7 +196,8 @@ def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     packing = fewest_bytes(classes, n_shards)
     spark = docs.sparkSession
     runs = spark.createDataFrame(packing.runs, "class long, low long, high long, shard int")
-    placed = numbered(groups, ["class"], ["grp", "size"], "number").join(F.broadcast(runs), "class").where((F.col("number") >= F.col("low")) & (F.col("number") < F.col("high"))).select("grp", "size", "shard")
+    runs = F.broadcast(runs) if len(packing.runs) <= BROADCAST_RUNS else runs
+    placed = numbered(groups, ["class"], ["grp", "size"], "number", sum(n for _, n in classes)).join(runs, "class").where((F.col("number") >= F.col("low")) & (F.col("number") < F.col("high"))).select("grp", "size", "shard")
     out = written(rows.join(placed, ["grp", "size"]).select("doc_id", "size", "text_crc32", "grp", "shard"), "sharded")
-    out = numbered(out, ["shard"], ["doc_id", "text_crc32", "grp"], "slot")
+    out = numbered(out, ["shard"], ["doc_id", "text_crc32", "grp"], "slot", out.count())
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -307,3 +307,31 @@ def test_sharding_is_even(spark):
     for r in sharding.shard_documents(docs).collect():
         sizes[r.shard] += r.size
     assert len(sizes) == 8 and max(sizes.values()) - min(sizes.values()) < 0.01 * max(sizes.values())
+
+
+def test_sharding_places_groups_as_plain_best_fit_does(spark, monkeypatch):
+    rng = random.Random(2)
+    texts = ["y" * rng.randrange(200) for _ in range(400)] + ["copy"] * 150 + [None, "", ""]
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA)
+    groups = Counter(t or "" for t in texts)
+    totals = sorted(((len(t) + 1) * n for t, n in groups.items()), reverse=True)
+    capacity = sharding.fewest_bytes(list(Counter(totals).items()), 5).capacity
+    bins, expected = [], Counter()
+    for size in totals:
+        fits = [(r, i) for i, r in enumerate(bins) if r >= size]
+        at = min(fits)[1] if fits else len(bins)
+        if not fits:
+            bins.append(max(capacity, size))
+        bins[at] -= size
+        expected[size, at] += 1
+    for part_rows, most_runs in ((1 << 20, 1 << 18), (3, 0)):  # one part and a broadcast, and many parts and a shuffle
+        monkeypatch.setattr(sharding, "PART_ROWS", part_rows)
+        monkeypatch.setattr(sharding, "BROADCAST_RUNS", most_runs)
+        got = sharding.shard_documents(docs, 5).collect()
+        shards = {(r.text_crc32, r.size, r.shard) for r in got}
+        members = Counter((r.text_crc32, r.size) for r in got)
+        assert Counter((size * members[crc, size], shard) for crc, size, shard in shards) == expected
+        slots = defaultdict(list)
+        for r in got:
+            slots[r.shard].append(r.slot)
+        assert len(got) == len(texts) and all(sorted(s) == list(range(len(s))) for s in slots.values())
