@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, jaccard, langid, packing, pii, quality, sharding, suffix_dedup, warc
+from . import chat, decontaminate, jaccard, langid, packing, pieces, pii, quality, runs, sharding, suffix_dedup, warc
 from .common import table
 
 
@@ -50,8 +50,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_pii, op3_decontamination, op4_warc, op5_packing, op6_quality, op7_language_id, op8_ngram_jaccard, op9_chat, op10_sharding)}
+    every = (
+        op1_suffix_dedup, op2_pii, op3_decontamination, op4_warc, op5_packing, op6_quality, op7_language_id, op8_ngram_jaccard, op9_chat,
+        op10_sharding, op11_sentencepiece, op12_periodic_runs,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
