@@ -8,9 +8,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Paths of the tables that were stored and not yet removed.
-_TABLES: list[str] = []
-
 
 def folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a local folder only where that is unset and all runs in one process."""
@@ -24,18 +21,33 @@ def folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+class Scratch:
+    """The tables of one plan: called with a DataFrame, writes it to a folder of its own and reads it back.
+
+    ``remove`` deletes them all; results that were not written elsewhere cannot be read any more. As a
+    context manager it does so at the end.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.n = spark, f"{folder(spark)}/foliometry/plan-{uuid.uuid4().hex}", 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.path}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def remove(self) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.remove()
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back."""
-    spark = df.sparkSession
-    path = f"{folder(spark)}/foliometry/plan-{uuid.uuid4().hex}"
-    _TABLES.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession) -> None:
-    """Removes all tables of ``stored``; results that were not written elsewhere cannot be read any more."""
-    jvm = spark.sparkContext._jvm
-    while _TABLES:
-        at = jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    """``df`` written to the shared folder and read back, for as long as the folder is kept."""
+    return Scratch(df.sparkSession)(df)

@@ -80,8 +80,12 @@ _OCTAGON = ((-0.5, -1), (0.5, -1), (1, -0.5), (1, 0.5), (0.5, 1), (-0.5, 1), (-1
 
 
 def octagons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return octagons_of(table(spark, sf_dir, "supplier"))
+
+
+def octagons_of(suppliers: DataFrame) -> DataFrame:
     """section_id, layer, rings: cb around gl around wm; every third section has no wm."""
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("s_suppkey"))
+    s = suppliers.select(F.col("s_suppkey").cast("long").alias("s_suppkey"))
     sized = s.select(F.col("s_suppkey").alias("section_id"), F.explode(F.array(*(F.struct(F.lit(n).alias("layer"), F.expr(f"CAST({e} AS DOUBLE)").alias("r")) for n, e in SIZES.items()))).alias("l"))
     sized = sized.select("section_id", "l.layer", "l.r").where((F.col("layer") != "wm") | (F.col("section_id") % 3 != 0))
     ring = F.array(*(F.struct((F.lit(CX) + F.col("r") * F.lit(float(a))).alias("x"), (F.lit(CY) + F.col("r") * F.lit(float(b))).alias("y")) for a, b in _OCTAGON))
@@ -114,19 +118,23 @@ span AS MATERIALIZED (SELECT section_id, layer, CAST(y AS INTEGER) AS y, x0, x1
 CUT_DIRECTIONS = ((1.0, 0.125), (1.0, -0.375), (0.25, 1.0), (-0.375, 1.0), (-1.0, 0.25), (-1.0, -0.125), (0.125, -1.0))
 
 
-def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("s_suppkey"))
+def _sized(suppliers: DataFrame) -> DataFrame:
+    s = suppliers.select(F.col("s_suppkey").cast("long").alias("s_suppkey"))
     return s.select(F.col("s_suppkey").alias("section_id"), *(F.expr(f"CAST({e} AS DOUBLE)").alias(n) for n, e in SIZES.items()))
 
 
 def cut_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cuts_of(table(spark, sf_dir, "supplier"))
+
+
+def cuts_of(suppliers: DataFrame) -> DataFrame:
     """section_id, cut_id, idx, x, y: seven radial cuts of three vertices in every section, with white matter or without.
 
     Every other one stops short of the outline, every third short of white matter, and half are
     traced from the inside.
     """
     cut = F.explode(F.array(*(F.struct(F.lit(f).alias("cut_id"), F.lit(a).alias("a"), F.lit(b).alias("b")) for f, (a, b) in enumerate(CUT_DIRECTIONS)))).alias("c")
-    s = _sized(spark, sf_dir).select("*", cut).select("section_id", "cb", "wm", "c.*")
+    s = _sized(suppliers).select("*", cut).select("section_id", "cb", "wm", "c.*")
     outer = F.col("cb") * F.when(F.col("cut_id") % 2 == 0, 0.96875).otherwise(1.0625)
     inner = F.col("wm") * F.when(F.col("cut_id") % 3 == 0, 1.0625).otherwise(0.875)
     s = s.withColumn("outer", outer).withColumn("inner", inner)
@@ -137,12 +145,35 @@ def cut_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reference_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return references_of(table(spark, sf_dir, "supplier"))
+
+
+def references_of(suppliers: DataFrame) -> DataFrame:
     """section_id, idx, x, y: an open line just outside the middle octagon."""
     corner = F.posexplode(F.array(*(F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for a, b in _OCTAGON))).alias("idx", "c")
-    v = _sized(spark, sf_dir).select("section_id", F.col("gl").alias("r"), corner)
+    v = _sized(suppliers).select("section_id", F.col("gl").alias("r"), corner)
     return v.select("section_id", "idx", (F.lit(CX) + F.col("c.a") * F.col("r") * 1.0625).alias("x"), (F.lit(CY) + F.col("c.b") * F.col("r") * 1.0625).alias("y"))
 
 
+def traced_images(suppliers: DataFrame) -> DataFrame:
+    """Regions and lines of one image for each supplier, in the form of ``model.ROIS``.
+
+    Every eleventh image lacks its line and every thirteenth has its outline twice, so they cannot be measured.
+    """
+    names = F.create_map(*(F.lit(x) for pair in (("cb", "CB"), ("gl", "GL+WM"), ("wm", "WM")) for x in pair))
+    areas = octagons_of(suppliers).select("section_id", names[F.col("layer")].alias("name"), F.lit("POLYGON").alias("kind"), "rings")
+    again = areas.where((F.col("name") == "CB") & (F.col("section_id") % 13 == 0)).withColumn("name", F.lit("cb again"))
+    ring = F.array(F.transform(F.sort_array(F.collect_list(F.struct("idx", "x", "y"))), lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"))))
+    lines = references_of(suppliers).where(F.col("section_id") % 11 != 0).groupBy("section_id").agg(ring.alias("rings"))
+    lines = lines.select("section_id", F.lit("PL").alias("name"), F.lit("POLYLINE").alias("kind"), "rings")
+    cuts = cuts_of(suppliers).groupBy("section_id", "cut_id").agg(ring.alias("rings"))
+    cuts = cuts.select("section_id", F.concat(F.lit("FL"), (F.col("cut_id") + 1).cast("string")).alias("name"), F.lit("POLYLINE").alias("kind"), "rings")
+    every = areas.unionByName(again).unionByName(lines).unionByName(cuts)
+    order = F.row_number().over(Window.partitionBy("section_id").orderBy("name")) - 1
+    none = F.lit(None).cast("map<string, string>")
+    return every.select(F.col("section_id").cast("string").alias("section_id"), order.alias("roi_idx"), "name", "kind", none.alias("props"), "rings")
+
+
 CUTS_SQL = f"""
 sized AS (
   SELECT CAST(s_suppkey AS BIGINT) AS section_id, CAST({SIZES["cb"]} AS DOUBLE) AS cb, CAST({SIZES["gl"]} AS DOUBLE) AS gl, CAST({SIZES["wm"]} AS DOUBLE) AS wm FROM supplier),
