@@ -8,8 +8,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.store import stored
 from . import raster
 
+#: Spans of an image up to which one worker labels it; larger ones go through joins (``connected``).
+KERNEL_SPANS = 1 << 22
+
+
+def by_size(rows: DataFrame, keys: list[str], most: int, small, large) -> DataFrame:
+    """``small`` of the images with up to ``most`` rows, ``large`` of the others; one count decides whether there are any."""
+    many = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(*keys)
+    if many.isEmpty():
+        return small(rows)
+    many = stored(many)
+    return small(rows.join(many, keys, "left_anti")).unionByName(large(rows.join(many, keys, "left_semi")))
+
 
 def _schema(df: DataFrame, keys: list[str], rest: str) -> T.StructType:
     return T.StructType([df.schema[k] for k in keys] + T._parse_datatype_string(rest).fields)
@@ -20,11 +33,19 @@ def plain_keys(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
     return pdf.astype({k: object for k in keys if not pd.api.types.is_numeric_dtype(pdf[k])})
 
 
-def label_spans(spans: DataFrame, keys: list[str], diagonal: bool = True) -> DataFrame:
+def label_spans(spans: DataFrame, keys: list[str], diagonal: bool = True, most_spans: int = KERNEL_SPANS) -> DataFrame:
     """keys, y, x0, x1, label: 8-connected components, numbered by first pixel, row by row.
 
-    A group is one region of one image, so its size does not grow with the number of images.
+    A group is one region of one image, so its size does not grow with the number of images; images of more than
+    ``most_spans`` spans are labelled by ``connected.label_spans``.
     """
+    from . import connected
+
+    large = lambda rows: connected.label_spans(rows, keys, stored, diagonal)
+    return by_size(spans.select(*keys, "y", "x0", "x1"), keys, most_spans, lambda rows: _label_spans(rows, keys, diagonal), large)
+
+
+def _label_spans(spans: DataFrame, keys: list[str], diagonal: bool) -> DataFrame:
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         n = raster.label_runs(*(pdf[c].to_numpy() for c in ("y", "x0", "x1")), diagonal)
@@ -51,8 +72,14 @@ def interior_pixels(labelled: DataFrame, keys: list[str]) -> DataFrame:
     return p.groupBy(*keys, "label").agg(F.min_by(F.struct("x", "y"), F.struct(d, F.col("y"), F.col("x"))).alias("p")).select(*keys, "label", "p.x", "p.y")
 
 
-def holes(spans: DataFrame, keys: list[str]) -> DataFrame:
+def holes(spans: DataFrame, keys: list[str], most_spans: int = KERNEL_SPANS) -> DataFrame:
     """keys, enclosed, ring: background pixels inside the region; over 32 of them make it a ring."""
+    from . import connected
+
+    return by_size(spans.select(*keys, "y", "x0", "x1"), keys, most_spans, lambda rows: _holes(rows, keys), lambda rows: connected.holes(rows, keys, stored))
+
+
+def _holes(spans: DataFrame, keys: list[str]) -> DataFrame:
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         y, x0, x1 = (pdf[c].to_numpy() for c in ("y", "x0", "x1"))

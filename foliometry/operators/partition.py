@@ -8,19 +8,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from . import raster
+from ..plans.store import stored
+from . import connected, raster
 from .components import _schema
 
 HOW = "ring boolean, expected int, kept int, clean boolean, half_width double, area long, assigned long"
 
 
-def partition(grey: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
+#: Pixels of a region's bounds up to which one worker cuts it, at some ten bytes each; larger ones go through joins.
+KERNEL_PIXELS = 1 << 27
+
+
+def partition(grey: DataFrame, cuts: DataFrame, keys: list[str], most_pixels: int = KERNEL_PIXELS) -> DataFrame:
     """keys, y, x0, x1, label and how it went, repeated: the labelled spans of each region with cuts.
 
     ``grey`` has spans, ``cuts`` has cut_id, idx, x, y. One group is one traced piece; pieces
-    are independent of each other and run in parallel. Regions without cuts are left out.
+    are independent of each other and run in parallel. Regions without cuts are left out. Regions whose
+    bounds hold more than ``most_pixels`` go through ``connected.partition``.
     """
+    box = (F.max("x1") - F.min("x0")).cast("long") * (F.max("y") - F.min("y") + 1)
+    many = grey.groupBy(*keys).agg(box.alias("_n")).where(F.col("_n") > most_pixels).select(*keys)
+    if many.isEmpty():
+        return _partition(grey, cuts, keys)
+    many = stored(many)
+    large = connected.partition(grey.join(many, keys, "left_semi"), cuts, keys, stored)
+    return _partition(grey.join(many, keys, "left_anti"), cuts, keys).unionByName(large)
+
 
+def _partition(grey: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
     schema = _schema(grey, keys, f"y int, x0 int, x1 int, label int, {HOW}")
     arrow = to_arrow_schema(schema)
 

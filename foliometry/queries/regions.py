@@ -66,8 +66,9 @@ ORACLES = {
         o AS (SELECT section_id, coalesce(max(CASE WHEN la = 'cb' AND lb = 'gl' THEN px END), 0) AS cb_gl, coalesce(max(CASE WHEN la = 'cb' AND lb = 'wm' THEN px END), 0) AS cb_wm,
           coalesce(max(CASE WHEN la = 'gl' AND lb = 'wm' THEN px END), 0) AS gl_wm FROM cut GROUP BY 1)
         SELECT section_id, CAST(cb AS BIGINT) AS cb, CAST(cb - cb_wm AS BIGINT) AS grey, CAST(gl - gl_wm AS BIGINT) AS granular, CAST(cb - cb_gl AS BIGINT) AS molecular FROM t JOIN o USING (section_id)""",
-    "span_and": f"""WITH {SPANS_SQL} SELECT a.section_id, a.y, greatest(a.x0, b.x0) AS x0, least(a.x1, b.x1) AS x1 FROM span a JOIN span b ON a.section_id = b.section_id AND a.y = b.y
-        WHERE a.layer = 'cb' AND b.layer = 'gl' AND greatest(a.x0, b.x0) < least(a.x1, b.x1)""",
+    "span_and": f"""WITH {SPANS_SQL}, m AS (SELECT a.section_id, a.y, greatest(a.x0, b.x0) AS x0, least(a.x1, b.x1) AS x1
+          FROM (SELECT * FROM span WHERE layer = 'cb') a JOIN (SELECT * FROM span WHERE layer = 'gl') b ON a.section_id = b.section_id AND a.y = b.y)
+        SELECT * FROM m WHERE x0 < x1""",
     # octagons are convex: one span of each on a scanline, so at most a piece on either side is left
     "span_not": f"""WITH {SPANS_SQL}, m AS (SELECT a.section_id, a.y, a.x0, a.x1, b.x0 AS b0, b.x1 AS b1
           FROM (SELECT * FROM span WHERE layer = 'cb') a LEFT JOIN (SELECT * FROM span WHERE layer = 'gl') b ON a.section_id = b.section_id AND a.y = b.y)
