@@ -215,12 +215,20 @@ def test_links_come_from_the_t_occurrence_search():
             sets += [{*first[16 * k : 16 * k + 16], *take(80)} for _ in range(20)]
         sets.append({*first[4:], *take(4)})
         pairs.append((len(sets) - 122, len(sets) - 1))
-    limit, union, by = jaccard.Threshold(8, 10), jaccard.Union(len(sets)), Counter()
-    jaccard.search([np.array(sorted(s), np.uint64) for s in sets], limit, union, by)
-    assert by == {"search": len(pairs)} and all(union.find(a) == union.find(b) for a, b in pairs)
+    limit, union = jaccard.Threshold(8, 10), jaccard.Union(len(sets))
+    links = jaccard.search([np.array(sorted(s), np.uint64) for s in sets], limit, union)
+    assert links == len(pairs) and all(union.find(a) == union.find(b) for a, b in pairs)
     assert len({union.find(k) for k in range(len(sets))}) == len(sets) - len(pairs)
 
 
+def test_a_large_group_of_near_copies_takes_one_link_each():
+    base = list(range(0, 3000, 10))
+    sets = [np.array(sorted([*base[:k], base[k] + 1, *base[k + 1 :]]), np.uint64) for k in range(300)] * 4
+    union = jaccard.Union(len(sets))
+    assert jaccard.search(sets, jaccard.Threshold(8, 10), union) == len(sets) - 1
+    assert {union.find(k) for k in range(len(sets))} == {0}
+
+
 # the pipeline's stages
 
 
