@@ -6,7 +6,10 @@ centre does (even-odd rule). Work is by scanline, so the shuffle key is (section
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import pixel_from
@@ -46,26 +49,33 @@ def clip(spans: DataFrame, width: Column, height: Column) -> DataFrame:
 def cells(spans: DataFrame, keys: list[str], layers: list[str]) -> DataFrame:
     """keys, y, x0, x1 and a boolean for each layer: scanlines cut wherever a layer begins or ends.
 
-    ``spans`` has a column ``layer``. A layer without spans (a region that was not
-    traced) is false everywhere.
+    ``spans`` has a column ``layer``. A sweep along each scanline counts a layer up where one of its
+    spans begins and down where one ends, so its spans may overlap, nest and touch. A layer without spans
+    (a region that was not traced) is false everywhere.
     """
-    rows = spans.groupBy(*keys, "y").agg(F.collect_list(F.struct("layer", "x0", "x1")).alias("s"))
-    cuts = F.array_sort(F.array_distinct(F.concat(F.col("s.x0"), F.col("s.x1"))))
-    rows = rows.withColumn("c", cuts)
-    n = F.size("c") - 1
-    between = F.zip_with(F.slice("c", 1, n), F.slice("c", 2, n), lambda a, b: F.struct(a.alias("x0"), b.alias("x1")))
-    out = rows.select(*keys, "y", "s", F.explode(between).alias("b")).select(*keys, "y", "s", "b.x0", "b.x1")
+    ends = F.explode(F.array(F.struct(F.col("x0").alias("x"), F.lit(1).alias("d")), F.struct(F.col("x1").alias("x"), F.lit(-1).alias("d")))).alias("e")
+    events = spans.where("x0 < x1").select(*keys, "y", "layer", ends).select(*keys, "y", "layer", "e.x", "e.d").repartition(*keys, "y")
+    places = events.groupBy(*keys, "y", "x").agg(*(F.sum(F.when(F.col("layer") == layer, F.col("d")).otherwise(0)).alias(layer) for layer in layers))
+    line = Window.partitionBy(*keys, "y").orderBy("x")
+    depth = line.rowsBetween(Window.unboundedPreceding, 0)
+    flags = [(F.sum(layer).over(depth) > 0).alias(layer) for layer in layers]
+    out = places.select(*keys, "y", F.col("x").alias("x0"), F.lead("x").over(line).alias("x1"), *flags)
+    return out.where(reduce(or_, map(F.col, layers)))
+
+
+def joined_cells(cut: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, y, x0, x1: cells that touch, as one span."""
+    line = Window.partitionBy(*keys, "y").orderBy("x0")
+    begins = F.when(F.lag("x1").over(line) == F.col("x0"), 0).otherwise(1)
+    run = cut.select(*keys, "y", "x0", "x1", begins.alias("_new"))
+    run = run.withColumn("_run", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    return run.groupBy(*keys, "y", "_run").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("_run")
 
-    def within(layer: str) -> Column:
-        # spans of one layer may overlap each other when it has several regions: any will do
-        return F.exists("s", lambda s: (s["layer"] == layer) & (s["x0"] <= F.col("x0")) & (F.col("x0") < s["x1"]))
 
-    flags = {layer: within(layer) for layer in layers}
-    out = out.select(*keys, "y", "x0", "x1", *(c.alias(layer) for layer, c in flags.items()))
-    anywhere = F.lit(False)
-    for layer in layers:
-        anywhere = anywhere | F.col(layer)
-    return out.where(anywhere)
+def _both(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells of two regions: flags _a and _b."""
+    of = lambda rows, name: rows.select(*keys, "y", "x0", "x1", F.lit(name).alias("layer"))
+    return cells(of(first, "_a").unionByName(of(second, "_b")), keys, ["_a", "_b"])
 
 
 def derived_layers(cut: DataFrame) -> DataFrame:
@@ -75,27 +85,13 @@ def derived_layers(cut: DataFrame) -> DataFrame:
 
 
 def intersect(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, y, x0, x1 of the pixels in both regions; spans of one region must not overlap each other."""
-    other = second.select(*keys, "y", F.col("x0").alias("b0"), F.col("x1").alias("b1"))
-    both = first.select(*keys, "y", "x0", "x1").join(other, [*keys, "y"]).where((F.col("x0") < F.col("b1")) & (F.col("b0") < F.col("x1")))
-    return both.select(*keys, "y", F.greatest("x0", "b0").alias("x0"), F.least("x1", "b1").alias("x1"))
+    """keys, y, x0, x1 of the pixels in both regions, as the longest spans; spans of one region may overlap."""
+    return joined_cells(_both(first, second, keys).where("_a AND _b"), keys)
 
 
 def subtract(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, y, x0, x1 of the pixels in the first region only; an empty second region takes nothing.
-
-    Each scanline of the second region (a few spans) meets the first's spans, which keep the gaps.
-    """
-    span = F.struct(F.col("x0").alias("b0"), F.col("x1").alias("b1"))
-    other = second.groupBy(*keys, "y").agg(F.sort_array(F.collect_list(span)).alias("cut"))
-    rows = first.select(*keys, "y", "x0", "x1").join(other, [*keys, "y"], "left")
-    gap = lambda a, b: F.struct(a.alias("x0"), b.alias("x1"))
-    begin = F.struct(F.array().cast("array<struct<x0: int, x1: int>>").alias("gaps"), F.col("x0").cast("int").alias("at"))
-    step = lambda acc, s: F.struct(F.concat(acc["gaps"], F.array(gap(acc["at"], F.least(s["b0"], F.col("x1")).cast("int")))).alias("gaps"), F.greatest(acc["at"], s["b1"]).cast("int").alias("at"))
-    end = lambda acc: F.concat(acc["gaps"], F.array(gap(acc["at"], F.col("x1").cast("int"))))
-    cut = F.coalesce("cut", F.array().cast("array<struct<b0: int, b1: int>>"))
-    left = rows.select(*keys, "y", F.explode(F.aggregate(cut, begin, step, end)).alias("g"))
-    return left.select(*keys, "y", "g.x0", "g.x1").where("x0 < x1")
+    """keys, y, x0, x1 of the pixels in the first region only, as the longest spans; an empty second region takes nothing."""
+    return joined_cells(_both(first, second, keys).where("_a AND NOT _b"), keys)
 
 
 def pixels(flag: Column) -> Column:

@@ -14,6 +14,7 @@ import tempfile
 import zipfile
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -188,8 +189,14 @@ def workbooks(totals: DataFrame, parts: DataFrame, info: DataFrame, messages: Da
     return rows.mapInArrow(make, f"section_id {totals.schema['section_id'].dataType.simpleString()}, content binary")
 
 
+def folder_name(section: str) -> str:
+    """A name for a section's folder: no two sections have the same one, and none leads elsewhere."""
+    name = quote(section, safe=" ")
+    return name if name.strip(".") else name.replace(".", "%2E") or "%"
+
+
 def write_workbooks(books: DataFrame, folder: str, base: str) -> DataFrame:
-    """section_id, path of the files ``<folder>/<section_id>/<base>.xlsx``, written where the rows are.
+    """section_id, path of the files ``<folder>/<section_id>/<base>.xlsx`` (ids as in URLs), written where the rows are.
 
     ``folder`` is one that all machines see as files. A task that is run again replaces its files.
     """
@@ -198,7 +205,7 @@ def write_workbooks(books: DataFrame, folder: str, base: str) -> DataFrame:
         for b in batches:
             paths = []
             for section, content in zip(b.column("section_id").to_pylist(), b.column("content"), strict=True):
-                own = os.path.join(folder, re.sub(r"[^\w.-]", "_", str(section)))
+                own = os.path.join(folder, folder_name(str(section)))
                 os.makedirs(own, exist_ok=True)
                 paths.append(os.path.join(own, f"{base}.xlsx"))
                 write_whole(paths[-1], content.as_py())
@@ -214,6 +221,6 @@ def csv_lines(grid: DataFrame) -> DataFrame:
 
 
 def write_csv(grid: DataFrame, path: str) -> None:
-    """One folder a section; each section's rows are in one file, in order. Files of an earlier run go."""
+    """One folder a section; each section's rows are in one file, in order. Sections that ``grid`` has not keep their files."""
     lines = csv_lines(grid).repartition("section_id").sortWithinPartitions("section_id", "row_idx")
-    lines.select("section_id", F.col("line").alias("value")).write.mode("overwrite").partitionBy("section_id").text(path)
+    lines.select("section_id", F.col("line").alias("value")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("section_id").text(path)

@@ -1,27 +1,34 @@
-"""Traced images as they arrive: each micro-batch of files is analyzed and its results appended."""
+"""Traced images as they arrive: each micro-batch of files is analyzed and its results are written."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators import classify, messages
 from ..plans.analyze import analyze, combine
+from ..plans.store import Scratch
 from ..sources.model import ROIS
 
 
 def measure_stream(spark: SparkSession, rois_dir: str, sections: DataFrame, out_dir: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Reads region files from a folder; a section's regions must come in one file.
 
-    Results of a batch are written under its number, so a batch that is run again after a
-    failure replaces its own output.
+    Writes ``totals``, ``parts``, ``problems`` (why a section was not measured) and ``messages`` under ``out_dir``. Results of a
+    batch are written under its number, so a batch that is run again after a failure replaces its
+    own output. Tables between the stages are removed with each batch.
     """
 
     def measure(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        totals, parts = combine(analyze(batch, sections))
-        totals.write.mode("overwrite").parquet(f"{out_dir}/totals/batch={number}")
-        parts.write.mode("overwrite").parquet(f"{out_dir}/parts/batch={number}")
-        batch.unpersist()
+        with Scratch(batch.sparkSession) as keep:
+            rois = keep(batch)
+            analysis = analyze(rois, sections, keep)
+            totals, parts = (keep(x) for x in combine(analysis))
+            said = [messages.of_names(rois, classify.OUTPUT_PROPERTY), messages.of_containment(analysis.cells), messages.of_cutting(analysis.labelled)]
+            said += [messages.of_ends(analysis.totals), messages.of_coverage(analysis.notes), messages.of_pooling(totals, parts)]
+            told = messages.collected(said, classify.pieces(rois))
+            for name, rows in (("totals", totals), ("parts", parts), ("problems", analysis.problems), ("messages", told)):
+                rows.write.mode("overwrite").parquet(f"{out_dir}/{name}/batch={number}")
 
     stream = spark.readStream.schema(ROIS).parquet(rois_dir)
     writer = stream.writeStream.foreachBatch(measure).option("checkpointLocation", checkpoint)

@@ -1,6 +1,7 @@
 """Lines, spans, masks and cuts on small shapes."""
 
 import math
+import random
 from collections import deque
 
 import numpy as np
@@ -65,6 +66,22 @@ def test_spans_and_layers(spark):
     assert clipped.agg(F.sum(F.col("x1") - F.col("x0"))).first()[0] == 12
 
 
+def test_overlapping_spans_of_one_region(spark):
+    """Region algebra against sets of pixels, with spans that overlap, nest, touch and are empty."""
+    rng = random.Random(8)
+    spans_of = lambda n: [(rng.randrange(3), 0, y, a, a + rng.randrange(9)) for _ in range(n) for y, a in ((rng.randrange(6), rng.randrange(-4, 20)),)]
+    first, second = spans_of(120), spans_of(90)
+    of = "sec int, piece int, y int, x0 int, x1 int"
+    a, b = spark.createDataFrame(first, of), spark.createDataFrame(second, of)
+    pixels = lambda rows: {(s, y, x) for s, _, y, x0, x1 in rows for x in range(x0, x1)}
+    for got, want in ((spans.intersect(a, b, ["sec", "piece"]), pixels(first) & pixels(second)), (spans.subtract(a, b, ["sec", "piece"]), pixels(first) - pixels(second))):
+        rows = [tuple(r) for r in got.select("sec", "piece", "y", "x0", "x1").collect()]
+        assert pixels(rows) == want and len(pixels(rows)) == sum(r[4] - r[3] for r in rows)
+        assert all((s, y, x0 - 1) not in want and (s, y, x1) not in want for s, _, y, x0, x1 in rows)
+    both = spans.cells(a.withColumn("layer", F.lit("cb")).unionByName(b.withColumn("layer", F.lit("gl"))), ["sec"], ["cb", "gl", "wm"])
+    assert both.where("wm").count() == 0 and both.agg(F.sum(F.when(F.col("cb") & F.col("gl"), F.col("x1") - F.col("x0")))).first()[0] == len(pixels(first) & pixels(second))
+
+
 def flood(mask, diagonal=True):
     labels, n = np.full(mask.shape, -1), 0
     for start in zip(*np.nonzero(mask), strict=True):

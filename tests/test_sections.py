@@ -1,5 +1,6 @@
 """Whole analyses of synthetic images, pooling, reports, files and the stream."""
 
+import os
 import zipfile
 from dataclasses import replace
 from functools import reduce
@@ -178,3 +179,27 @@ def test_stream_of_files(spark, tmp_path):
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out/totals")).first().grey == 362836
     assert spark.read.parquet(str(tmp_path / "out/parts")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "out/problems")).count() == 0
+    scratch = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(f"{scratch}/foliometry"))
+    # the next file has an image without its line: it is among the problems, and no table between stages is left
+    more = rois.where("name <> 'PL'").withColumn("section_id", F.lit("bad"))
+    more.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    bad = images.unionByName(images.withColumn("section_id", F.lit("bad")))
+    measure_stream(spark, str(tmp_path / "in"), bad, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "out/problems")).where("section_id = 'bad'").collect()
+    assert [r.code for r in found] == ["MISSING_PL"] and spark.read.parquet(str(tmp_path / "out/totals")).count() == 1
+    assert set(os.listdir(f"{scratch}/foliometry")) == before
+
+
+def test_files_of_other_sections_stay(spark, tmp_path):
+    of = lambda *ids: spark.createDataFrame([(i, 0, *["x"] * 6) for i in ids], f"section_id string, row_idx int, {', '.join(f'{c} string' for c in sinks.GRID)}")
+    for ids in (("a", "b"), ("b",), ("c/d",)):
+        sinks.write_csv(of(*ids), str(tmp_path / "all.csv"))
+    assert {r.section_id for r in spark.read.text(str(tmp_path / "all.csv")).collect()} == {"a", "b", "c/d"}
+    names = ["a/b", "a_b", "a%2Fb", "..", ".", "", "...", "a.b", "é", "a b", "%", "%2E"]
+    made = [sinks.folder_name(n) for n in names]
+    assert len(set(made)) == len(names) and not any("/" in m or m in ("", ".", "..") for m in made)
+    books = spark.createDataFrame([(n, b"x") for n in ("a/b", "a_b", "..")], "section_id string, content binary")
+    paths = [r.path for r in sinks.write_workbooks(books, str(tmp_path / "books"), "all").collect()]
+    assert len(set(paths)) == 3 and all(os.path.realpath(p).startswith(str(tmp_path / "books")) for p in paths)
