@@ -1,12 +1,14 @@
 """Lines within labelled regions: length by region, runs and pixels.
 
-A line is walked in steps of a quarter pixel or less; a step belongs to the region of the pixel at
-its middle. One equi-join on the scanline labels every step for all regions at once.
+A line is thought to be walked in equal steps of a quarter pixel or less; a step belongs to the region of the
+pixel at its middle. No step becomes a row: middles move one way along a segment, so the steps on a
+scanline, and those of them within a span, are one range, whose ends follow from the segment. Rows grow with
+the scanlines and spans that a line crosses.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import length
@@ -15,56 +17,109 @@ from . import polyline
 STEP = 0.25
 
 
-def steps(lines: DataFrame, keys: list[str], px_w: float = 1.0, px_h: float = 1.0) -> DataFrame:
-    """keys, idx, s, n, x, y, x2, y2, mx, my, step_len: equal steps of each segment."""
+def _middle(a: Column, b: Column, s: Column, n: Column) -> Column:
+    """The place of step ``s`` of ``n`` on the way from ``a`` to ``b``."""
+    return a + (s / n + (s + 1) / n) / 2 * (b - a)
+
+
+def _first(a: Column, b: Column, n: Column, place: Column, guess: Column) -> Column:
+    """The first step whose middle has come to ``place``: at it or beyond upwards, before it downwards; ``n`` if none has.
+
+    Rounding can put the guess off by one, so it and the step before it are tried as they are walked.
+    """
+    come = lambda k: F.when(b > a, _middle(a, b, k, n) >= place).otherwise(_middle(a, b, k, n) < place)
+    found = F.when((guess > 0) & come(guess - 1), guess - 1).when((guess >= n) | come(guess), guess).otherwise(guess + 1)
+    return F.least(n.cast("long"), found)
+
+
+def _ranged(df: DataFrame, a: Column, b: Column, low: Column, high: Column) -> DataFrame:
+    """``df`` (with n) and a column r of the first and last step whose middle is in [low, high).
+
+    The range is one element that is exploded, so a filter on it does not work it out anew.
+    """
+    n = F.col("n")
+    ends = F.when(b > a, low).otherwise(high), F.when(b > a, high).otherwise(low)
+    guess = lambda place: F.greatest(F.lit(0).cast("long"), F.least(n.cast("long"), F.ceil(n * (place - a) / F.nullif(b - a, F.lit(0.0)) - 0.5)))
+    df = df.withColumns({f"_g{i}": guess(place) for i, place in enumerate(ends)})
+    level = F.when((a >= low) & (a < high), F.lit(0).cast("long")).otherwise(n.cast("long"))
+    first, after = (_first(a, b, n, place, F.col(f"_g{i}")) for i, place in enumerate(ends))
+    of = F.struct(F.when(a == b, level).otherwise(first).alias("s0"), F.when(a == b, n.cast("long")).otherwise(after).alias("end"))
+    return df.select("*", F.explode(F.array(of)).alias("r")).drop("_g0", "_g1")
+
+
+def stretches(lines: DataFrame, keys: list[str], px_w: float = 1.0, px_h: float = 1.0) -> DataFrame:
+    """keys, seg (from 1), n, x, y, x2, y2, step_len, row, s0, s1: the steps s0 to s1 of a segment that are on a scanline.
+
+    A step goes down by a quarter pixel at most, so every scanline between a segment's first and last has one.
+    """
     segs = polyline.segments(lines, keys)
     n = F.greatest(F.lit(1), F.ceil(F.col("len") / STEP)).cast("int")
     scaled = length((F.col("x2") - F.col("x")) * px_w, (F.col("y2") - F.col("y")) * px_h)
-    out = segs.select(*keys, "idx", "x", "y", "x2", "y2", n.alias("n"), (scaled / n).alias("step_len"))
-    out = out.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
-    middle = (F.col("s") / F.col("n") + (F.col("s") + 1) / F.col("n")) / 2
-    return out.withColumn("mx", F.col("x") + middle * (F.col("x2") - F.col("x"))).withColumn("my", F.col("y") + middle * (F.col("y2") - F.col("y")))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("idx"))
+    out = segs.select(*keys, number.alias("seg"), "x", "y", "x2", "y2", n.alias("n"), (scaled / n).alias("step_len"))
+    ends = [F.floor(_middle(F.col("y"), F.col("y2"), s, F.col("n"))).cast("int") for s in (F.lit(0), F.col("n") - 1)]
+    out = out.select("*", F.explode(F.sequence(F.least(*ends), F.greatest(*ends))).alias("row"))
+    row = F.col("row").cast("double")
+    out = _ranged(out, F.col("y"), F.col("y2"), row, row + 1)
+    return out.withColumn("s0", F.col("r.s0")).withColumn("s1", F.col("r.end") - 1).drop("r")
 
 
-def labelled_steps(walked: DataFrame, labelled: DataFrame, keys: list[str]) -> DataFrame:
-    """Steps with the label of their pixel; null outside all regions. Regions must not overlap."""
+def labelled_stretches(walked: DataFrame, labelled: DataFrame, keys: list[str]) -> DataFrame:
+    """Stretches within a region's spans, with its label; what is outside all regions has no row. Regions must not overlap."""
     names = [f"span_{k}" for k in keys]
     spans = labelled.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.col("y").alias("span_y"), F.col("x0").alias("span_x0"), F.col("x1").alias("span_x1"), "label")
-    column = F.floor("mx").cast("int")
-    met = F.floor("my").cast("int") == F.col("span_y")
+    first, last = (_middle(F.col("x"), F.col("x2"), F.col(s), F.col("n")) for s in ("s0", "s1"))
+    met = F.col("row") == F.col("span_y")
     for k, n in zip(keys, names, strict=True):
         met = met & (F.col(k) == F.col(n))
-    met = met & (F.col("span_x0") <= column) & (column < F.col("span_x1"))
-    return walked.join(spans, met, "left").select(*walked.columns, "label")
+    met = met & (F.least(first, last) < F.col("span_x1")) & (F.greatest(first, last) >= F.col("span_x0"))
+    both = walked.join(spans, met)
+    both = _ranged(both, F.col("x"), F.col("x2"), F.col("span_x0").cast("double"), F.col("span_x1").cast("double"))
+    both = both.withColumn("s0", F.greatest("s0", "r.s0")).withColumn("s1", F.least("s1", F.col("r.end") - 1))
+    return both.where("s0 <= s1").select(*walked.columns, "label")
+
+
+def steps(s0: Column | str = "s0", s1: Column | str = "s1") -> Column:
+    """Number of steps of a stretch."""
+    return (F.col(s1) if isinstance(s1, str) else s1) - (F.col(s0) if isinstance(s0, str) else s0) + 1
 
 
 def length_by_label(marked: DataFrame, keys: list[str]) -> DataFrame:
-    return marked.where(F.col("label").isNotNull()).groupBy(*keys, "label").agg(F.sum("step_len").alias("length"))
+    return marked.groupBy(*keys, "label").agg(F.sum(steps() * F.col("step_len")).alias("length"))
 
 
 def runs(marked: DataFrame, keys: list[str]) -> DataFrame:
     """keys, label, run, idx, x, y: maximal stretches within one region as polylines.
 
     Vertices of the line are kept; only the two ends of a run are interpolated, and all points
-    pass single precision. Stretches are numbered along the line within each region.
+    pass single precision. Runs are numbered along the line within each region.
     """
-    w = Window.partitionBy(*keys).orderBy("idx", "s")
-    change = F.when(F.lag("label").over(w).eqNullSafe(F.col("label")), 0).otherwise(1)
-    m = marked.withColumn("change", change)
-    m = m.withColumn("island", F.sum("change").over(w.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("label").isNotNull())
-    own = Window.partitionBy(*keys, "island").orderBy("idx", "s")
-    m = m.withColumn("first", F.row_number().over(own) == 1).withColumn("final", F.lead("s").over(own).isNull())
+    w = Window.partitionBy(*keys).orderBy("seg", "s0")
+    before = lambda c: F.lag(c).over(w)
+    same_segment = (before("seg") == F.col("seg")) & (before("s1") + 1 == F.col("s0"))
+    over_vertex = (before("seg") + 1 == F.col("seg")) & (before("s1") + 1 == before("n")) & (F.col("s0") == 0)
+    goes_on = (before("label") == F.col("label")) & (same_segment | over_vertex)
+    m = marked.withColumn("change", F.when(goes_on, 0).otherwise(1))
+    m = m.withColumn("island", F.sum("change").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    own = Window.partitionBy(*keys, "island").orderBy("seg", "s0")
+    m = m.withColumn("first", F.row_number().over(own) == 1).withColumn("final", F.lead("s0").over(own).isNull())
     at = lambda t: F.struct((F.col("x") + t * (F.col("x2") - F.col("x"))).cast("float").cast("double").alias("x"), (F.col("y") + t * (F.col("y2") - F.col("y"))).cast("float").cast("double").alias("y"))
-    begin, end = at(F.col("s") / F.col("n")), at((F.col("s") + 1) / F.col("n"))
-    whole = F.col("s") == F.col("n") - 1
+    begin, end = at(F.col("s0") / F.col("n")), at((F.col("s1") + 1) / F.col("n"))
+    whole = F.col("s1") == F.col("n") - 1
     points = F.array_compact(F.array(F.when(F.col("first"), begin), F.when(whole | F.col("final"), end)))
-    v = m.select(*keys, "label", "island", "idx", "s", F.posexplode(points).alias("k", "p"))
+    v = m.select(*keys, "label", "island", "seg", "s0", F.posexplode(points).alias("k", "p"))
     run = F.dense_rank().over(Window.partitionBy(*keys, "label").orderBy("island"))
-    place = F.row_number().over(Window.partitionBy(*keys, "label", "island").orderBy("idx", "s", "k")) - 1
+    place = F.row_number().over(Window.partitionBy(*keys, "label", "island").orderBy("seg", "s0", "k")) - 1
     return v.select(*keys, "label", run.alias("run"), place.alias("idx"), "p.x", "p.y")
 
 
 def pixels_visited(walked: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, px: distinct pixels under a line's steps; times the pixel's area, the line's area."""
-    p = walked.select(*keys, F.floor("mx").cast("int").alias("col"), F.floor("my").cast("int").alias("row")).distinct()
-    return p.groupBy(*keys).agg(F.count(F.lit(1)).alias("px"))
+    """keys, px: distinct pixels under a line's steps; times the pixel's area, the line's area.
+
+    Steps are shorter than a pixel, so a stretch covers all columns between those of its ends.
+    """
+    ends = [F.floor(_middle(F.col("x"), F.col("x2"), F.col(s), F.col("n"))) for s in ("s0", "s1")]
+    p = walked.select(*keys, "row", F.least(*ends).alias("a"), (F.greatest(*ends) + 1).alias("b"))
+    before = F.max("b").over(Window.partitionBy(*keys, "row").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
+    new = p.select(*keys, F.greatest(F.lit(0).cast("long"), F.col("b") - F.greatest("a", F.coalesce(before, F.col("a")))).alias("px"))
+    return new.groupBy(*keys).agg(F.sum("px").alias("px"))

@@ -72,16 +72,15 @@ def analyze(rois: DataFrame, sections: DataFrame, keep=stored, marker: str = cla
     ordered = order.unionByName(beside).join(joined, KEYS, "left").withColumn("joined", F.coalesce("joined", F.lit(False)))
     ordered = results.labelled(ordered, KEYS, F.col("joined"))
 
-    walked = clip.steps(lines.join(scale.select("section_id", "px_w", "px_h"), "section_id"), KEYS)
-    marked = keep(clip.labelled_steps(walked, labelled, KEYS))
-    unit_steps = marked.join(scale, "section_id")
-    dx, dy = (F.col("x2") - F.col("x")) * F.col("px_w"), (F.col("y2") - F.col("y")) * F.col("px_h")
-    unit_steps = unit_steps.withColumn("step_len", F.sqrt(dx * dx + dy * dy) / F.col("n"))
-    within = clip.length_by_label(unit_steps, KEYS)
+    walked = keep(clip.stretches(lines, KEYS))
+    marked = keep(clip.labelled_stretches(walked, labelled, KEYS))
+    across, down = (F.col("x2") - F.col("x")) * F.col("px_w"), (F.col("y2") - F.col("y")) * F.col("px_h")
+    scaled = lambda rows: rows.join(scale, "section_id").withColumn("step_len", F.sqrt(across * across + down * down) / F.col("n"))
+    within = clip.length_by_label(scaled(marked), KEYS)
     pixel = F.col("px_w") * F.col("px_h")
     parts = ordered.join(section_areas(cells, labelled, KEYS), [*KEYS, "label"], "left").join(within, [*KEYS, "label"], "left").join(scale, "section_id")
     parts = keep(parts.select(*KEYS, "ord", "name", "label", *((F.coalesce(c, F.lit(0)) * pixel).alias(c) for c in ("granular", "molecular")), F.coalesce("length", F.lit(0.0)).alias("purkinje")))
-    whole = unit_steps.groupBy(*KEYS).agg(F.sum("step_len").alias("purkinje_len"))
+    whole = scaled(walked).groupBy(*KEYS).agg(F.sum(clip.steps() * F.col("step_len")).alias("purkinje_len"))
     visited = clip.pixels_visited(walked, KEYS)
     pieces = good.select(*KEYS).distinct()
     totals = pieces.join(spans.layer_pixels(cells, KEYS), KEYS, "left").join(whole, KEYS, "left").join(visited, KEYS, "left").join(joined, KEYS, "left").join(scale, "section_id")

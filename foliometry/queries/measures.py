@@ -18,7 +18,7 @@ def _marked(spark, sf_dir):
     lines = event_lines(spark, sf_dir)
     region = F.explode(F.array(*(F.struct(F.lit(i).alias("label"), F.lit(a).alias("x0"), F.lit(b).alias("x1"), F.sequence(F.lit(c), F.lit(d - 1)).alias("rows")) for i, a, c, b, d in REGIONS))).alias("r")
     spans = lines.select("line_id").distinct().select("line_id", region).select("line_id", "r.label", "r.x0", "r.x1", F.explode("r.rows").alias("y"))
-    return clip.labelled_steps(clip.steps(lines, LINE, 2.0, 0.5), spans, LINE)
+    return clip.labelled_stretches(clip.stretches(lines, LINE, 2.0, 0.5), spans, LINE)
 
 
 def line_length_by_region(spark, sf_dir):
@@ -26,12 +26,14 @@ def line_length_by_region(spark, sf_dir):
 
 
 def line_runs(spark, sf_dir):
+    """Runs of each line in each region, with sums of their points' coordinates."""
     runs = clip.runs(_marked(spark, sf_dir), LINE)
-    return runs.groupBy("line_id", "label").agg(F.max("run").cast("long").alias("n_runs"), F.count(F.lit(1)).alias("n_points"))
+    sums = (F.round(F.sum(F.col(c) * F.col("idx")), 2).alias(f"sum_{c}") for c in "xy")
+    return runs.groupBy("line_id", "label", "run").agg(F.count(F.lit(1)).alias("n_points"), *sums)
 
 
 def line_pixels(spark, sf_dir):
-    return clip.pixels_visited(clip.steps(event_lines(spark, sf_dir), LINE), LINE)
+    return clip.pixels_visited(clip.stretches(event_lines(spark, sf_dir), LINE), LINE)
 
 
 def ends_joined(spark, sf_dir):
@@ -100,7 +102,7 @@ QUERIES = {f.__name__: f for f in (line_length_by_region, line_runs, line_pixels
 _STEPS = f"""{EVENTS_SQL},
 region(label, x0, y0, x1, y1) AS (VALUES {", ".join(map(str, REGIONS))}),
 step AS (
-  SELECT line_id, idx, s, n, x + m * (x2 - x) AS mx, y + m * (y2 - y) AS my, sqrt(((x2 - x) * 2) * ((x2 - x) * 2) + ((y2 - y) * 0.5) * ((y2 - y) * 0.5)) / n AS step_len
+  SELECT line_id, idx, s, n, x, y, x2, y2, x + m * (x2 - x) AS mx, y + m * (y2 - y) AS my, sqrt(((x2 - x) * 2) * ((x2 - x) * 2) + ((y2 - y) * 0.5) * ((y2 - y) * 0.5)) / n AS step_len
   FROM (SELECT *, (CAST(s AS DOUBLE) / n + CAST(s + 1 AS DOUBLE) / n) / 2 AS m FROM (
         SELECT *, unnest(range(n)) AS s FROM (SELECT *, greatest(1, CAST(ceil(len / 0.25) AS BIGINT)) AS n FROM seg)))),
 marked AS (
@@ -169,9 +171,17 @@ ORACLES = {
           UNION ALL SELECT section_id, 5, 0, 'Warnings', CAST(warned AS VARCHAR) FROM image)
         SELECT section_id, CAST(row_number() OVER (PARTITION BY section_id ORDER BY k, i) - 1 AS INTEGER) AS seq, field, value FROM item""",
     "line_length_by_region": f"WITH {_STEPS} SELECT line_id, label, round(sum(step_len), 6) AS length FROM marked WHERE label IS NOT NULL GROUP BY ALL",
+    # a point where a run begins, at the end of each segment within it, and where it ends; all through single precision
     "line_runs": f"""WITH {_STEPS}, c AS (SELECT *, CASE WHEN lag(label) OVER w IS DISTINCT FROM label OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS change,
-            CASE WHEN lead(label) OVER w IS DISTINCT FROM label OR lead(s) OVER w IS NULL THEN 1 ELSE 0 END AS stop FROM marked WINDOW w AS (PARTITION BY line_id ORDER BY idx, s))
-        SELECT line_id, label, CAST(sum(change) AS BIGINT) AS n_runs, CAST(sum(change) + sum(CASE WHEN stop = 1 OR s = n - 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_points FROM c WHERE label IS NOT NULL GROUP BY ALL""",
+            lead(label) OVER w IS DISTINCT FROM label OR lead(s) OVER w IS NULL AS stop FROM marked WINDOW w AS (PARTITION BY line_id ORDER BY idx, s)),
+        isle AS (SELECT *, sum(change) OVER (PARTITION BY line_id ORDER BY idx, s) AS island FROM c),
+        point AS (
+          SELECT line_id, label, island, idx, s, 0 AS k, CAST(s AS DOUBLE) / n AS t, x, y, x2, y2 FROM isle WHERE label IS NOT NULL AND change = 1
+          UNION ALL SELECT line_id, label, island, idx, s, 1, CAST(s + 1 AS DOUBLE) / n, x, y, x2, y2 FROM isle WHERE label IS NOT NULL AND (stop OR s = n - 1)),
+        placed AS (
+          SELECT line_id, label, dense_rank() OVER (PARTITION BY line_id, label ORDER BY island) AS run, row_number() OVER (PARTITION BY line_id, island ORDER BY idx, s, k) - 1 AS place,
+                 CAST(CAST(x + t * (x2 - x) AS FLOAT) AS DOUBLE) AS px, CAST(CAST(y + t * (y2 - y) AS FLOAT) AS DOUBLE) AS py FROM point)
+        SELECT line_id, label, CAST(run AS INTEGER) AS run, count(*) AS n_points, round(sum(px * place), 2) AS sum_x, round(sum(py * place), 2) AS sum_y FROM placed GROUP BY ALL""",
     "line_pixels": f"WITH {_STEPS} SELECT line_id, count(*) AS px FROM (SELECT DISTINCT line_id, floor(mx) AS a, floor(my) AS b FROM step) GROUP BY 1",
     "ends_joined": f"""WITH {EVENTS_SQL}, l AS (SELECT line_id, idx, CASE WHEN y < 30 THEN CAST(floor(y / 10) AS INTEGER) END AS label FROM v),
         a AS (SELECT line_id, count(DISTINCT label) AS n_labels, arg_min(label, idx) AS first_label, arg_max(label, idx) AS last_label FROM l WHERE label IS NOT NULL GROUP BY 1)

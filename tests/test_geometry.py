@@ -177,8 +177,40 @@ def test_partition_of_a_ribbon(spark):
 @pytest.mark.parametrize(("points", "boxes", "length", "runs"), [([(10, 50.5), (190, 50.5)], [box(40, 0, 30, 100)], 30, 1), ([(10, 50.5), (190, 50.5)], [box(20, 0, 20, 100), box(150, 0, 20, 100)], 40, 2), ([(10, 10), (20, 10)], [box(100, 50, 10, 10)], None, 0)])
 def test_line_in_region(spark, points, boxes, length, runs):
     region = spans.rasterize(shapes(spark, *(("r", b) for b in boxes)), ["sec"]).withColumn("label", F.lit(0))
-    marked = clip.labelled_steps(clip.steps(line(spark, points), ["sec"]), region, ["sec"])
+    marked = clip.labelled_stretches(clip.stretches(line(spark, points), ["sec"]), region, ["sec"])
     got = clip.length_by_label(marked, ["sec"]).first()
     assert got is None if length is None else got.length == pytest.approx(length, abs=0.5)
     pieces = clip.runs(marked, ["sec"]).groupBy("run").agg(F.min("x").alias("a"), F.max("x").alias("b")).orderBy("run").collect()
     assert len(pieces) == runs and all(abs(r.b - r.a - length / runs) < 0.5 for r in pieces)
+
+
+def test_stretches_hold_the_steps_that_are_walked(spark):
+    """Every step of lines in all directions, on pixel borders too, walked one by one."""
+    rng = random.Random(9)
+    near = lambda: rng.choice([rng.uniform(-3, 9), float(rng.randrange(-3, 9)), rng.randrange(-12, 36) / 4])
+    lines = {k: [(near(), near()) for _ in range(9)] for k in range(40)}
+    lines[3] = [(2.0, 1.0), (2.0, 1.0), (2.0, 6.0), (7.0, 6.0), (7.0, 2.5), (0.0, 2.5)]
+    region = [(k, y, a, a + 2, (a + 3) % 4) for k in lines for y in range(-3, 9) for a in (-3, -1, 2, 6)]
+    walked, px, inside = {}, {}, {}
+    spans_at = {(k, y, x): label for k, y, a, b, label in region for x in range(a, b)}
+    for k, v in lines.items():
+        for (x, y), (x2, y2) in zip(v, v[1:], strict=False):
+            size = math.sqrt((x2 - x) ** 2 + (y2 - y) ** 2)
+            n = max(1, math.ceil(size / 0.25))
+            for s in range(n):
+                m = (s / n + (s + 1) / n) / 2
+                at = math.floor(y + m * (y2 - y)), math.floor(x + m * (x2 - x))
+                px.setdefault(k, set()).add(at)
+                walked[k] = walked.get(k, 0) + 1
+                if (k, *at) in spans_at:
+                    found = inside.setdefault((k, spans_at[k, *at]), [0, 0.0])
+                    found[0] += 1
+                    found[1] += size / n
+    rows = [(k, i, x, y) for k, v in lines.items() for i, (x, y) in enumerate(v)]
+    got = clip.stretches(spark.createDataFrame(rows, "sec int, idx int, x double, y double"), ["sec"]).cache()
+    assert {r[0]: r[1] for r in got.groupBy("sec").agg(F.sum(clip.steps())).collect()} == walked
+    assert {r.sec: r.px for r in clip.pixels_visited(got, ["sec"]).collect()} == {k: len(v) for k, v in px.items()}
+    marked = clip.labelled_stretches(got, spark.createDataFrame(region, "sec int, y int, x0 int, x1 int, label int"), ["sec"]).cache()
+    assert {(r[0], r[1]): r[2] for r in marked.groupBy("sec", "label").agg(F.sum(clip.steps())).collect()} == {k: v[0] for k, v in inside.items()}
+    assert all(abs(r.length - inside[r.sec, r.label][1]) < 1e-9 for r in clip.length_by_label(marked, ["sec"]).collect())
+    assert marked.count() < sum(v[0] for v in inside.values()) / 2
