@@ -16,7 +16,7 @@ from pyspark.sql import Window
 NAMES = (
     "CB", "Cerebellum", "cb left", "CBx", "cerebellum_1",
     "GL+WM", "GLWM", "gl-wm 2", "Granular layer", "wm with gl",
-    "WM", "white matter", "WM_a", "flat region", "wmx",
+    "WM", "white matter", "WM_a", "flow field", "wmx",
     "PL", "Purkinje", "pl-1", "PLs", "purkinje line",
     "FL1", "fissure 1", "FL_2", "fl", "Fissure",
     "notes", "2Cb_Granular", "Section 3_Purkinje", "[2] Grey Matter", "CB wm",

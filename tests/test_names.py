@@ -91,7 +91,7 @@ def test_file_base(spark, typed, base):
 def test_numbers_and_cells(spark):
     one = spark.range(1)
     show = lambda c: one.select(c.alias("v")).first().v
-    assert [show(text.fixed4(F.lit(x))) for x in (0.00005, 453660.123456, float("nan"), float("inf"), None)][:4] == ["0.0001", "453660.1235", None, None]
+    assert [show(text.fixed4(F.lit(x))) for x in (0.00005, 2718.28185, float("nan"), float("inf"), None)][:4] == ["0.0001", "2718.2819", None, None]
     assert [show(text.short_number(F.lit(x))) for x in (0.5, 2.0, 0.1234567)] == ["0.5", "2", "0.123457"]
     assert [show(text.csv_cell(F.lit(x).cast("string"))) for x in ("a", 'a"b', "a,b", None)] == ["a", '"a""b"', '"a,b"', ""]
     labels = [show(text.section_labels(F.lit(n), F.lit(2), F.lit(j))) for n, j in ((8, False), (8, True), (7, False))]

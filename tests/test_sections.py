@@ -3,6 +3,7 @@
 import os
 import zipfile
 from dataclasses import replace
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 from xml.etree import ElementTree
 
@@ -101,17 +102,25 @@ def test_runs_follow_the_sections(measured):
     assert names.where("section_id = 'ribbon-0'").count() == 3 + 8 * 2 + len(runs)
 
 
-GRID = [(453660.123456, 337396.5, 126036.25, 211360.75, 1466.123456789, None)]
+#: Six measures and three sections of own choice; texts follow from them by rounding to four places.
+MEASURES = (91.00005, 70.25, 31.5, 38.75, 12.3456789, None)
+SECTIONS = [(f"part {k}", 10.5 + k / 7, 12.25 * k, k / 3) for k in (1, 2, 3)]
+
+
+def shown(*values):
+    return ",".join("" if v is None else str(Decimal(repr(v)).quantize(Decimal("0.0001"), ROUND_HALF_UP)) for v in values)
 
 
 def test_grid_and_files(spark, tmp_path):
-    totals = spark.createDataFrame([("s", *GRID[0], "µm²", "µm")], "section_id string, cerebellum double, grey double, granular double, molecular double, purkinje_len double, purkinje_area double, area_unit string, length_unit string")
-    parts = spark.createDataFrame([("s", 1, "2Cb", 15000.5, 26000.25, 180.125), ("s", 2, "3Cb", 14000.0, 23000.0, 170.0)], "section_id string, ord int, name string, granular double, molecular double, purkinje double")
+    totals = spark.createDataFrame([("s", *MEASURES, "µm²", "µm")], "section_id string, cerebellum double, grey double, granular double, molecular double, purkinje_len double, purkinje_area double, area_unit string, length_unit string")
+    of = "section_id string, ord int, name string, granular double, molecular double, purkinje double"
+    parts = spark.createDataFrame([("s", i, *row) for i, row in enumerate(SECTIONS, 1)], of)
     grid = report.results_grid(totals, parts)
     lines = [r.line for r in sinks.csv_lines(grid).orderBy("row_idx").collect()]
-    assert len(lines) == 5 and lines[0].endswith("Purkinje (µm)") and lines[1] == "Area,453660.1235,337396.5000,126036.2500,211360.7500," and lines[2] == "Length,,,,,1466.1235"
+    assert lines[0].endswith("Purkinje (µm)") and lines[1] == f"Area,{shown(*MEASURES[:4], MEASURES[5])}" and lines[2] == f"Length,,,,,{shown(MEASURES[4])}"
+    assert lines[3:] == [f"{name},,,{shown(*row)}" for name, *row in SECTIONS]
     sinks.write_csv(grid, str(tmp_path / "csv"))
-    assert [r.value for r in spark.read.text(str(tmp_path / "csv")).collect() if r.value.startswith("3Cb")] == ["3Cb,,,14000.0000,23000.0000,170.0000"]
+    assert {r.value for r in spark.read.text(str(tmp_path / "csv")).collect()} == set(lines)
     info = spark.createDataFrame([("s", 0, "Image", "a <b>\x01.tif")], "section_id string, seq int, field string, value string")
     said = spark.createDataFrame([("s", 0, "WARNING", "look \ufffe here")], "section_id string, seq int, level string, message string")
     books = sinks.workbooks(totals, parts, info, said)
@@ -129,8 +138,8 @@ def test_grid_and_files(spark, tmp_path):
 
     table, about = ({r: (look, v) for r, look, v in cells(i)} for i in (1, 2))
     assert table["A1"] == ("header", "Measurement") and table["F1"] == ("header", "Purkinje (µm)")
-    assert table["B2"] == ("bold number", 453660.123456) and table["F3"] == ("bold number", 1466.123456789) and table["B3"] == ("bold", None) and "F2" in table
-    assert table["A4"] == ("italic", "2Cb") and table["D4"] == ("number", 15000.5) and "B4" not in table
+    assert table["B2"] == ("bold number", MEASURES[0]) and table["F3"] == ("bold number", MEASURES[4]) and table["B3"] == ("bold", None) and "F2" in table
+    assert table["A4"] == ("italic", SECTIONS[0][0]) and table["D4"] == ("number", SECTIONS[0][1]) and "B4" not in table
     assert about == {"A1": ("header", "Field"), "B1": ("header", "Value"), "A2": ("bold", "Image"), "B2": ("wrapped", "a <b>.tif"), "A3": ("bold", "Warning"), "B3": ("wrapped", "look  here")}
     pane = parts_of["xl/worksheets/sheet1.xml"].find(f"{main}sheetViews/{main}sheetView/{main}pane")
     assert (pane.get("xSplit"), pane.get("ySplit"), pane.get("state")) == ("1", "1", "frozen")
