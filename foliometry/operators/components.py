@@ -91,8 +91,14 @@ def _holes(spans: DataFrame, keys: list[str]) -> DataFrame:
     return spans.select(*keys, "y", "x0", "x1").groupBy(*keys).applyInPandas(count, schema)
 
 
-def outlines(spans: DataFrame, keys: list[str]) -> DataFrame:
+def outlines(spans: DataFrame, keys: list[str], most_spans: int = KERNEL_SPANS) -> DataFrame:
     """keys, rings: clean outlines with exactly the region's pixels."""
+    from . import connected
+
+    return by_size(spans.select(*keys, "y", "x0", "x1"), keys, most_spans, lambda rows: _outlines(rows, keys), lambda rows: connected.outlines(rows, keys, stored))
+
+
+def _outlines(spans: DataFrame, keys: list[str]) -> DataFrame:
 
     def trace(pdf: pd.DataFrame) -> pd.DataFrame:
         y, x0, x1 = (pdf[c].to_numpy() for c in ("y", "x0", "x1"))

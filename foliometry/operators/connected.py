@@ -1,4 +1,4 @@
-"""Components, holes, growth and completed partitions of any size of image, as loops of joins.
+"""Components, holes, outlines, growth and completed partitions of any size of image, as loops of joins.
 
 The grouped kernels of ``raster`` take one image into one worker. What is here gives the same rows with
 no group larger than a scanline's spans or a wave's pixels: spans are the nodes of a graph,
@@ -140,6 +140,59 @@ def holes(rows: DataFrame, keys: list[str], keep: Keep) -> DataFrame:
     return out.withColumn("ring", F.col("enclosed") > raster.HOLE_PIXELS)
 
 
+def corners(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, y, x of the places where an outline turns, with the corner that is next to each along its line (_beside) and along its column (_below).
+
+    Each stretch of pixels has four corners; of those that meet in one place an even number cancels out. Along any line
+    or column corners then come in pairs, and between the two of a pair runs a side of the outline. Where two pixels touch
+    by a corner only, both sides go straight on, so every corner is on one ring.
+    """
+    nodes = with_nodes(rows.select(*keys, "y", "x0", "x1"), keys).groupBy(*keys, "y", _NODE).agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
+    four = F.explode(F.array(*(F.struct((F.col("y") + d).alias("y"), F.col(c).alias("x")) for d in (0, 1) for c in ("x0", "x1")))).alias("v")
+    odd = nodes.select(*keys, four).groupBy(*keys, F.col("v.y").alias("y"), F.col("v.x").alias("x")).agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").drop("n")
+    out = odd.withColumn(_NODE, node_of(F.col("y"), F.col("x")))
+    for name, along, by in (("_beside", "y", "x"), ("_below", "x", "y")):
+        line = Window.partitionBy(*keys, along).orderBy(by)
+        out = out.withColumn(name, F.when(F.row_number().over(line) % 2 == 1, F.lead(_NODE).over(line)).otherwise(F.lag(_NODE).over(line)))
+    return out
+
+
+def outline_vertices(rows: DataFrame, keys: list[str], keep: Keep) -> DataFrame:
+    """keys, ring, idx, x, y: closed rings around a region of spans; filling them by the even-odd rule gives its pixels back.
+
+    Rings are numbered by their first corner, row by row, begin there and run to the right. From a corner along its line
+    and then its column leads a step that visits every second corner of a ring; pointers over one, two, four ... steps find the
+    first corner of the circle and how far it is, in as many joins as the longest ring has bits. Of a ring's
+    two circles, one each way round, the one with the ring's first corner is kept.
+    """
+    at = keep(corners(rows, keys))
+    step = at.select(*keys, F.col(_NODE).alias("_beside"), F.col("_below").alias("_to"))
+    now = keep(at.join(step, [*keys, "_beside"]).select(*keys, _NODE, "_to", F.col(_NODE).alias(_ROOT), F.lit(0).cast("long").alias("_far")))
+    reach, moved = 1, True
+    while moved:
+        ahead = now.select(*keys, F.col(_NODE).alias("_to"), F.col("_to").alias("_next"), F.col(_ROOT).alias("_r"), F.col("_far").alias("_f"))
+        less = F.col("_r") < F.col(_ROOT)
+        both = now.join(ahead, [*keys, "_to"]).withColumn("_less", less)
+        both = both.select(*keys, _NODE, F.col("_next").alias("_to"), F.least(_ROOT, "_r").alias(_ROOT), F.when(F.col("_less"), F.col("_f") + reach).otherwise(F.col("_far")).alias("_far"), "_less")
+        both, seen = counted(both, keep, F.count_if("_less").alias("moved"))
+        now, reach, moved = both.drop("_less"), 2 * reach, bool(seen.get("moved"))
+    placed = at.join(now.select(*keys, _NODE, _ROOT, "_far"), [*keys, _NODE])
+    other = placed.select(*keys, F.col(_NODE).alias("_beside"), F.col(_ROOT).alias("_r"), F.col("x").alias("_x"))
+    own = placed.join(other, [*keys, "_beside"]).where(F.col(_ROOT) < F.col("_r"))
+    place = F.row_number().over(Window.partitionBy(*keys, _ROOT).orderBy(F.col("_far") != 0, -F.col("_far"))) - 1
+    ring = (F.dense_rank().over(Window.partitionBy(*keys).orderBy(_ROOT)) - 1).alias("ring")
+    pair = F.explode(F.array(F.struct((2 * F.col("k")).alias("idx"), "x", "y"), F.struct((2 * F.col("k") + 1).alias("idx"), F.col("_x").alias("x"), "y"))).alias("v")
+    return own.withColumn("k", place).select(*keys, ring, "k", "x", "_x", "y").select(*keys, "ring", pair).select(*keys, "ring", "v.idx", "v.x", "v.y")
+
+
+def outlines(rows: DataFrame, keys: list[str], keep: Keep) -> DataFrame:
+    """keys, rings: ``outline_vertices`` in the form of traced regions; the rings of a region must fit a row."""
+    of_ring = F.sort_array(F.collect_list(F.struct("idx", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))))
+    rings = outline_vertices(rows, keys, keep).groupBy(*keys, "ring").agg(of_ring.alias("v"))
+    rings = rings.select(*keys, "ring", F.transform("v", lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"))).alias("v"))
+    return rings.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ring", "v"))).alias("r")).select(*keys, F.col("r.v").alias("rings"))
+
+
 def pixels_of(rows: DataFrame, keys: list[str], *more: str) -> DataFrame:
     return rows.select(*keys, "y", F.explode(F.sequence("x0", F.col("x1") - 1)).alias("x"), *more)
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import spans
+from ..operators import connected, spans
+from ..plans.store import stored
 from ..sources.tables import SPANS_SQL, octagons
 
 LAYERS = ["cb", "gl", "wm"]
@@ -50,7 +51,14 @@ def containment_note(spark, sf_dir):
     return out.withColumn("percent", F.round("percent", 6))
 
 
-QUERIES = {f.__name__: f for f in (phantom_layer_areas, rasterize_polygon, span_and, span_not, containment_note)}
+def region_outlines(spark, sf_dir):
+    """Both rings of the layer between the two outer octagons, corner by corner."""
+    filled = _spans(spark, sf_dir)
+    between = spans.subtract(_layer(filled, "cb"), _layer(filled, "gl"), ["section_id"])
+    return connected.outline_vertices(between, ["section_id"], stored)
+
+
+QUERIES = {f.__name__: f for f in (phantom_layer_areas, rasterize_polygon, span_and, span_not, containment_note, region_outlines)}
 
 _PX = """
 px AS (
@@ -73,6 +81,16 @@ ORACLES = {
     "span_not": f"""WITH {SPANS_SQL}, m AS (SELECT a.section_id, a.y, a.x0, a.x1, b.x0 AS b0, b.x1 AS b1
           FROM (SELECT * FROM span WHERE layer = 'cb') a LEFT JOIN (SELECT * FROM span WHERE layer = 'gl') b ON a.section_id = b.section_id AND a.y = b.y)
         SELECT * FROM (SELECT section_id, y, x0, CASE WHEN b0 IS NULL THEN x1 ELSE least(b0, x1) END AS x1 FROM m UNION ALL SELECT section_id, y, greatest(b1, x0), x1 FROM m WHERE b0 IS NOT NULL) WHERE x0 < x1""",
+    # an octagon has one span on a line: its ring runs along the top, down the right ends and up the left ones
+    "region_outlines": f"""WITH {SPANS_SQL}, e AS (
+          SELECT section_id, layer, y, x0, x1, lag(x0) OVER w AS p0, lag(x1) OVER w AS p1, lead(x0) OVER w AS n0, lead(x1) OVER w AS n1 FROM span WHERE layer IN ('cb', 'gl') WINDOW w AS (PARTITION BY section_id, layer ORDER BY y)),
+        c AS (
+          SELECT section_id, layer, -1 AS side, 0 AS step, x0 AS x, y FROM e WHERE p0 IS NULL
+          UNION ALL SELECT section_id, layer, 0, 2 * y, x1, y FROM e WHERE p1 IS DISTINCT FROM x1
+          UNION ALL SELECT section_id, layer, 0, 2 * y + 1, x1, y + 1 FROM e WHERE n1 IS DISTINCT FROM x1
+          UNION ALL SELECT section_id, layer, 1, -2 * y - 1, x0, y + 1 FROM e WHERE n0 IS DISTINCT FROM x0
+          UNION ALL SELECT section_id, layer, 1, -2 * y, x0, y FROM e WHERE p0 IS NOT NULL AND p0 <> x0)
+        SELECT section_id, CASE layer WHEN 'cb' THEN 0 ELSE 1 END AS ring, CAST(row_number() OVER (PARTITION BY section_id, layer ORDER BY side, step) - 1 AS INTEGER) AS idx, x, y FROM c""",
     "containment_note": "WITH " + SPANS_SQL.replace(
         "600.25 + r * a AS x, 500.375 + r * b AS y", "600.25 + r * a * CASE WHEN layer = 'cb' AND section_id % 2 = 0 THEN 0.5 ELSE 1.0 END AS x, 500.375 + r * b * CASE WHEN layer = 'cb' AND section_id % 2 = 0 THEN 0.5 ELSE 1.0 END AS y"
     ) + f""", {_PX}, t AS (SELECT p.section_id, CAST(p.px AS BIGINT) AS inner_px, CAST(p.px - coalesce(c.px, 0) AS BIGINT) AS outside_px

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliometry.operators import components, connected, partition, raster
+from foliometry.operators import spans as filling
 from foliometry.plans.store import Scratch
 
 KEYS = ["image", "piece"]
@@ -81,6 +82,38 @@ def test_long_chains_need_few_rounds(spark):
         assert made.n < 20
 
 
+def test_outlines_fill_to_the_same_pixels(spark, spans, keep):
+    rings = connected.outline_vertices(spans, KEYS, keep)
+    v = rings.toPandas().sort_values([*KEYS, "ring", "idx"])
+    assert (v.groupby([*KEYS, "ring"]).idx.agg(["min", "max", "size"]) == v.groupby([*KEYS, "ring"]).idx.agg([lambda i: 0, lambda i: len(i) - 1, "size"]).to_numpy()).all(axis=None)
+    for _, r in v.groupby([*KEYS, "ring"]):
+        xy = r[["x", "y"]].to_numpy()
+        turn = np.roll(xy, -1, 0) - xy
+        assert (turn[::2, 1] == 0).all() and (turn[1::2, 0] == 0).all() and (np.abs(turn).sum(1) > 0).all() and turn[0, 0] > 0
+        assert tuple(xy[0][::-1]) == min(map(tuple, xy[:, ::-1]))
+    assert not v.duplicated([*KEYS, "x", "y"]).any()
+    shapes = connected.outlines(spans, KEYS, keep)
+    pixels = lambda df: {(*r[:2], r.y, x) for r in df.select(*KEYS, "y", "x0", "x1").collect() for x in range(r.x0, r.x1)}
+    assert pixels(filling.rasterize(shapes, KEYS)) == pixels(spans)
+    # where no two pixels touch by a corner only, rings are those of the kernel, which has them in another order
+    clean = F.col("image").isin("m7", "m8", "m9", "m10")
+    known = lambda df: sorted((r.image, sorted(sorted((p.x, p.y) for p in ring) for ring in r.rings)) for r in df.where(clean).collect())
+    assert known(shapes) == known(components.outlines(spans, KEYS)) != []
+    assert pixels(filling.rasterize(components.outlines(spans, KEYS, most_spans=40), KEYS)) == pixels(spans)
+    assert connected.outline_vertices(spans.where("y > 1000"), KEYS, keep).count() == 0
+
+
+def test_overlapping_spans_have_one_outline_and_long_rings_need_few_rounds(spark):
+    rows_ = [("a", 0, 0, 0, 9), ("a", 0, 0, 2, 3), ("a", 0, 0, 9, 11), ("a", 0, 1, 3, 5)]
+    stairs = [("b", 0, y, 0, 3 * y + 1) for y in range(3000)]
+    df = spark.createDataFrame(rows_ + stairs, "image string, piece int, y int, x0 int, x1 int")
+    with Scratch(spark) as made:
+        v = connected.outline_vertices(df, KEYS, made)
+        got = [(r.x, r.y) for r in v.where("image = 'a'").orderBy("ring", "idx").collect()]
+        assert got == [(0, 0), (11, 0), (11, 1), (5, 1), (5, 2), (3, 2), (3, 1), (0, 1)]
+        assert v.where("image = 'b'").count() == 2 * 3000 + 2 and made.n < 18
+
+
 def test_completion_equals_the_kernel(spark, keep):
     rng = np.random.default_rng(1)
     parts, region, want, least = [], [], [], []
