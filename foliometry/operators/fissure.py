@@ -24,9 +24,8 @@ def nesting_depth(points: DataFrame, spans: DataFrame, keys: list[str], point_ke
 
 def outline_segments(shapes: DataFrame, keys: list[str]) -> DataFrame:
     """The sides of outlines in the form of ``polyline.segments``; rings count one after the other."""
-    sides = edges(shapes, keys)
-    order = F.monotonically_increasing_id()  # only breaks ties between equally near places
-    return sides.select(*keys, order.alias("idx"), F.col("ax").alias("x"), F.col("ay").alias("y"), F.col("bx").alias("x2"), F.col("by").alias("y2"), F.lit(0.0).alias("cum0"))
+    order = F.shiftleft(F.col("ring_no").cast("long"), 32) + F.col("side_no")  # of equally near places the first counts
+    return edges(shapes, keys, numbered=True).select(*keys, order.alias("idx"), F.col("ax").alias("x"), F.col("ay").alias("y"), F.col("bx").alias("x2"), F.col("by").alias("y2"), F.lit(0.0).alias("cum0"))
 
 
 def line_ends(lines: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,7 +1,7 @@
 """Lines as rows of vertices: lengths, positions along them, projections, strips and turns.
 
 A table of lines has key columns, ``idx`` from 0, ``x`` and ``y``. One shuffle on the keys serves
-all windows of a plan. Points are compared with the segments of their own line only.
+all windows of a plan. Points are compared with segments of their own line only.
 """
 
 from __future__ import annotations
@@ -14,9 +14,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.geometry import length, normalised, wrapped
+from ..plans.store import stored
 
-#: Pairs of point and segment looked at together.
-PAIRS = 1 << 20
+#: Pairs of point and segment looked at together; segments of a line up to which one worker takes it with all its points.
+PAIRS, KERNEL_SIDES = 1 << 20, 1 << 16
 
 
 def _along(keys: list[str]):
@@ -79,12 +80,24 @@ def points_at(segs: DataFrame, arcs: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, *rest, along("x"), along("y"))
 
 
-def nearest(segs: DataFrame, points: DataFrame, keys: list[str], point_keys: list[str]) -> DataFrame:
+def nearest(segs: DataFrame, points: DataFrame, keys: list[str], point_keys: list[str], most_sides: int = KERNEL_SIDES) -> DataFrame:
     """keys, point_keys, arc, dist, nx, ny: the nearest place of the line or outline to (qx, qy).
 
-    Of equally near segments the first counts. A group is one line with its points; they are compared
-    as arrays of PAIRS at most, so no row is made for a pair.
+    Of equally near segments the first counts. Points of equal keys have a row each; points and segments without a
+    key or place have none. Lines of up to ``most_sides`` segments are compared in groups, longer ones by blocks.
     """
+    segs, points = segs.dropna(subset=[*keys, "x", "y", "x2", "y2"]), points.dropna(subset=[*keys, "qx", "qy"])
+    long = segs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most_sides).select(*keys)
+    if long.isEmpty():
+        return _nearest_in_group(segs, points, keys, point_keys)
+    long = stored(long)
+    parts = [(way, *(rows.join(long, keys, how) for rows in (segs, points))) for way, how in ((_nearest_in_group, "left_anti"), (_nearest_by_blocks, "left_semi"))]
+    small, large = (way(s, p, keys, point_keys) for way, s, p in parts)
+    return small.unionByName(large)
+
+
+def _nearest_in_group(segs: DataFrame, points: DataFrame, keys: list[str], point_keys: list[str]) -> DataFrame:
+    """A group is one line with its points; they are compared as arrays of PAIRS at most, so no row is made for a pair."""
     other = [f"{k}_of_point" for k in keys]  # both sides may come from one table
     left = segs.select(*keys, F.col("idx").cast("long").alias("s"), *(F.col(c).cast("double").alias(c) for c in ("x", "y", "x2", "y2", "cum0")))
     right = points.where(F.col("qx").isNotNull() & F.col("qy").isNotNull())
@@ -118,6 +131,45 @@ def nearest(segs: DataFrame, points: DataFrame, keys: list[str], point_keys: lis
     return left.groupBy(*keys).cogroup(right.groupBy(*other)).applyInArrow(solve, schema)
 
 
+def _nearest_by_blocks(segs: DataFrame, points: DataFrame, keys: list[str], point_keys: list[str]) -> DataFrame:
+    """Segments are put in blocks of the root of their number, one after the other along the line, so a block's box is small.
+
+    A point is compared with the boxes of its line, then with the segments of the blocks that may hold
+    the nearest place: those whose box begins no farther than the farthest corner of the nearest one.
+    """
+    named = dict(zip(keys, (f"{k}_of_point" for k in keys), strict=True))  # both sides may come from one table
+    line = Window.partitionBy(*keys)
+    ends = ("x", "y", "x2", "y2")
+    sides = segs.select(*keys, F.col("idx").cast("long").alias("s"), *(F.col(c).cast("double").alias(c) for c in (*ends, "cum0"))).dropna(subset=list(ends))
+    in_block = F.ceil(F.sqrt(F.count(F.lit(1)).over(line)))
+    sides = sides.withColumn("block", F.floor((F.row_number().over(line.orderBy("s")) - 1) / in_block))
+    least = [F.min(F.least(c, f"{c}2")).alias(f"{c}_least") for c in "xy"]
+    most = [F.max(F.greatest(c, f"{c}2")).alias(f"{c}_most") for c in "xy"]
+    boxes = sides.groupBy(*keys, "block").agg(*least, *most)
+    asked = points.where(F.col("qx").isNotNull() & F.col("qy").isNotNull())
+    asked = asked.select(*(F.col(k).alias(o) for k, o in named.items()), *point_keys, F.col("qx").cast("double").alias("qx"), F.col("qy").cast("double").alias("qy"))
+    point = [*named.values(), *point_keys, "qx", "qy"]
+    asked = asked.groupBy(*point).agg(F.count(F.lit(1)).alias("times"))
+    of_line = [F.col(k) == F.col(o) for k, o in named.items()]
+    met = asked.join(boxes, of_line)
+    short = [F.greatest(F.col(f"{c}_least") - F.col(f"q{c}"), F.col(f"q{c}") - F.col(f"{c}_most"), F.lit(0.0)) for c in "xy"]
+    far = [F.greatest(F.abs(F.col(f"q{c}") - F.col(f"{c}_least")), F.abs(F.col(f"q{c}") - F.col(f"{c}_most"))) for c in "xy"]
+    met = met.withColumn("begins", length(*short)).withColumn("within", F.min(length(*far)).over(Window.partitionBy(*point)))
+    # a little more than the bound, as sums are rounded
+    near = met.where(F.col("begins") <= F.col("within") * 1.000001 + 1e-6).select(*point, "times", F.col("block").alias("of_block"))
+    pairs = near.join(sides, [*of_line, F.col("of_block") == F.col("block")])
+    dx, dy = F.col("x2") - F.col("x"), F.col("y2") - F.col("y")
+    pairs = pairs.withColumns({"dx": dx, "dy": dy}).withColumn("square", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
+    along = ((F.col("qx") - F.col("x")) * F.col("dx") + (F.col("qy") - F.col("y")) * F.col("dy")) / F.col("square")
+    pairs = pairs.withColumn("t", F.when(F.col("square") < 1e-12, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))))
+    pairs = pairs.withColumns({f"n{c}": F.col(c) + F.col("t") * F.col(f"d{c}") for c in "xy"})
+    gx, gy = F.col("qx") - F.col("nx"), F.col("qy") - F.col("ny")
+    place = F.struct(length(gx, gy).alias("dist"), "s", (F.col("cum0") + F.col("t") * F.sqrt("square")).alias("arc"), "nx", "ny", "times")
+    best = pairs.select(*point, place.alias("_p")).groupBy(*point).agg(F.min("_p").alias("_p"))
+    out = best.select(*(F.col(o).alias(k) for k, o in named.items()), *point_keys, "_p", F.explode(F.sequence(F.lit(1).cast("long"), "_p.times")))
+    return out.select(*keys, *point_keys, "_p.arc", "_p.dist", "_p.nx", "_p.ny")
+
+
 def vertex_normals(lines: DataFrame, keys: list[str]) -> DataFrame:
     """keys, idx, x, y, nx, ny: at inner vertices across the mean direction of both segments."""
     w = _along(keys)

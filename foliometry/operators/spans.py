@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from ..functions.geometry import pixel_from
 
 
-def edges(shapes: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, ax, ay, bx, by: the sides of all rings of shapes with a ``rings`` column."""
+def edges(shapes: DataFrame, keys: list[str], numbered: bool = False) -> DataFrame:
+    """keys, ax, ay, bx, by: the sides of all rings of shapes with a ``rings`` column; ring_no and side_no too if ``numbered``."""
     ring = F.col("ring")
     closed = F.zip_with(ring, F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    sides = shapes.select(*keys, F.explode("rings").alias("ring")).select(*keys, F.explode(closed).alias("e"))
-    return sides.select(*keys, F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"), F.col("e.b.x").alias("bx"), F.col("e.b.y").alias("by"))
+    sides = shapes.select(*keys, F.posexplode("rings").alias("ring_no", "ring")).select(*keys, "ring_no", F.posexplode(closed).alias("side_no", "e"))
+    return sides.select(*keys, *(["ring_no", "side_no"] if numbered else []), F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"), F.col("e.b.x").alias("bx"), F.col("e.b.y").alias("by"))
 
 
 def rasterize_edges(sides: DataFrame, keys: list[str]) -> DataFrame:

@@ -43,6 +43,47 @@ def test_places_along_a_line(spark):
     assert near == {1: (4.0, 3.0), 2: (15.0, pytest.approx(math.hypot(10, 4))), 3: (0.0, 5.0)}
 
 
+def test_nearest_places_equal_brute_force(spark):
+    """Random walks, a line of many equal segments, a circle about a point, one vertex, lines without points and points without a line."""
+    rng = np.random.default_rng(5)
+    lines = {i: np.cumsum(rng.integers(-3, 4, (n, 2)), 0).astype(float) for i, n in enumerate((2, 3, 10, 61, 400))}
+    lines[5] = np.array([(0.0, 0.0), (4.0, 0.0)] * 30)
+    lines[6] = np.array([(math.cos(a), math.sin(a)) for a in np.linspace(0, 2 * math.pi, 100)])
+    lines[7] = np.array([(3.0, 3.0), (3.0, 3.0)])
+    lines[8] = np.array([(1.0, 1.0), (2.0, 1.0)])
+    v = spark.createDataFrame([(k, i, float(x), float(y)) for k, p in lines.items() for i, (x, y) in enumerate(p)], "sec int, idx int, x double, y double")
+    asked = [(k, p, float(x), float(y)) for k in [*range(8), 9] for p, (x, y) in enumerate([*rng.integers(-40, 40, (12, 2)), (0, 0), (2, 0), (2, 0)])]
+    asked += [(0, 14, 2.0, 0.0), (0, 90, None, 1.0), (None, 91, 1.0, 1.0)]
+    segs, points = polyline.segments(v, ["sec"]), spark.createDataFrame(asked, "sec int, p int, qx double, qy double")
+    want = []
+    for k, p, x, y in asked:
+        if k not in lines or x is None:
+            continue
+        best, cum = None, 0.0
+        for a, b in zip(lines[k][:-1], lines[k][1:], strict=True):
+            d = b - a
+            square = d[0] * d[0] + d[1] * d[1]
+            t = 0.0 if square < 1e-12 else max(0.0, min(1.0, ((x - a[0]) * d[0] + (y - a[1]) * d[1]) / square))
+            n = a + t * d
+            dist = math.sqrt((x - n[0]) * (x - n[0]) + (y - n[1]) * (y - n[1]))
+            if best is None or dist < best[0]:
+                best = (dist, cum + t * math.sqrt(square), *n)
+            cum += math.sqrt(square)
+        want.append((k, p, best[1], best[0], *best[2:]))
+    for most in (polyline.KERNEL_SIDES, 40, 0):  # in groups, some by blocks, all by blocks
+        got = sorted(map(tuple, polyline.nearest(segs, points, ["sec"], ["p"], most).collect()))
+        assert [g[:2] for g in got] == [w[:2] for w in sorted(want)]
+        assert np.allclose([g[2:] for g in got], [w[2:] for w in sorted(want)], atol=1e-9)
+
+
+def test_equally_near_outlines_keep_the_order_of_their_sides(spark):
+    square = spark.createDataFrame([(1, "cb", [[(float(x), float(y)) for x, y in box(c, 0, 4, 4)] for c in (0, 10)])], "sec int, layer string, rings array<array<struct<x: double, y: double>>>")
+    segs = fissure.outline_segments(square, ["sec"])
+    q = spark.createDataFrame([(1, 1, 2.0, 2.0), (1, 2, 7.0, 2.0)], "sec int, p int, qx double, qy double")
+    assert {r.p: (r.dist, r.nx, r.ny) for r in polyline.nearest(segs, q, ["sec"], ["p"]).collect()} == {1: (2.0, 2.0, 0.0), 2: (3.0, 4.0, 2.0)}
+    assert segs.select("idx").distinct().count() == 8
+
+
 def test_turn_and_strip(spark):
     ring = [(math.cos(math.radians(a)), math.sin(math.radians(a))) for a in range(0, 301, 10)]
     assert polyline.sweep_degrees(line(spark, ring), ["sec"], F.lit(0.0), F.lit(0.0)).first().degrees == pytest.approx(300)
