@@ -119,29 +119,79 @@ def rgba(rgb: tuple[int, int, int]) -> str:
     return "#{:02X}{:02X}{:02X}{:02X}".format(*rgb, FILL_ALPHA)
 
 
-def overlay_items(pieces: DataFrame, cuts: DataFrame, parts: DataFrame, fills: bool = True) -> DataFrame:
-    """section_id, z, name, kind, fill, stroke, width: what is drawn, bottom to top."""
+#: What an item of the overlay is: its order in the piece (g, k), and how it looks.
+_ITEM = "struct<g: int, k: int, name: string, kind: string, fill: string, stroke: string, width: double, text: string>"
+
+
+def _item(group: int, k: Column, name: Column, kind: str, fill: Column, stroke: str | None, width: float | None, text: Column | None = None) -> Column:
+    looks = (fill.alias("fill"), F.lit(stroke).alias("stroke"), F.lit(width).alias("width"), (F.lit(None) if text is None else text).alias("text"))
+    return F.struct(F.lit(group).alias("g"), k.alias("k"), name.alias("name"), F.lit(kind).alias("kind"), *looks).cast(_ITEM)
+
+
+def overlay_items(pieces: DataFrame, cuts: DataFrame, parts: DataFrame, fills: bool = True, shapes: DataFrame | None = None) -> DataFrame:
+    """section_id, z, name, kind, fill, stroke, width, text: what is drawn, bottom to top.
+
+    ``pieces`` may have grey, granular and molecular: a layer of no area is not drawn. ``shapes`` (section_id, instance, g, k, rings, x, y, font,
+    from ``drawn_shapes``) adds rings of areas and lines, and the middle and size of labels; items without a shape are left out.
+    """
     n_inst = F.count(F.lit(1)).over(Window.partitionBy("section_id"))
-    named = pieces.select("section_id", "instance", piece_prefix(F.col("instance"), n_inst).alias("pre"))
-    item = lambda group, k, name, kind, fill, stroke, width: F.struct(F.lit(group).alias("g"), k.cast("int").alias("k"), name.alias("name"), F.lit(kind).alias("kind"), fill.cast("string").alias("fill"), F.lit(stroke).cast("string").alias("stroke"), F.lit(width).cast("double").alias("width"))
-    none = F.lit(None)
-    fixed = [item(0, F.lit(i), F.concat("pre", F.lit(n)), "area", F.lit(rgba(rgb)), s, AREA_WIDTH) for i, (n, rgb, s) in enumerate(LAYER_FILLS)]
-    fixed.append(item(1, F.lit(0), F.concat("pre", F.lit("Purkinje")), "line", none, "#FF0000", LINE_WIDTH))
-    out = named.select("section_id", "instance", F.explode(F.array(*fixed)).alias("i"))
-    number = F.row_number().over(Window.partitionBy("section_id", "instance").orderBy("arc", "cut_id"))
-    lines = cuts.withColumn("number", number).join(named, ["section_id", "instance"])
-    out = out.unionByName(lines.select("section_id", "instance", item(2, F.col("number"), F.concat("pre", F.lit("Fissure"), F.col("number").cast("string")), "line", none, "#FFFFFF", LINE_WIDTH).alias("i")))
+    sizes = [c for c in ("grey", "granular", "molecular") if c in pieces.columns]
+    named = pieces.select("section_id", "instance", *sizes, piece_prefix(F.col("instance"), n_inst).alias("pre"))
+    drawn = lambda c, item: F.when(F.col(c) > 0, item) if c in sizes else item
+    layers = zip(("grey", "granular", "molecular"), LAYER_FILLS, strict=True)
+    fixed = [drawn(c, _item(0, F.lit(i), F.concat("pre", F.lit(n)), "area", F.lit(rgba(rgb)), stroke, AREA_WIDTH)) for i, (c, (n, rgb, stroke)) in enumerate(layers)]
+    fixed.append(_item(1, F.lit(0), F.concat("pre", F.lit("Purkinje")), "line", F.lit(None), "#FF0000", LINE_WIDTH))
+    out = named.select("section_id", "instance", F.explode(F.array_compact(F.array(*fixed))).alias("i"))
+    lines = cuts.withColumn("number", cut_number()).join(named, ["section_id", "instance"])
+    name = F.concat("pre", F.lit("Fissure"), F.col("number").cast("string"))
+    out = out.unionByName(lines.select("section_id", "instance", _item(2, F.col("number"), name, "line", F.lit(None), "#FFFFFF", LINE_WIDTH).alias("i")))
     if fills:
         colour = F.get(F.array(*(F.lit(rgba(c)) for c in SECTION_FILLS)), ((F.col("ord") - 1) % len(SECTION_FILLS)).cast("int"))
         full = F.concat("pre", "name")
-        both = F.array(item(3, F.col("ord") * 2, full, "area", colour, None, None), item(3, F.col("ord") * 2 + 1, F.concat(full, F.lit(" label")), "text", F.lit("#0000008C"), "#FFFFFF", None))
+        label = _item(3, F.col("ord") * 2 + 1, F.concat(full, F.lit(" label")), "text", F.lit("#0000008C"), "#FFFFFF", None, F.col("name"))
+        both = F.array(_item(3, F.col("ord") * 2, full, "area", colour, None, None), label)
         out = out.unionByName(parts.join(named, ["section_id", "instance"]).select("section_id", "instance", F.explode(both).alias("i")))
-    z = F.row_number().over(Window.partitionBy("section_id").orderBy("instance", "i.g", "i.k")) - 1
-    return out.select("section_id", z.alias("z"), "i.name", "i.kind", "i.fill", "i.stroke", "i.width")
+    out = out.select("section_id", "instance", "i.*")
+    place = ["section_id", "instance", "g", "k"]
+    more = ["rings", "x", "y", "font"] if shapes is not None else []
+    if shapes is not None:
+        out = out.join(shapes.select(*place, *more), place)
+    z = F.row_number().over(Window.partitionBy("section_id").orderBy("instance", "g", "k")) - 1
+    return out.select("section_id", z.alias("z"), "name", "kind", "fill", "stroke", "width", "text", *more)
+
+
+def cut_number() -> Column:
+    """Cuts are counted in each piece along the line that they cross."""
+    return F.row_number().over(Window.partitionBy("section_id", "instance").orderBy("arc", "cut_id"))
+
+
+def drawn_shapes(images: DataFrame, layers: DataFrame, line: DataFrame, cuts: DataFrame, sections: DataFrame, anchors: DataFrame) -> DataFrame:
+    """section_id, instance, g, k, rings, x, y, font of what ``overlay_items`` draws.
+
+    ``images``: section_id, width, height. ``layers``: instance, k (0 to 2), rings. ``line``: instance, rings.
+    ``cuts``: instance, cut_id, arc, rings. ``sections``: instance, ord, rings. ``anchors``: instance, ord, x, y of a pixel inside each section.
+    """
+    item = lambda df, g, k, *more: df.select("section_id", "instance", F.lit(g).alias("g"), k.cast("int").alias("k"), *more)
+    areas = [item(layers, 0, F.col("k"), "rings"), item(line, 1, F.lit(0), "rings"), item(cuts.withColumn("n", cut_number()), 2, F.col("n"), "rings"), item(sections, 3, F.col("ord") * 2, "rings")]
+    out = areas[0]
+    for more in areas[1:]:
+        out = out.unionByName(more)
+    size = images.select("section_id", font_size(F.col("width"), F.col("height")).alias("font"))
+    middle = [(F.col(c) + 0.5).cast("double").alias(c) for c in "xy"]
+    labels = item(anchors.join(size, "section_id"), 3, F.col("ord") * 2 + 1, *middle, "font")
+    return out.unionByName(labels, allowMissingColumns=True)
 
 
 def merged_overlay(existing: DataFrame, own: DataFrame) -> DataFrame:
-    """Foreign items as they are, then the new own ones; older own items (marked or by name) go."""
+    """What is drawn after a run: others' items as they are, in their order, then the new own ones.
+
+    ``existing`` has section_id, z, name, marked and any columns of ``own``. Older own items (marked or by name) of the images in
+    ``own`` go; images that were not measured keep all of theirs.
+    """
+    seen = own.select("section_id").distinct().withColumn("_seen", F.lit(True))
     old = F.coalesce(F.col("marked"), F.lit(False)) | F.coalesce(F.col("name").rlike(LEGACY_ITEM), F.lit(False))
-    kept = existing.where(~old).select("section_id", "name", F.lit(False).alias("marked"))
-    return kept.unionByName(own.select("section_id", "name", F.lit(True).alias("marked")))
+    kept = existing.join(seen, "section_id", "left").where(F.col("_seen").isNull() | ~old).drop("_seen")
+    kept = kept.withColumn("marked", F.coalesce("marked", F.lit(False))).withColumn("_new", F.lit(0))
+    both = kept.unionByName(own.withColumn("marked", F.lit(True)).withColumn("_new", F.lit(1)), allowMissingColumns=True)
+    z = F.row_number().over(Window.partitionBy("section_id").orderBy("_new", "z", "name")) - 1
+    return both.withColumn("z", z).drop("_new")

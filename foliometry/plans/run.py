@@ -46,8 +46,12 @@ class Run:
     files: list[DataFrame] = field(default_factory=list)  # section_id, path
 
 
-def run(rois: DataFrame, sections: DataFrame, options: Options = Options(), keep=stored) -> Run:
-    """Measures all images that have no problems, and makes what ``options`` ask for."""
+def run(rois: DataFrame, sections: DataFrame, options: Options = Options(), keep=stored, drawn: DataFrame | None = None) -> Run:
+    """Measures all images that have no problems, and makes what ``options`` ask for.
+
+    ``drawn`` has the items that are drawn on images already (section_id, z, name, marked, ...): the overlay
+    takes the place of those of earlier runs and keeps all others.
+    """
     a = analyze(rois, sections, keep, options.marker)
     problems = classify.problems(rois, sections, options.marker)
     totals, parts = (keep(x) for x in combine(a))
@@ -71,7 +75,9 @@ def run(rois: DataFrame, sections: DataFrame, options: Options = Options(), keep
         out.regions = measured_regions(a, options.marker)
     if options.overlay:
         arcs = keep(_cut_arcs(a, good))
-        out.overlay = report.overlay_items(a.totals.select(*KEYS), arcs, a.parts, options.section_fills)
+        out.overlay = report.overlay_items(a.totals, arcs, a.parts, options.section_fills, keep(_drawn_shapes(images, a, good, arcs)))
+        if drawn is not None:
+            out.overlay = report.merged_overlay(drawn, out.overlay)
     if options.save_csv or options.save_workbook:
         if not options.folder:
             raise ValueError("files are wanted but no folder is named")
@@ -98,6 +104,19 @@ def _cut_arcs(a: Analysis, good: DataFrame) -> DataFrame:
     return fissure.crossing_arcs(a.cuts, line, KEYS, "cut_id")
 
 
+def _drawn_shapes(images: DataFrame, a: Analysis, good: DataFrame, arcs: DataFrame) -> DataFrame:
+    """Outlines, lines and labels' places of all that was measured."""
+    on = F.array(*(F.struct(F.lit(i).alias("k"), F.col(c).alias("on")) for i, c in enumerate(("grey", "granular", "molecular"))))
+    whole = a.cells.select(*KEYS, "y", "x0", "x1", F.explode(on).alias("l")).where("l.on").select(*KEYS, "l.k", "y", "x0", "x1")
+    own = a.labelled.join(a.parts.select(*KEYS, "label", "ord"), [*KEYS, "label"]).select(*KEYS, F.col("ord").alias("label"), "y", "x0", "x1")
+    sections = components.outlines(own, [*KEYS, "label"]).withColumnRenamed("label", "ord")
+    anchors = components.interior_pixels(own, KEYS).withColumnRenamed("label", "ord")
+    ring = F.array(F.transform(F.sort_array(F.collect_list(F.struct("idx", "x", "y"))), lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"))))
+    cuts = a.cuts.groupBy(*KEYS, "cut_id").agg(ring.alias("rings")).join(arcs.select(*KEYS, "cut_id", "arc"), [*KEYS, "cut_id"])
+    line = good.where(F.col("category") == "PURKINJE").select(*KEYS, "rings")
+    return report.drawn_shapes(images, components.outlines(whole, [*KEYS, "k"]), line, cuts, sections, anchors)
+
+
 def _info(images: DataFrame, a: Analysis, n_sections: DataFrame, told: DataFrame) -> DataFrame:
     cuts = a.cuts.groupBy(*KEYS).agg(F.countDistinct("cut_id").alias("fissures"))
     ring = a.labelled.groupBy(*KEYS).agg(F.first("ring").alias("ring"))

@@ -10,6 +10,8 @@ from ..sources.sinks import csv_lines
 
 LINE = ["line_id"]
 KEYS = ["section_id", "instance"]
+#: (name, marked) of items that images bear already.
+DRAWN = (("scale bar", False), ("Grey Matter", False), ("[2] Fissure11", None), ("grey matter", False), ("arrow", True), ("4/5Cb", False), (None, None))
 #: (label, x0, y0, x1, y1) of regions that lines are clipped to.
 REGIONS = ((0, 0, 0, 150, 12), (1, 180, 3, 330, 30), (2, 360, 0, 510, 8), (3, 540, 5, 700, 60))
 
@@ -52,7 +54,7 @@ def _pieces(spark, sf_dir):
     parts = totals.where(k * 5 % 6 > 0).withColumn("ord", F.explode(F.sequence(F.lit(1), n)))
     share = F.when(k % 4 == 0, F.lit(0.5)).otherwise(F.lit(1.0)) / n
     parts = parts.select("section_id", "instance", "ord", F.concat(F.lit("Section "), F.col("ord").cast("string")).alias("name"), *((F.floor(F.col(c) * share * 4) / 4).alias(c) for c in ("granular", "molecular")), (F.floor(F.col("purkinje_len") * share * 4) / 4).alias("purkinje"))
-    return totals.drop("k"), parts
+    return totals, parts.drop("k")
 
 
 def pool_instances(spark, sf_dir):
@@ -85,7 +87,18 @@ def measurement_roi_names(spark, sf_dir):
 def overlay_items(spark, sf_dir):
     totals, parts = _pieces(spark, sf_dir)
     cuts = parts.select(*KEYS, F.col("ord").alias("cut_id"), (-F.col("ord")).cast("double").alias("arc"))
-    return report.overlay_items(totals.select(*KEYS), cuts, parts)
+    # every fifth piece has no molecular layer, so none is drawn
+    flat = totals.withColumn("molecular", F.when(F.col("k") % 5 == 0, 0.0).otherwise(F.col("molecular")))
+    return report.overlay_items(flat, cuts, parts)
+
+
+def overlay_merged(spark, sf_dir):
+    """Images that bear others' items and those of an earlier run; every fourth image is not measured again."""
+    own = overlay_items(spark, sf_dir).where("section_id % 4 <> 0").select("section_id", "z", "name", "kind")
+    before = F.array(*(F.struct(F.lit(i).alias("z"), F.lit(n).alias("name"), F.lit(m).alias("marked")) for i, (n, m) in enumerate(DRAWN)))
+    old = table(spark, sf_dir, "supplier").select(F.floor(F.col("s_suppkey") / 3).cast("long").alias("section_id")).distinct()
+    old = old.select("section_id", F.explode(before).alias("i")).select("section_id", "i.*", F.lit("area").alias("kind"))
+    return report.merged_overlay(old, own)
 
 
 def run_info(spark, sf_dir):
@@ -97,7 +110,7 @@ def run_info(spark, sf_dir):
     return report.run_info(image, pieces, warnings)
 
 
-QUERIES = {f.__name__: f for f in (line_length_by_region, line_runs, line_pixels, ends_joined, pool_instances, pooled_totals, coverage_checks, results_grid, results_csv, measurement_roi_names, overlay_items, run_info)}
+QUERIES = {f.__name__: f for f in (line_length_by_region, line_runs, line_pixels, ends_joined, pool_instances, pooled_totals, coverage_checks, results_grid, results_csv, measurement_roi_names, overlay_items, overlay_merged, run_info)}
 
 _STEPS = f"""{EVENTS_SQL},
 region(label, x0, y0, x1, y1) AS (VALUES {", ".join(map(str, REGIONS))}),
@@ -143,6 +156,15 @@ def _values(rows) -> str:
 
 _LAYERS = _values((i, name, report.rgba(rgb), stroke) for i, (name, rgb, stroke) in enumerate(report.LAYER_FILLS))
 _COLOURS = "[" + ", ".join(repr(report.rgba(c)) for c in report.SECTION_FILLS) + "]"
+_OVERLAY = f"""
+own AS (SELECT part_.*, pre FROM part_ JOIN named USING (section_id, instance)),
+item AS (
+  SELECT section_id, instance, 0 AS g, i AS k, pre || what AS name, 'area' AS kind, fill, stroke, 1.0::DOUBLE AS width, NULL AS text FROM named JOIN p USING (section_id, instance), (VALUES {_LAYERS}) AS l(i, what, fill, stroke) WHERE i <> 2 OR p.k % 5 <> 0
+  UNION ALL SELECT section_id, instance, 1, 0, pre || 'Purkinje', 'line', NULL, '#FF0000', 1.5, NULL FROM named
+  UNION ALL SELECT section_id, instance, 2, num, pre || 'Fissure' || num, 'line', NULL, '#FFFFFF', 1.5, NULL FROM (SELECT *, row_number() OVER (PARTITION BY section_id, instance ORDER BY ord DESC) AS num FROM own)
+  UNION ALL SELECT section_id, instance, 3, ord * 2, pre || name, 'area', ({_COLOURS})[(ord - 1) % {len(report.SECTION_FILLS)} + 1], NULL, NULL, NULL FROM own
+  UNION ALL SELECT section_id, instance, 3, ord * 2 + 1, pre || name || ' label', 'text', '#0000008C', '#FFFFFF', NULL, name FROM own),
+drawn AS (SELECT section_id, CAST(row_number() OVER (PARTITION BY section_id ORDER BY instance, g, k) - 1 AS INTEGER) AS z, name, kind, fill, stroke, width, text FROM item)"""
 ORACLES = {
     "measurement_roi_names": f"""WITH {_PIECES}, {_NAMED}, own AS (SELECT part_.*, pre FROM part_ JOIN named USING (section_id, instance)),
         item AS (
@@ -152,14 +174,13 @@ ORACLES = {
           UNION ALL SELECT section_id, instance, ord, run + 1, pre || name || CASE WHEN ord % 2 = 0 THEN '_Purkinje' ELSE '_Purkinje_' || run END
             FROM (SELECT *, unnest(range(1, ord % 2 + 2)) AS run FROM own WHERE purkinje > 0))
         SELECT section_id, CAST(row_number() OVER (PARTITION BY section_id ORDER BY instance, ord, k) - 1 AS INTEGER) AS seq, name FROM item""",
-    "overlay_items": f"""WITH {_PIECES}, {_NAMED}, own AS (SELECT part_.*, pre FROM part_ JOIN named USING (section_id, instance)),
-        item AS (
-          SELECT section_id, instance, 0 AS g, k, pre || what AS name, 'area' AS kind, fill, stroke, 1.0::DOUBLE AS width FROM named, (VALUES {_LAYERS}) AS l(k, what, fill, stroke)
-          UNION ALL SELECT section_id, instance, 1, 0, pre || 'Purkinje', 'line', NULL, '#FF0000', 1.5 FROM named
-          UNION ALL SELECT section_id, instance, 2, num, pre || 'Fissure' || num, 'line', NULL, '#FFFFFF', 1.5 FROM (SELECT *, row_number() OVER (PARTITION BY section_id, instance ORDER BY ord DESC) AS num FROM own)
-          UNION ALL SELECT section_id, instance, 3, ord * 2, pre || name, 'area', ({_COLOURS})[(ord - 1) % {len(report.SECTION_FILLS)} + 1], NULL, NULL FROM own
-          UNION ALL SELECT section_id, instance, 3, ord * 2 + 1, pre || name || ' label', 'text', '#0000008C', '#FFFFFF', NULL FROM own)
-        SELECT section_id, CAST(row_number() OVER (PARTITION BY section_id ORDER BY instance, g, k) - 1 AS INTEGER) AS z, name, kind, fill, stroke, width FROM item""",
+    "overlay_items": f"WITH {_PIECES}, {_NAMED}, {_OVERLAY} SELECT * FROM drawn",
+    "overlay_merged": f"""WITH {_PIECES}, {_NAMED}, {_OVERLAY}, image AS (SELECT DISTINCT section_id FROM p),
+        before(z, name, marked) AS (VALUES (0, 'scale bar', false), (1, 'Grey Matter', false), (2, '[2] Fissure11', NULL), (3, 'grey matter', false), (4, 'arrow', true), (5, '4/5Cb', false), (6, NULL, NULL)),
+        both_ AS (
+          SELECT section_id, 0 AS new, z, name, 'area' AS kind, coalesce(marked, false) AS marked FROM image, before WHERE section_id % 4 = 0 OR z IN (0, 3, 6)
+          UNION ALL SELECT section_id, 1, z, name, kind, true FROM drawn WHERE section_id % 4 <> 0)
+        SELECT section_id, CAST(row_number() OVER (PARTITION BY section_id ORDER BY new, z) - 1 AS INTEGER) AS z, name, marked, kind FROM both_""",
     "run_info": f"""WITH {_PIECES}, {_NAMED}, image AS (SELECT section_id, count(*) AS pieces, count(CASE WHEN joined THEN 1 END) AS warned FROM named GROUP BY 1),
         item AS (
           SELECT section_id, 0 AS k, 0 AS i, 'Image' AS field, 'image ' || section_id AS value FROM image

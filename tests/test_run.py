@@ -6,7 +6,7 @@ from functools import reduce
 import pytest
 from pyspark.sql import functions as F
 
-from foliometry.operators import classify
+from foliometry.operators import classify, spans
 from foliometry.plans.run import Options, pixels_of, run
 from foliometry.sources.phantom import Phantom, phantoms
 
@@ -30,7 +30,8 @@ def done(spark, tmp_path_factory):
     image = images.where("section_id = 'ribbon-0'")
     images = reduce(lambda a, b: a.unionByName(b), (images, *(image.withColumn("section_id", F.lit(f"{n}-0")) for n in ("far", "odd", "two", "nameless", "bare"))))
     folder = tmp_path_factory.mktemp("out")
-    return run(rois, images, Options(save_csv=True, save_workbook=True, file_name="all.xlsx", folder=str(folder))), rois, images, folder
+    drawn = spark.createDataFrame([("ribbon-0", 0, "arrow", None), ("ribbon-0", 1, "2Cb", None), ("bare-0", 0, "Purkinje", True)], "section_id string, z int, name string, marked boolean")
+    return run(rois, images, Options(save_csv=True, save_workbook=True, file_name="all.xlsx", folder=str(folder)), drawn=drawn), rois, images, folder
 
 
 def test_messages_and_problems(done):
@@ -77,7 +78,22 @@ def test_tables_and_files(done):
     info = {r.field: r.value for r in out.info.where("section_id = 'two-0'").collect()}
     assert info["Traced pieces"] == "2" and info["Piece 1"].startswith("7 fissure(s), 8 section(s)") and info["Piece 2"] == "not split into sections (no White Matter)"
     items = out.overlay.where("section_id = 'ribbon-0'").orderBy("z").collect()
-    assert [r.name for r in items[4:11]] == [f"Fissure{i}" for i in range(1, 8)] and len(items) == 4 + 7 + 16
+    assert items[0].name == "arrow" and not items[0].marked and [r.z for r in items] == list(range(len(items)))
+    items = items[1:]
+    assert [r.name for r in items[4:11]] == [f"Fissure{i}" for i in range(1, 8)] and len(items) == 4 + 7 + 16 and all(r.marked for r in items)
+    assert [r.name for r in out.overlay.where("section_id = 'bare-0'").collect()] == ["Purkinje"]
+    # areas that are drawn have the pixels that were measured, labels lie in their sections
+    areas = out.overlay.where("section_id = 'ribbon-0' AND kind = 'area' AND rings IS NOT NULL").select("section_id", "name", "rings")
+    filled = spans.rasterize(areas, ["section_id", "name"]).collect()
+    totals = out.totals.where("section_id = 'ribbon-0'").first()
+    px = lambda name: sum(r.x1 - r.x0 for r in filled if r.name == name)
+    assert (px("Grey Matter"), px("Granular Layer"), px("Molecular Layer")) == (totals.grey, totals.granular, totals.molecular)
+    labels = [r for r in items if r.kind == "text"]
+    assert [r.text for r in labels] == ["2Cb", "3Cb", "4/5Cb", "6Cb", "7Cb", "8Cb", "9Cb", "10Cb"] and all(r.rings is None and r.font >= 12 for r in labels)
+    for label in labels:
+        assert any(r.name == label.text and r.y == int(label.y) and r.x0 <= int(label.x) < r.x1 for r in filled)
+    lines = [r for r in items if r.kind == "line"]
+    assert len(lines) == 8 and all(len(r.rings[0]) >= 2 and r.x is None for r in lines)
     assert {r.path for f in out.files for r in f.collect()} >= {str(folder / "two-0" / "all.xlsx")}
 
 

@@ -163,9 +163,14 @@ def test_overlay(spark):
     fills = [r.fill for r in got if r.kind == "area"][3:]
     assert fills[0] == "#FF64503C" == fills[12]
     assert [r.name for r in report.overlay_items(pieces, cuts, parts, fills=False).collect()][-1] == "Fissure2"
-    old = spark.createDataFrame([("s", "Grey Matter", False), ("s", "[2] Purkinje", None), ("s", "grey matter", False), ("s", "mine", False), ("s", "x", True)], "section_id string, name string, marked boolean")
-    merged = report.merged_overlay(old, pieces.select("section_id", F.lit("Grey Matter").alias("name")))
-    assert sorted((r.name, r.marked) for r in merged.collect()) == [("Grey Matter", True), ("grey matter", False), ("mine", False)]
+    flat = pieces.withColumn("grey", F.lit(2.0)).withColumn("granular", F.lit(0.0)).withColumn("molecular", F.lit(None).cast("double"))
+    assert [r.name for r in report.overlay_items(flat, cuts, parts).orderBy("z").collect()][:3] == ["Grey Matter", "Purkinje", "Fissure1"]
+    old = [("s", 4, "Grey Matter", False), ("s", 3, "[2] Purkinje", None), ("s", 2, "grey matter", False), ("s", 1, "mine", False), ("s", 0, "x", True), ("t", 0, "Section 3", True), ("t", 9, None, None)]
+    old = spark.createDataFrame(old, "section_id string, z int, name string, marked boolean")
+    merged = report.merged_overlay(old, pieces.select("section_id", F.lit(7).alias("z"), F.lit("Grey Matter").alias("name"), F.lit("area").alias("kind")))
+    assert [tuple(r) for r in merged.select("section_id", "z", "name", "marked", "kind").orderBy("section_id", "z").collect()] == [
+        ("s", 0, "mine", False, None), ("s", 1, "grey matter", False, None), ("s", 2, "Grey Matter", True, "area"), ("t", 0, "Section 3", True, None), ("t", 1, None, False, None),
+    ]
     assert spark.range(1).select(report.font_size(F.lit(6000), F.lit(5000)).alias("a"), report.font_size(F.lit(100), F.lit(90)).alias("b")).first() == (125, 12)
 
 
