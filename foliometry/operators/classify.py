@@ -106,6 +106,8 @@ MESSAGES = {
     "WM_NOT_AREA": 'The White Matter region "%s" is not a closed area.',
     "MISSING_PL": "The Purkinje line is missing%s.",
     "PL_NOT_LINE": 'The Purkinje line "%s" is a closed area.',
+    "PL_UNREADABLE": 'The Purkinje line "%s" has no points.',
+    "FISSURE_UNREADABLE": 'The fissure line "%s" has no points.',
     "NO_FISSURES": "There are no fissure lines, but the section has White Matter.",
     "FISSURE_NOT_LINE": 'A fissure line is a closed area: "%s".',
     "NO_NAMES": "None of the names fits a layer or line.",
@@ -134,6 +136,19 @@ def duplicates(rois: DataFrame, marker: str = OUTPUT_PROPERTY) -> DataFrame:
     return both.select("section_id", "instance", code[F.col("category")].alias("code"), about.alias("about"))
 
 
+def unreadable(rois: DataFrame, marker: str = OUTPUT_PROPERTY) -> DataFrame:
+    """section_id, instance, code, about: lines without a point; of Purkinje lines the last counts, fissures only beside white matter."""
+    known = classified(rois, marker).where(F.col("category").isin("PURKINJE", "FISSURE", "WHITE_MATTER"))
+    piece = Window.partitionBy("section_id", "instance")
+    last = F.row_number().over(Window.partitionBy("section_id", "instance", "category").orderBy(F.desc("roi_idx"))) == 1
+    known = known.withColumn("wm", F.max(F.col("category") == "WHITE_MATTER").over(piece)).withColumn("last", last)
+    empty = F.coalesce(F.size(F.get("rings", F.lit(0))), F.lit(0)) <= 0
+    counts = F.when(F.col("category") == "PURKINJE", F.col("last")).when(F.col("category") == "FISSURE", F.col("wm")).otherwise(F.lit(False))
+    code = F.when(F.col("category") == "FISSURE", "FISSURE_UNREADABLE").otherwise("PL_UNREADABLE")
+    found = known.where(counts & empty & ~F.coalesce(F.col("kind").isin(*AREAS), F.lit(False)))
+    return found.select("section_id", "instance", code.alias("code"), F.coalesce("name", F.lit("")).alias("about"))
+
+
 def problems(rois: DataFrame, sections: DataFrame | None = None, marker: str = OUTPUT_PROPERTY) -> DataFrame:
     """section_id, instance, code, n, message: everything that keeps a section from being measured.
 
@@ -150,7 +165,10 @@ def problems(rois: DataFrame, sections: DataFrame | None = None, marker: str = O
     found |= {"FISSURE_NOT_LINE": (F.when(wm, F.col("fissure_areas")).otherwise(0), F.col("fissure_names"))}
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("code"), n.cast("long").alias("n"), about.alias("about")) for c, (n, about) in found.items()))).alias("p")
     own = p.select("section_id", "instance", "n_inst", each).where("p.n > 0").select("section_id", "instance", "n_inst", "p.code", "p.n", "p.about")
-    twice = duplicates(rois, marker).join(p.select("section_id", "instance", "n_inst"), ["section_id", "instance"])
+    single = duplicates(rois, marker)
+    if "rings" in rois.columns:
+        single = single.unionByName(unreadable(rois, marker))
+    twice = single.join(p.select("section_id", "instance", "n_inst"), ["section_id", "instance"])
     own = own.unionByName(twice.select("section_id", "instance", "n_inst", "code", F.lit(1).cast("long").alias("n"), "about"))
     whole = lambda df, code, n, about: df.select("section_id", F.lit(None).cast("int").alias("instance"), F.lit(1).cast("long").alias("n_inst"), F.lit(code).alias("code"), n.cast("long").alias("n"), about.alias("about"))
     many = own.where(F.col("n_inst") > 1).select("section_id", F.col("n_inst").alias("k")).distinct()

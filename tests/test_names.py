@@ -60,6 +60,17 @@ def test_problems_come_all_at_once(spark):
     assert {r.section_id for r in classify.measurable(rois(spark, *rows)).collect()} == {"good"}
 
 
+def test_lines_without_points_are_problems(spark):
+    none, empty, there = None, [[]], [[(1.0, 2.0)]]
+    rows = [("a", "CB", "POLYGON", there), ("a", "GLWM", "POLYGON", there), ("a", "WM", "POLYGON", there), ("a", "PL", "LINE", none), ("a", "FL1", "POLYLINE", empty), ("a", "FL2", "POLYLINE", []), ("a", "FL3", "LINE", there)]
+    rows += [("b", "CB", "POLYGON", there), ("b", "GLWM", "POLYGON", there), ("b", "PL", "LINE", there), ("b", "FL1", "LINE", empty)]
+    rows = [(s, i, n, k, None, r) for i, (s, n, k, r) in enumerate(rows)]
+    df = spark.createDataFrame(rows, f"{ROI}, rings array<array<struct<x: double, y: double>>>")
+    got = sorted((r.section_id, r.code, r.message) for r in classify.problems(df).collect())
+    assert got == [("a", "FISSURE_UNREADABLE", f'The fissure line "FL{i}" has no points.') for i in (1, 2)] + [("a", "PL_UNREADABLE", 'The Purkinje line "PL" has no points.')]
+    assert {r.section_id for r in classify.measurable(df).collect()} == {"b"}  # without white matter its fissure is not used
+
+
 def test_each_extra_region_is_a_problem_of_its_own(spark):
     rows = [("s", n, "POLYGON", None) for n in ("CB", "cb again", "GL+WM", "Granular Layer", "cerebellum third")] + [("s", "PL", "LINE", None)]
     got = [r.message for r in classify.problems(rois(spark, *rows)).orderBy("code", "message").collect()]
