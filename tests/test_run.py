@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from foliometry.operators import classify, spans
 from foliometry.plans.run import Options, pixels_of, run
+from foliometry.plans.store import stored
 from foliometry.sources.phantom import Phantom, phantoms
 
 RING = Phantom(pinched=False)
@@ -30,6 +31,7 @@ def done(spark, tmp_path_factory):
     image = images.where("section_id = 'ribbon-0'")
     images = reduce(lambda a, b: a.unionByName(b), (images, *(image.withColumn("section_id", F.lit(f"{n}-0")) for n in ("far", "odd", "two", "nameless", "bare"))))
     folder = tmp_path_factory.mktemp("out")
+    rois, images = stored(rois), stored(images)  # the images are made once, not in each stage that reads them
     drawn = spark.createDataFrame([("ribbon-0", 0, "arrow", None), ("ribbon-0", 1, "2Cb", None), ("bare-0", 0, "Purkinje", True)], "section_id string, z int, name string, marked boolean")
     return run(rois, images, Options(save_csv=True, save_workbook=True, file_name="all.xlsx", folder=str(folder)), drawn=drawn), rois, images, folder
 
