@@ -87,7 +87,8 @@ def run(rois: DataFrame, sections: DataFrame, options: Options = Options(), keep
             sinks.write_csv(report.results_grid(totals, parts), path)
             out.files.append(totals.select("section_id", F.lit(path).alias("path")))
         if options.save_workbook:
-            out.files.append(keep(sinks.write_workbooks(sinks.workbooks(totals, parts, out.info, told), options.folder, base)))
+            sinks.write_workbooks(sinks.workbooks(totals, parts, out.info, told), options.folder, base)
+            out.files.append(sinks.workbook_paths(totals, options.folder, base))
     return out
 
 

@@ -10,11 +10,9 @@ import io
 import math
 import os
 import re
-import tempfile
 import zipfile
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import csv_cell
 from ..operators.report import GRID, headers
+from .files import SectionFiles, folder_name
 
 #: Fixed by the file format: namespaces, content types and relations of a workbook's parts.
 _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -136,18 +135,6 @@ def workbook(sheets: Iterable[Sheet]) -> bytes:
     return out.getvalue()
 
 
-def write_whole(path: str, content: bytes) -> None:
-    """The file appears whole or not at all; one that was there stays until then."""
-    handle, temporary = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)), suffix=".tmp")
-    try:
-        with os.fdopen(handle, "wb") as f:
-            f.write(content)
-        os.replace(temporary, path)
-    finally:
-        if os.path.exists(temporary):
-            os.remove(temporary)
-
-
 def result_sheets(totals: dict, parts: list[dict], info: list[tuple[str, str]], messages: list[tuple[str, str]]) -> list[Sheet]:
     """The two sheets of an image: what was measured, and how the run went."""
     table = Sheet("Results", (1, 1))
@@ -189,29 +176,24 @@ def workbooks(totals: DataFrame, parts: DataFrame, info: DataFrame, messages: Da
     return rows.mapInArrow(make, f"section_id {totals.schema['section_id'].dataType.simpleString()}, content binary")
 
 
-def folder_name(section: str) -> str:
-    """A name for a section's folder: no two sections have the same one, and none leads elsewhere."""
-    name = quote(section, safe=" ")
-    return name if name.strip(".") else name.replace(".", "%2E") or "%"
+def write_workbooks(books: DataFrame, folder: str, base: str) -> None:
+    """Files ``<folder>/<section_id>/<base>.xlsx`` (ids as in URLs), written where the rows are.
 
+    ``folder`` is one that all machines see as files. The files appear once all tasks are done, or not at all.
+    """
+    books.sparkSession.dataSource.register(SectionFiles)
+    books.select("section_id", "content").write.format("section_files").mode("append").option("folder", folder).option("file", f"{base}.xlsx").save()
 
-def write_workbooks(books: DataFrame, folder: str, base: str) -> DataFrame:
-    """section_id, path of the files ``<folder>/<section_id>/<base>.xlsx`` (ids as in URLs), written where the rows are.
 
-    ``folder`` is one that all machines see as files. A task that is run again replaces its files.
-    """
+def workbook_paths(sections: DataFrame, folder: str, base: str) -> DataFrame:
+    """section_id, path of the file that ``write_workbooks`` makes for each of ``sections``."""
 
-    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            paths = []
-            for section, content in zip(b.column("section_id").to_pylist(), b.column("content"), strict=True):
-                own = os.path.join(folder, folder_name(str(section)))
-                os.makedirs(own, exist_ok=True)
-                paths.append(os.path.join(own, f"{base}.xlsx"))
-                write_whole(paths[-1], content.as_py())
+            paths = [None if s is None else os.path.join(folder, folder_name(str(s)), f"{base}.xlsx") for s in b.column("section_id").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("section_id"), pa.array(paths, pa.string())], names=["section_id", "path"])
 
-    return books.mapInArrow(put, f"section_id {books.schema['section_id'].dataType.simpleString()}, path string")
+    return sections.select("section_id").mapInArrow(name, f"section_id {sections.schema['section_id'].dataType.simpleString()}, path string")
 
 
 def csv_lines(grid: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from foliometry.operators import report, results
 from foliometry.plans.analyze import KEYS, analyze, combine
 from foliometry.sources import sinks
+from foliometry.sources.files import folder_name
 from foliometry.sources.phantom import Phantom, phantoms
 from foliometry.streaming.batches import measure_stream
 
@@ -125,7 +126,8 @@ def test_grid_and_files(spark, tmp_path):
     said = spark.createDataFrame([("s", 0, "WARNING", "look \ufffe here")], "section_id string, seq int, level string, message string")
     books = sinks.workbooks(totals, parts, info, said)
     for _ in range(2):  # a second run replaces the file
-        (written,) = sinks.write_workbooks(books, str(tmp_path), "book").collect()
+        sinks.write_workbooks(books, str(tmp_path), "book")
+    (written,) = sinks.workbook_paths(totals, str(tmp_path), "book").collect()
     assert written.path == str(tmp_path / "s" / "book.xlsx") and [p.name for p in (tmp_path / "s").iterdir()] == ["book.xlsx"]
     with zipfile.ZipFile(written.path) as z:
         parts_of = {n: ElementTree.fromstring(z.read(n)) for n in z.namelist()}
@@ -212,8 +214,25 @@ def test_files_of_other_sections_stay(spark, tmp_path):
         sinks.write_csv(of(*ids), str(tmp_path / "all.csv"))
     assert {r.section_id for r in spark.read.text(str(tmp_path / "all.csv")).collect()} == {"a", "b", "c/d"}
     names = ["a/b", "a_b", "a%2Fb", "..", ".", "", "...", "a.b", "é", "a b", "%", "%2E"]
-    made = [sinks.folder_name(n) for n in names]
+    made = [folder_name(n) for n in names]
     assert len(set(made)) == len(names) and not any("/" in m or m in ("", ".", "..") for m in made)
     books = spark.createDataFrame([(n, b"x") for n in ("a/b", "a_b", "..")], "section_id string, content binary")
-    paths = [r.path for r in sinks.write_workbooks(books, str(tmp_path / "books"), "all").collect()]
+    sinks.write_workbooks(books, str(tmp_path / "books"), "all")
+    paths = [r.path for r in sinks.workbook_paths(books, str(tmp_path / "books"), "all").collect()]
     assert len(set(paths)) == 3 and all(os.path.realpath(p).startswith(str(tmp_path / "books")) for p in paths)
+
+
+def test_a_failed_write_leaves_the_files_as_they_were(spark, tmp_path):
+    of = lambda *rows: spark.createDataFrame(rows, "section_id string, content binary").repartition(4, "section_id")
+    put = lambda df: sinks.write_workbooks(df, str(tmp_path), "x")
+    put(of(("a", b"old"), ("b", b"old"), (None, b"lost"), ("c", None)))
+    broken = of(("a", b"new"), ("b", b"new"), ("d", b"new"))
+    with pytest.raises(Exception, match="broken on purpose"):
+        put(broken.withColumn("content", F.when(F.col("section_id") == "b", F.raise_error(F.lit("broken on purpose")).cast("binary")).otherwise(F.col("content"))))
+    files = lambda: {str(p.relative_to(tmp_path)): p.read_bytes() for p in tmp_path.rglob("*") if p.is_file()}
+    assert files() == {"a/x.xlsx": b"old", "b/x.xlsx": b"old"} and {p.name for p in tmp_path.iterdir()} == {"a", "b"}
+    put(broken)
+    assert files() == {"a/x.xlsx": b"new", "b/x.xlsx": b"new", "d/x.xlsx": b"new"}
+    put(of())
+    with pytest.raises(Exception, match="append"):
+        broken.write.format("section_files").mode("overwrite").option("folder", str(tmp_path)).option("file", "x").save()
