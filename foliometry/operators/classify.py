@@ -75,7 +75,11 @@ def ignored_names(rois: DataFrame, marker: str = OUTPUT_PROPERTY) -> DataFrame:
 
 def pieces(rois: DataFrame, marker: str = OUTPUT_PROPERTY) -> DataFrame:
     """One row for each (section_id, instance): name and kind of each role's last region, how many more, fissures."""
-    known = classified(rois, marker).where(F.col("category").isNotNull())
+    return _pieces(classified(rois, marker))
+
+
+def _pieces(named: DataFrame) -> DataFrame:
+    known = named.where(F.col("category").isNotNull())
     is_area = F.col("kind").isin(*AREAS)
     of = lambda role, c: F.when(F.col("category") == role, c)
     own = []
@@ -124,29 +128,29 @@ def _message(code: Column, about: Column) -> Column:
     return F.replace(text[code], F.lit("%s"), F.coalesce(about, F.lit("")))
 
 
-def duplicates(rois: DataFrame, marker: str = OUTPUT_PROPERTY) -> DataFrame:
-    """section_id, instance, code, about: each region or line of a role that has one already, with the names of both."""
-    known = classified(rois, marker).where(F.col("category").isin(*SINGLE)).withColumn("name", F.coalesce("name", F.lit("")))
-    order = Window.partitionBy("section_id", "instance", "category").orderBy("roi_idx")
-    both = known.withColumn("before", F.lag("name").over(order)).where(F.col("before").isNotNull())
+def _single_faults(named: DataFrame) -> DataFrame:
+    """section_id, instance, n_inst, code, about of regions and lines by themselves, in one pass.
+
+    Each region or line of a role that has one already, with the names of both. Lines without a point: of Purkinje lines the
+    last counts, fissures only beside white matter.
+    """
+    role, piece = Window.partitionBy("section_id", "instance", "category").orderBy("roi_idx"), Window.partitionBy("section_id", "instance")
+    known = named.where(F.col("category").isNotNull()).withColumn("name", F.coalesce("name", F.lit("")))
+    known = known.withColumns({"before": F.lag("name").over(role), "more": F.lead(F.lit(True), 1, False).over(role)})
+    known = known.withColumn("wm", F.max(F.col("category") == "WHITE_MATTER").over(piece))
     layer = lambda c: F.lower(F.trim(c)).isin(*WHOLE_LAYERS)
     hint = F.when(layer(F.col("before")) | layer(F.col("name")), F.lit(LAYER_HINT)).otherwise(F.lit(""))
-    code = F.create_map(*(F.lit(x) for role, s in SINGLE.items() for x in (role, f"DUPLICATE_{s.upper()}")))
-    about = F.concat(F.lit('"'), "before", F.lit('" and "'), "name", F.lit('"'), hint)
-    return both.select("section_id", "instance", code[F.col("category")].alias("code"), about.alias("about"))
-
-
-def unreadable(rois: DataFrame, marker: str = OUTPUT_PROPERTY) -> DataFrame:
-    """section_id, instance, code, about: lines without a point; of Purkinje lines the last counts, fissures only beside white matter."""
-    known = classified(rois, marker).where(F.col("category").isin("PURKINJE", "FISSURE", "WHITE_MATTER"))
-    piece = Window.partitionBy("section_id", "instance")
-    last = F.row_number().over(Window.partitionBy("section_id", "instance", "category").orderBy(F.desc("roi_idx"))) == 1
-    known = known.withColumn("wm", F.max(F.col("category") == "WHITE_MATTER").over(piece)).withColumn("last", last)
-    empty = F.coalesce(F.size(F.get("rings", F.lit(0))), F.lit(0)) <= 0
-    counts = F.when(F.col("category") == "PURKINJE", F.col("last")).when(F.col("category") == "FISSURE", F.col("wm")).otherwise(F.lit(False))
-    code = F.when(F.col("category") == "FISSURE", "FISSURE_UNREADABLE").otherwise("PL_UNREADABLE")
-    found = known.where(counts & empty & ~F.coalesce(F.col("kind").isin(*AREAS), F.lit(False)))
-    return found.select("section_id", "instance", code.alias("code"), F.coalesce("name", F.lit("")).alias("about"))
+    twice = F.create_map(*(F.lit(x) for r, s in SINGLE.items() for x in (r, f"DUPLICATE_{s.upper()}")))[F.col("category")]
+    both = F.when(F.col("before").isNotNull() & twice.isNotNull(), F.struct(twice.alias("code"), F.concat(F.lit('"'), "before", F.lit('" and "'), "name", F.lit('"'), hint).alias("about")))
+    faults = [both]
+    if "empty" in named.columns:
+        counts = F.when(F.col("category") == "PURKINJE", ~F.col("more")).when(F.col("category") == "FISSURE", F.col("wm")).otherwise(F.lit(False))
+        code = F.when(F.col("category") == "FISSURE", "FISSURE_UNREADABLE").otherwise("PL_UNREADABLE")
+        line = ~F.coalesce(F.col("kind").isin(*AREAS), F.lit(False))
+        faults.append(F.when(counts & F.col("empty") & line, F.struct(code.alias("code"), F.col("name").alias("about"))))
+    found = known.withColumn("f", F.explode(F.array_compact(F.array(*faults))))
+    n = named.where(F.col("category").isNotNull()).groupBy("section_id").agg(F.countDistinct("instance").alias("n_inst"))
+    return found.join(n, "section_id").select("section_id", "instance", "n_inst", "f.code", "f.about")
 
 
 def problems(rois: DataFrame, sections: DataFrame | None = None, marker: str = OUTPUT_PROPERTY) -> DataFrame:
@@ -155,7 +159,18 @@ def problems(rois: DataFrame, sections: DataFrame | None = None, marker: str = O
     All problems of all pieces come at once; other sections are not affected. Those of a whole image (no
     name is known; with ``sections``, nothing is traced) have no instance.
     """
-    p = pieces(rois, marker)
+    return problems_of(narrow(rois, marker), sections)
+
+
+def narrow(rois: DataFrame, marker: str = OUTPUT_PROPERTY) -> DataFrame:
+    """What the checks read of regions and lines: no points, but whether there are none (``empty``)."""
+    empty = [(F.coalesce(F.size(F.get("rings", F.lit(0))), F.lit(0)) <= 0).alias("empty")] if "rings" in rois.columns else []
+    return classified(rois, marker).select("section_id", "roi_idx", "name", "kind", "output", "category", "instance", *empty)
+
+
+def problems_of(named: DataFrame, sections: DataFrame | None = None) -> DataFrame:
+    """``problems`` of regions in the form of ``narrow``."""
+    p = _pieces(named)
     wm, none = F.col("wm_area").isNotNull(), F.lit(None).cast("string")
     one = lambda test: F.when(test, 1).otherwise(0)
     number = F.when(F.col("n_inst") > 1, F.replace(F.lit(NUMBER_HINT), F.lit("%s"), F.col("instance").cast("string")))
@@ -165,17 +180,13 @@ def problems(rois: DataFrame, sections: DataFrame | None = None, marker: str = O
     found |= {"FISSURE_NOT_LINE": (F.when(wm, F.col("fissure_areas")).otherwise(0), F.col("fissure_names"))}
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("code"), n.cast("long").alias("n"), about.alias("about")) for c, (n, about) in found.items()))).alias("p")
     own = p.select("section_id", "instance", "n_inst", each).where("p.n > 0").select("section_id", "instance", "n_inst", "p.code", "p.n", "p.about")
-    single = duplicates(rois, marker)
-    if "rings" in rois.columns:
-        single = single.unionByName(unreadable(rois, marker))
-    twice = single.join(p.select("section_id", "instance", "n_inst"), ["section_id", "instance"])
-    own = own.unionByName(twice.select("section_id", "instance", "n_inst", "code", F.lit(1).cast("long").alias("n"), "about"))
+    own = own.unionByName(_single_faults(named).withColumn("n", F.lit(1).cast("long")))
     whole = lambda df, code, n, about: df.select("section_id", F.lit(None).cast("int").alias("instance"), F.lit(1).cast("long").alias("n_inst"), F.lit(code).alias("code"), n.cast("long").alias("n"), about.alias("about"))
     many = own.where(F.col("n_inst") > 1).select("section_id", F.col("n_inst").alias("k")).distinct()
-    nameless = classified(rois, marker).groupBy("section_id").agg(F.count(F.lit(1)).alias("k"), F.count("category").alias("named")).where("named = 0")
+    nameless = named.groupBy("section_id").agg(F.count(F.lit(1)).alias("k"), F.count("category").alias("named")).where("named = 0")
     every = own.unionByName(whole(many, "SEVERAL_PIECES", F.col("k"), F.col("k").cast("string"))).unionByName(whole(nameless, "NO_NAMES", F.col("k"), none))
     if sections is not None:
-        every = every.unionByName(whole(sections_without_rois(sections, rois), "NO_REGIONS", F.lit(0), none))
+        every = every.unionByName(whole(sections_without_rois(sections, named), "NO_REGIONS", F.lit(0), none))
     lead = F.when(F.col("instance").isNotNull(), prefix(F.col("instance"), F.col("n_inst"))).otherwise(F.lit(""))
     return every.select("section_id", "instance", "code", "n", F.concat(lead, _message(F.col("code"), F.col("about"))).alias("message"))
 
@@ -194,5 +205,10 @@ def fissure_requirement(rois: DataFrame, marker: str = OUTPUT_PROPERTY) -> DataF
 
 def measurable(rois: DataFrame, marker: str = OUTPUT_PROPERTY) -> DataFrame:
     """The classified rows of sections without any problem."""
-    bad = problems(rois, marker=marker).select("section_id").distinct()
+    return measured_rows(rois, problems(rois, marker=marker), marker)
+
+
+def measured_rows(rois: DataFrame, found: DataFrame, marker: str = OUTPUT_PROPERTY) -> DataFrame:
+    """The classified rows of sections that are not among the problems ``found``."""
+    bad = found.select("section_id").distinct()
     return classified(rois, marker).where(F.col("category").isNotNull()).join(bad, "section_id", "left_anti")

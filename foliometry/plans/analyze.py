@@ -25,6 +25,7 @@ _LAYER = {"CEREBELLUM": "cb", "GRANULAR_WM": "gl", "WHITE_MATTER": "wm"}
 @dataclass
 class Analysis:
     problems: DataFrame  # section_id, instance, code, n, message
+    good: DataFrame  # regions and lines of sections without problems, with category and instance
     cells: DataFrame  # spans cut at all layers, with derived layers
     cuts: DataFrame  # spanning cuts: KEYS, cut_id, idx, x, y
     labelled: DataFrame  # spans with label and how the cutting went
@@ -34,14 +35,16 @@ class Analysis:
     notes: DataFrame  # KEYS, level, code, percent
 
 
-def validate(rois: DataFrame, sections: DataFrame | None = None, marker: str = classify.OUTPUT_PROPERTY) -> tuple[DataFrame, DataFrame]:
-    """(measurable rows with category and instance, problems)."""
-    return classify.measurable(rois, marker), classify.problems(rois, sections, marker)
+def validate(rois: DataFrame, sections: DataFrame | None = None, marker: str = classify.OUTPUT_PROPERTY, keep=lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """(measurable rows with category and instance, problems). The names are read once, the checks once, if ``keep`` stores them."""
+    named = keep(classify.narrow(rois, marker))
+    problems = keep(classify.problems_of(named, sections))
+    return classify.measured_rows(rois, problems, marker), problems
 
 
 def analyze(rois: DataFrame, sections: DataFrame, keep=stored, marker: str = classify.OUTPUT_PROPERTY) -> Analysis:
     """Measures every valid piece. ``keep`` stores the tables that later steps read several times."""
-    good, problems = validate(rois, sections, marker)
+    good, problems = validate(rois, sections, marker, keep)
     good = keep(good)
     names = F.create_map(*(F.lit(x) for kv in _LAYER.items() for x in kv))
     shapes = good.where(F.col("category").isin(*_LAYER)).select(*KEYS, names[F.col("category")].alias("layer"), "rings")
@@ -87,7 +90,7 @@ def analyze(rois: DataFrame, sections: DataFrame, keep=stored, marker: str = cla
     area = lambda c: (F.coalesce(c, F.lit(0)) * pixel).alias("cerebellum" if c == "cb" else c)
     totals = keep(totals.select(*KEYS, *map(area, ("cb", "grey", "granular", "molecular")), "purkinje_len", (F.col("px") * pixel).alias("purkinje_area"), F.coalesce("joined", F.lit(False)).alias("joined"), area_unit(F.col("unit")).alias("area_unit"), length_unit(F.col("unit")).alias("length_unit")))
     notes = results.coverage(totals, parts, KEYS)
-    return Analysis(problems, cells, cuts, labelled, totals, parts, clip.runs(marked, KEYS), notes)
+    return Analysis(problems, good, cells, cuts, labelled, totals, parts, clip.runs(marked, KEYS), notes)
 
 
 def combine(analysis: Analysis) -> tuple[DataFrame, DataFrame]:

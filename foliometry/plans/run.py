@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import file_base
@@ -39,12 +40,20 @@ class Run:
     parts: DataFrame
     messages: DataFrame  # section_id, seq, instance, level, code, message
     info: DataFrame  # section_id, seq, field, value
+    seen: dict[str, Observation]  # what was counted while tables were written
     grid: DataFrame | None = None  # the results as text cells
     table: DataFrame | None = None  # the results as numbers
     regions: DataFrame | None = None  # in the form of the input, marked, so another run skips them
     overlay: DataFrame | None = None
     files: list[DataFrame] = field(default_factory=list)  # section_id, path
 
+    def counts(self) -> dict[str, int]:
+        """measured, pooled and set_aside images, problems, notes, warnings: counted as the run's tables were written, by no job of their own.
+
+        Waits for the first write of those tables if ``run`` was given a ``keep`` that does not write.
+        """
+        return {k: v for o in self.seen.values() for k, v in o.get.items()}
+
 
 def run(rois: DataFrame, sections: DataFrame, options: Options = Options(), keep=stored, drawn: DataFrame | None = None) -> Run:
     """Measures all images that have no problems, and makes what ``options`` ask for.
@@ -53,9 +62,14 @@ def run(rois: DataFrame, sections: DataFrame, options: Options = Options(), keep
     takes the place of those of earlier runs and keeps all others.
     """
     a = analyze(rois, sections, keep, options.marker)
-    problems = classify.problems(rois, sections, options.marker)
-    totals, parts = (keep(x) for x in combine(a))
-    good = classify.measurable(rois, options.marker)
+    seen = {name: Observation(f"{name}-{uuid.uuid4().hex}") for name in ("totals", "problems", "messages")}
+    one = lambda c: F.count(F.when(c, 1))
+    pooled, parts = combine(a)
+    totals, parts = keep(pooled.observe(seen["totals"], F.count(F.lit(1)).alias("measured"), one(F.col("pieces") > 1).alias("pooled"))), keep(parts)
+    first = F.row_number().over(Window.partitionBy("section_id").orderBy("code", "message")) == 1
+    problems = a.problems.withColumn("first", first).observe(seen["problems"], F.count(F.lit(1)).alias("problems"), one(F.col("first")).alias("set_aside"))
+    problems = keep(problems).drop("first")
+    good = a.good
     n_sections = a.parts.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
     said = [
         messages.of_names(rois, options.marker),
@@ -66,9 +80,10 @@ def run(rois: DataFrame, sections: DataFrame, options: Options = Options(), keep
         messages.of_coverage(a.notes),
         messages.of_pooling(totals, parts),
     ]
-    told = keep(messages.collected(said, classify.pieces(rois, options.marker)))
+    told = messages.collected(said, classify.pieces(rois, options.marker))
+    told = keep(told.observe(seen["messages"], one(F.col("level") == "NOTE").alias("notes"), one(F.col("level") == "WARNING").alias("warnings")))
     images = sections.join(totals.select("section_id"), "section_id", "left_semi")
-    out = Run(a, problems, totals, parts, told, _info(images, a, n_sections, told))
+    out = Run(a, problems, totals, parts, told, _info(images, a, n_sections, told), seen)
     if options.results_table:
         out.grid, out.table = report.results_grid(totals, parts), report.results_table(totals, parts)
     if options.add_regions:
