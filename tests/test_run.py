@@ -20,7 +20,7 @@ def done(spark, tmp_path_factory):
     made = [phantoms(spark, 1, what, f"{name}-") for name, what in cases.items()]
     images, rois = (reduce(lambda a, b: a.unionByName(b), part) for part in zip(*made, strict=True))
     ribbon = rois.where("section_id = 'ribbon-0'")
-    # one whose cuts do not reach, one with other names and regions of an earlier run, one with two pieces, two that cannot be measured
+    # one with a cut less, one with other names and regions of an earlier run, one with two pieces, two that cannot be measured
     far = ribbon.withColumn("section_id", F.lit("far-0")).where("name <> 'FL4'")
     odd = ribbon.where("name IN ('CB', 'GL+WM', 'PL', 'FL1')").withColumn("section_id", F.lit("odd-0"))
     odd = odd.unionByName(odd.where("name = 'CB'").withColumn("name", F.explode(F.array(F.lit("scale bar"), F.lit("Section 1_Granular")))).withColumn("roi_idx", F.lit(50)))
@@ -41,7 +41,17 @@ def test_messages_and_problems(done):
     said = {}
     for r in out.messages.orderBy("section_id", "seq").collect():
         said.setdefault(r.section_id.split("-")[0], []).append((r.level, r.code))
-    assert said == {}
+    # the ribbon's granular region reaches out of the section at its base, the ring's does not
+    beyond = ("NOTE", "OUTSIDE_CB")
+    assert said == {
+        "ribbon": [beyond],
+        "far": [beyond],
+        "back": [beyond, ("WARNING", "DIRECTION")],
+        "eight": [("WARNING", "JOINED")],
+        "odd": [("NOTE", "SKIPPED"), ("NOTE", "IGNORED"), ("NOTE", "FISSURES_IGNORED"), beyond],
+        "two": [("NOTE", "NO_WHITE_MATTER"), beyond, beyond, ("NOTE", "POOLED")],
+        "nameless": [("NOTE", "IGNORED")],
+    }
     assert {(r.section_id, r.code) for r in out.problems.collect()} == {("nameless-0", "NO_NAMES"), ("bare-0", "NO_REGIONS")}
     texts = {r.code: r.message for r in out.messages.where("section_id IN ('odd-0', 'two-0')").collect()}
     assert texts["SKIPPED"].startswith("Left out 1 ") and "scale bar" in texts["IGNORED"] and texts["NO_WHITE_MATTER"].startswith("[Instance 2] ")
