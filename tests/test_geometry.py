@@ -255,3 +255,22 @@ def test_stretches_hold_the_steps_that_are_walked(spark):
     assert {(r[0], r[1]): r[2] for r in marked.groupBy("sec", "label").agg(F.sum(clip.steps())).collect()} == {k: v[0] for k, v in inside.items()}
     assert all(abs(r.length - inside[r.sec, r.label][1]) < 1e-9 for r in clip.length_by_label(marked, ["sec"]).collect())
     assert marked.count() < sum(v[0] for v in inside.values()) / 2
+
+
+def test_outlines_are_dealt_out_and_their_spans_stay(spark, monkeypatch):
+    """One file of few outlines makes its spans in many tasks; grouping by scanline shuffles no spans; nothing is broadcast."""
+    rings = [[[(5.0, 5.0), (45.0, 5.0), (45.0, 65.0), (5.0, 65.0)], [(20.0, 20.0), (30.0, 20.0), (30.0, 30.0), (20.0, 30.0)]], [[(8.0, 80.0), (30.0, 80.0), (None, 81.0), (30.0, 99.0)]]]
+    rows = [(i, layer, [[{"x": x, "y": y} for x, y in r] for r in shape]) for i in range(40) for layer in ("cb", "gl") for shape in rings]
+    shapes_ = spark.createDataFrame(rows, "sec int, layer string, rings array<array<struct<x: double, y: double>>>").coalesce(1)
+    filled = spans.rasterize(shapes_, ["sec", "layer"])
+    want = sorted(tuple(r) for r in filled.collect())
+    assert len({r[0] for r in filled.select(F.spark_partition_id()).distinct().collect()}) > 1
+    cut = spans.cells(filled, ["sec"], ["cb", "gl"])
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    points = spark.createDataFrame([(1, 0, 6.0, 6.0)], "sec int, k int, qx double, qy double")
+    assert "BroadcastHashJoin" not in spans.points_in(points, filled, ["sec"], ["k"])._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(spans, "CROSSINGS", 7)  # bands of few scanlines give the same
+    assert sorted(tuple(r) for r in spans.rasterize(shapes_, ["sec", "layer"]).collect()) == want
+    one = [r for r in want if r[:2] == (3, "cb")]
+    assert [r for r in one if r[2] == 25] == [(3, "cb", 25, 5, 20), (3, "cb", 25, 30, 45)] and len([r for r in one if r[2] == 90]) == 1
