@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from foliometry.operators import report, results
 from foliometry.plans.analyze import KEYS, analyze, combine
-from foliometry.sources import sinks
+from foliometry.sources import sinks, tables
 from foliometry.sources.files import folder_name
 from foliometry.sources.phantom import Phantom, phantoms
 from foliometry.streaming.batches import measure_stream
@@ -236,3 +236,10 @@ def test_a_failed_write_leaves_the_files_as_they_were(spark, tmp_path):
     put(of())
     with pytest.raises(Exception, match="append"):
         broken.write.format("section_files").mode("overwrite").option("folder", str(tmp_path)).option("file", "x").save()
+
+
+def test_rows_that_few_keys_grow_to_are_not_broadcast(spark):
+    """Spark takes outlines and cuts for as small as their suppliers' keys."""
+    suppliers = spark.read.parquet("/root/testdata/sf0.001/supplier.parquet")
+    joined = tables.cuts_of(suppliers).join(tables.octagons_of(suppliers).drop("rings"), "section_id")
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
