@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..plans.store import stored
 from . import raster
@@ -109,3 +111,22 @@ def _outlines(spans: DataFrame, keys: list[str]) -> DataFrame:
 
     schema = _schema(spans, keys, "rings array<array<struct<x: double, y: double>>>")
     return spans.select(*keys, "y", "x0", "x1").groupBy(*keys).applyInPandas(trace, schema)
+
+
+def outline_vertices(spans: DataFrame, keys: list[str], most_spans: int = KERNEL_SPANS) -> DataFrame:
+    """keys, ring, idx, x, y: the rows of ``connected.outline_vertices``, which takes the images of more than ``most_spans`` spans."""
+    from . import connected
+
+    return by_size(spans.select(*keys, "y", "x0", "x1"), keys, most_spans, lambda rows: _outline_vertices(rows, keys), lambda rows: connected.outline_vertices(rows, keys, stored))
+
+
+def _outline_vertices(spans: DataFrame, keys: list[str]) -> DataFrame:
+    schema = _schema(spans, keys, "ring int, idx int").add("x", spans.schema["x0"].dataType).add("y", spans.schema["y"].dataType)
+    arrow = to_arrow_schema(schema)
+
+    def trace(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        found = raster.ring_corners(*(rows.column(c).to_numpy() for c in ("y", "x0", "x1")))
+        columns = [pa.repeat(k, len(found[0])) for k in key] + [pa.array(c) for c in found]
+        return pa.table([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return spans.groupBy(*keys).applyInArrow(trace, schema)

@@ -33,6 +33,42 @@ def mask_of(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, shape: tuple[int, int
     return paint(np.zeros(shape, bool), y, x0, x1, True)
 
 
+def joined_runs(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> Runs:
+    """Runs of one line that overlap or touch as one, in the order of lines and columns."""
+    order = np.lexsort((x1, x0, y))
+    y, x0, x1 = (np.asarray(c, np.int64)[order] for c in (y, x0, x1))
+    line = np.cumsum(np.append(0, y[1:] != y[:-1])) * (int(x1.max()) - int(x0.min()) + 2)  # lines apart, so one running maximum serves them all
+    reach = np.maximum.accumulate(x1 + line)
+    first = np.flatnonzero(np.append(True, x0[1:] + line[1:] > reach[:-1]))
+    return y[first], x0[first], (reach - line)[np.append(first[1:], len(y)) - 1]
+
+
+def ring_corners(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ring, idx, x, y) of the outlines of runs, as ``connected.outline_vertices`` has them and with the same steps.
+
+    Corners come in pairs along lines and columns; pointers that double their reach find each circle's first corner and how far it is.
+    """
+    y, x0, x1 = joined_runs(y, x0, x1)
+    place, n = np.unique(np.concatenate([((y + d) << 32) + x + (1 << 31) for d in (0, 1) for x in (x0, x1)]), return_counts=True)
+    place = place[n % 2 == 1]
+    y, x = place >> 32, (place & 0xFFFFFFFF) - (1 << 31)
+    here = np.arange(len(y))
+    beside, below, column = here ^ 1, np.empty_like(here), np.lexsort((y, x))
+    below[column] = column[here ^ 1]
+    root, far, to, reach, moved = here, np.zeros_like(here), below[beside], 1, True
+    while moved:
+        less = root[to] < root
+        far, root = np.where(less, far[to] + reach, far), np.where(less, root[to], root)
+        to, reach, moved = to[to], 2 * reach, bool(less.any())
+    own = np.flatnonzero(root < root[beside])
+    own = own[np.lexsort((-far[own], far[own] != 0, root[own]))]
+    begin = np.append(True, root[own][1:] != root[own][:-1])[: len(own)]
+    ring, k = np.cumsum(begin) - 1, np.arange(len(own))
+    k = k - k[begin][ring]
+    both = np.stack([own, beside[own]], 1).ravel()
+    return np.repeat(ring, 2), np.stack([2 * k, 2 * k + 1], 1).ravel(), x[both], np.repeat(y[own], 2)
+
+
 def spans_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(y, x0, x1, value) of the runs of equal values that are not negative; true counts as 0."""
     h, w = values.shape

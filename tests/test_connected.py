@@ -103,6 +103,18 @@ def test_outlines_fill_to_the_same_pixels(spark, spans, keep):
     assert connected.outline_vertices(spans.where("y > 1000"), KEYS, keep).count() == 0
 
 
+def test_outlines_of_images_within_the_bound_take_no_rounds(spark, spans, keep, monkeypatch):
+    more = spark.createDataFrame([("a", 0, 0, 0, 9), ("a", 0, 0, 2, 3), ("a", 0, 0, 9, 11), ("a", 0, 1, 3, 5), ("a", 0, -4, 7, 8), ("a", 1, 2, 3, 3)], "image string, piece int, y int, x0 int, x1 int")
+    every = spans.unionByName(more)
+    plain = connected.outline_vertices(every, KEYS, keep)
+    want = rows(plain)
+    some = components.outline_vertices(every, KEYS, most_spans=40)
+    assert some.dtypes == plain.dtypes and rows(some) == want  # some images beyond it, some not
+    monkeypatch.setattr(components, "stored", None)  # no table is written
+    got = components.outline_vertices(every, KEYS)
+    assert rows(got) == want and rows(components.outline_vertices(every.where("y > 1000"), KEYS)) == []
+
+
 def test_overlapping_spans_have_one_outline_and_long_rings_need_few_rounds(spark):
     rows_ = [("a", 0, 0, 0, 9), ("a", 0, 0, 2, 3), ("a", 0, 0, 9, 11), ("a", 0, 1, 3, 5)]
     stairs = [("b", 0, y, 0, 3 * y + 1) for y in range(3000)]
