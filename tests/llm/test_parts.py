@@ -185,3 +185,15 @@ def test_tokens_are_those_of_the_other_library():
     for _ in range(200):
         text = "".join(rng.choice(["the ", "é", "\n", "  ", "<|endoftext|>", "it's", "42", "日本", "​", "🙂", "\r\n\t"]) for _ in range(rng.randint(0, 30)))
         assert own.encode(text) == own.plain(text)
+
+
+def test_heavy_shingles_are_found_however_few_of_a_batch_hold_them(spark, monkeypatch):
+    line = "one line that stands in many texts of all batches"
+    rows = [(i, f"{line} " * (i % 4 == 0) + " ".join(f"w{i}x{k}" for k in range(30))) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(160)  # five texts each, one or two of them with the line
+    n = 800 * 26 + 200 * 10
+    want = set(np.unique(textops.shingle_sets(*textops.buffers(pa.array([line])), 5)[1].view(np.int64)).tolist())
+    assert {r.key for r in jaccard._heavy(docs, 5, n).collect()} == want
+    monkeypatch.setattr(jaccard, "HEAVY_SHINGLES", n // 7)  # every eighth document stands for the others, in several buckets
+    monkeypatch.setattr(jaccard, "BUCKET_SHINGLES", n // 40)
+    assert {r.key for r in jaccard._heavy(docs, 5, n).collect()} == want
