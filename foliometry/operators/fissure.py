@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import length, normalised
 from . import polyline
-from .spans import edges, points_in
+from .spans import dealt_by_count, edges, points_in
 
 #: Pixels of an extension's step; bounds of its length; samples along a cut.
 STEP, LEAST_REACH, REACH_FACTOR, DIAGONAL_SHARE = 2.0, 15.0, 3.0, 0.30
 LEAST_SAMPLES, MOST_SAMPLES = 20, 300
+#: Vertices of cuts whose samples one task has: up to MOST_SAMPLES for a cut.
+VERTICES = 1 << 13
 DEPTHS = {"wm": 3, "gl": 2, "cb": 1}
 
 
@@ -63,9 +65,12 @@ def oriented(lines: DataFrame, decisions: DataFrame, keys: list[str], line_key:
 
 
 def crossing_arcs(lines: DataFrame, reference: DataFrame, keys: list[str], line_key: str) -> DataFrame:
-    """keys, line_key, arc, dist: where a cut comes nearest the reference line."""
+    """keys, line_key, arc, dist: where a cut comes nearest the reference line.
+
+    Cuts are dealt out by image before they grow to samples, which meet the reference line where they are made.
+    """
     own = [*keys, line_key]
-    segs = polyline.segments(lines, own)
+    segs = polyline.segments(dealt_by_count(lines, VERTICES, *keys), own)
     lengths = segs.groupBy(*own).agg(F.max("cum1").alias("length"))
     n = F.floor(F.greatest(F.lit(float(LEAST_SAMPLES)), F.least(F.lit(float(MOST_SAMPLES)), F.col("length"))))
     points = polyline.points_at(segs, polyline.sampled(lengths, own, n), own)
