@@ -274,3 +274,17 @@ def test_outlines_are_dealt_out_and_their_spans_stay(spark, monkeypatch):
     assert sorted(tuple(r) for r in spans.rasterize(shapes_, ["sec", "layer"]).collect()) == want
     one = [r for r in want if r[:2] == (3, "cb")]
     assert [r for r in one if r[2] == 25] == [(3, "cb", 25, 5, 20), (3, "cb", 25, 30, 45)] and len([r for r in one if r[2] == 90]) == 1
+
+
+def test_lines_are_dealt_out_by_their_number_before_they_grow(spark, monkeypatch):
+    rows = [(s, i, 3.0 * i, 40.0 * (i % 2)) for s in range(60) for i in range(5)]
+    lines = spark.createDataFrame(rows, "sec int, idx int, x double, y double").coalesce(1)
+    monkeypatch.setattr(clip, "VERTICES", 10)
+    walked = clip.stretches(lines, ["sec"])
+    task = {(r.sec, r.task) for r in walked.select("sec", F.spark_partition_id().alias("task")).collect()}
+    assert len(task) == 60 == len(dict(task)) and len(set(dict(task).values())) > 8  # 30 tasks, though few bytes; no shuffle after it
+    monkeypatch.setattr(fissure, "VERTICES", 10)
+    cuts = lines.withColumn("cut_id", F.lit(0))
+    arcs = fissure.crossing_arcs(cuts, lines, ["sec"], "cut_id")
+    assert "30), REPARTITION_BY_NUM" in arcs._jdf.queryExecution().toString()
+    assert arcs.count() == 60
