@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 WORD = r"(^|[^\p{{L}}\p{{Nd}}]){}($|[^\p{{L}}\p{{Nd}}])"
 FISSURE = r"fissure|(^|[^\p{L}\p{Nd}])fl($|[^\p{L}])"
 GRANULAR = r"granular|gl\+wm|glwm|gl_wm|gl-wm|gl wm"
+#: A token of two letters with no letter before it; for Spark only. Digits may precede, as those that a name begins with are left out.
+TOKEN_BEGINS = r"[fpgwc][lmb](?<!\p{L}..)"
 OUTPUT_NAME = r"(?i)^(\[\d+\] .*|(\d+(/\d+)?Cb|Section \d+)_(Granular|Molecular|Purkinje))$"
 STANDARD_LABELS = ("2Cb", "3Cb", "4/5Cb", "6Cb", "7Cb", "8Cb", "9Cb", "10Cb")
 DEFAULT_FILE = "Output"

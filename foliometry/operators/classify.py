@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import FISSURE, GRANULAR, OUTPUT_NAME, word
+from ..functions.text import FISSURE, GRANULAR, OUTPUT_NAME, TOKEN_BEGINS, word
 from ..sources.model import sections_without_rois
 
 #: Property that marks what an earlier run has added. Regions of other programs may bear another one: give it as ``marker``.
@@ -13,6 +16,7 @@ OUTPUT_PROPERTY = "section-morphometry-output"
 MOST_LISTED = 10
 #: Roles that a piece has once.
 SINGLE = {"CEREBELLUM": "cb", "GRANULAR_WM": "gl", "WHITE_MATTER": "wm", "PURKINJE": "pl"}
+LONG_WORDS = ("fissure", "purkinje", "granular", "cerebellum", "white")
 AREAS = ("POLYGON", "RECTANGLE", "OVAL", "COMPOSITE")
 #: Share of a region outside its parent that is worth a note.
 TOLERATED_OUTSIDE = 0.005
@@ -29,18 +33,26 @@ def instance_of(name: Column) -> Column:
     return F.when(digits == "", F.lit(1)).otherwise(F.when(value > 0, value))
 
 
-def category_of(name: Column) -> Column:
-    """The first role whose pattern the name holds; null for none."""
-    n = bare_name(name)
-    granular = n.rlike(GRANULAR) | (n.rlike(word("gl")) & n.rlike(word("wm")))
-    found = (
-        F.when(n.rlike(FISSURE), "FISSURE")
-        .when(n.contains("purkinje") | n.rlike(word("pl")), "PURKINJE")
+def may_have_role(lower: Column) -> Column:
+    """False for most names in small letters that have no role: each role's pattern needs a long word, a token's beginning, or gl and wm."""
+    return reduce(or_, (lower.contains(w) for w in LONG_WORDS)) | lower.rlike(TOKEN_BEGINS) | (lower.contains("gl") & lower.contains("wm"))
+
+
+def role_of(bare: Column) -> Column:
+    """The first role whose pattern a bare name holds; null for none."""
+    granular = bare.rlike(GRANULAR) | (bare.rlike(word("gl")) & bare.rlike(word("wm")))
+    return (
+        F.when(bare.rlike(FISSURE), "FISSURE")
+        .when(bare.contains("purkinje") | bare.rlike(word("pl")), "PURKINJE")
         .when(granular, "GRANULAR_WM")
-        .when(n.contains("cerebellum") | n.rlike(word("cb")), "CEREBELLUM")
-        .when(n.contains("white") | n.rlike(word("wm")), "WHITE_MATTER")
+        .when(bare.contains("cerebellum") | bare.rlike(word("cb")), "CEREBELLUM")
+        .when(bare.contains("white") | bare.rlike(word("wm")), "WHITE_MATTER")
     )
-    return F.when(instance_of(name).isNotNull(), found)
+
+
+def category_of(name: Column) -> Column:
+    """The role of a name whose leading number is one of a piece; null for none."""
+    return F.when(instance_of(name).isNotNull(), role_of(bare_name(name)))
 
 
 def is_output(name: Column, props: Column | None = None, marker: str = OUTPUT_PROPERTY) -> Column:

@@ -30,6 +30,18 @@ def names_of(text: Column, separators: str) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(names)
 
 
+def judged(names: Column) -> Column:
+    """name, output and role of each name of a list (name, lower).
+
+    Nothing is shared within a lambda, so each step that the next one reads several times is an array of its
+    own; patterns are tried only on names that may have a role. Null for the role of output and unknown names.
+    """
+    may = lambda x: ~x["output"] & classify.may_have_role(x["lower"]) & classify.instance_of(x["name"]).isNotNull()
+    marked = F.transform(names, lambda x: F.struct(x["name"], x["lower"], classify.is_output(x["name"]).alias("output")))
+    bared = F.transform(marked, lambda x: F.struct(x["name"], x["output"], F.when(may(x), classify.bare_name(x["name"])).alias("bare")))
+    return F.transform(bared, lambda x: F.struct(x["name"], x["output"], F.when(x["bare"].isNotNull(), classify.role_of(x["bare"])).alias("role")))
+
+
 def audited(lists: DataFrame, config: dict[str, Any]) -> DataFrame:
     """doc_id, lang, n_names, n_unnamed, n_output, n_ignored, n_twice, one count a role, missing, shown, and the partition's column.
 
@@ -38,12 +50,8 @@ def audited(lists: DataFrame, config: dict[str, Any]) -> DataFrame:
     """
     part = config["partition_by"]
 
-    def judged(name: Column) -> Column:
-        output = classify.is_output(name)
-        return F.struct(name.alias("name"), output.alias("output"), F.when(~output, classify.category_of(name)).alias("role"))
-
-    names = names_of(F.col("text"), config["separators"])
-    rows = lists.select("doc_id", F.col(part).cast("string").alias(part), "lang", F.transform(names, judged).alias("n"))
+    names = F.transform(names_of(F.col("text"), config["separators"]), lambda name: F.struct(name.alias("name"), F.lower(name).alias("lower")))
+    rows = lists.select("doc_id", F.col(part).cast("string").alias(part), "lang", judged(names).alias("n"))
     n, ignored = F.col("n"), F.filter("n", lambda x: ~x["output"] & x["role"].isNull())
     count = lambda test: F.size(F.filter(n, test)).cast("long")
     has = lambda role: lambda x: F.coalesce(x["role"] == role, F.lit(False))
@@ -52,7 +60,7 @@ def audited(lists: DataFrame, config: dict[str, Any]) -> DataFrame:
     more = F.when(F.size(ignored) > classify.MOST_LISTED, F.lit(", …")).otherwise(F.lit(""))
     return rows.select(
         "doc_id", part, "lang", F.size(n).cast("long").alias("n_names"), count(lambda x: x["name"] == "").alias("n_unnamed"), count(lambda x: x["output"]).alias("n_output"),
-        F.size(ignored).cast("long").alias("n_ignored"), (F.size(n) - F.size(F.array_distinct("n"))).cast("long").alias("n_twice"),
+        F.size(ignored).cast("long").alias("n_ignored"), (F.size(n) - F.size(F.array_distinct("n.name"))).cast("long").alias("n_twice"),
         *(c.alias(f"n_{role.lower()}") for role, c in of.items()),
         F.array_join(F.array_compact(F.array(*(F.when(of[role] == 0, F.lit(role)) for role in config["required"]))), ",").alias("missing"),
         F.concat(F.array_join(shown, ", "), more).alias("shown"),

@@ -3,9 +3,12 @@
 import glob
 import os
 import shutil
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
+from foliometry.operators import classify
 from jobs import measure_images, name_audit, settings
 
 LISTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -48,6 +51,29 @@ def test_lists_are_judged(spark, at):
     assert many["n_ignored"] == 12 and many["shown"] == ", ".join(f"spot {i}" for i in range(10)) + ", …"
 
 
+def test_a_long_list_takes_time_as_it_is_long(spark, at):
+    n = 60_000  # comparing each name with each other takes over half a minute
+    names = [f"spot {i} of the plate" for i in range(n)] + ["PL", "spot 7 of the plate"]
+    rows = spark.createDataFrame([(1, "\n".join(names), "en", "lab a", 0)], LISTS)
+    began = time.time()
+    (got,) = name_audit.audited(rows, settings.settings("name_audit")).collect()
+    assert time.time() - began < 15
+    assert (got["n_names"], got["n_twice"], got["n_ignored"], got["n_purkinje"], got["missing"]) == (n + 2, 1, n + 1, 1, "CEREBELLUM,GRANULAR_WM")
+
+
+def test_names_whose_patterns_are_not_tried_have_no_role(spark):
+    tokens = ["fl", "pl", "gl", "wm", "cb", "gl+wm", "glwm", "gl_wm", "gl-wm", "gl wm", "wm gl", "fissure", "Purkinje", "granular", "Cerebellum", "White", "FL", "Pl", "spot", ""]
+    around = ["", " ", "2", "0", "12345", "x", "ß", "é", "٣", "𐐨", "😀", "_", "-", "fl", "\r", "\u2028", "[1] "]
+    names = [a + t + b for t in tokens for a in around for b in around] + ["a 2cb", "flow gl", "2\u03a3cb", "PURK\u0130NJE", "wm2gl2", "Section 3_Purkinje", "2Cb_Granular"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    plain = F.when(~classify.is_output(F.col("name")), classify.category_of(F.col("name")))
+    given = F.array(F.struct("name", F.lower("name").alias("lower")))
+    rows = df.select("name", plain.alias("want"), name_audit.judged(given)[0].alias("got")).collect()
+    assert [(r["name"], r["want"]) for r in rows if r["got"]["role"] != r["want"]] == []
+    found = {r["want"] for r in rows}
+    assert found == {*name_audit.ROLES, None} and sum(r["want"] is None for r in rows) > 1000
+
+
 def test_a_second_run_takes_only_what_is_new(spark, at):
     put(spark, FIRST, LISTS, at["lists"], "first")
     assert name_audit.run(spark, at["lists"], at["out"], at["seen"]) == 5
