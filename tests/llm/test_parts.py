@@ -197,3 +197,13 @@ def test_heavy_shingles_are_found_however_few_of_a_batch_hold_them(spark, monkey
     monkeypatch.setattr(jaccard, "HEAVY_SHINGLES", n // 7)  # every eighth document stands for the others, in several buckets
     monkeypatch.setattr(jaccard, "BUCKET_SHINGLES", n // 40)
     assert {r.key for r in jaccard._heavy(docs, 5, n).collect()} == want
+
+
+def test_heavy_shingles_are_counted_over_all_documents(spark, monkeypatch):
+    rows = [(20 * k + i, f"line {k} that stands in {19 + k % 2} of all texts " * (i < 19 + k % 2) + " ".join(f"w{k}x{i}x{j}" for j in range(9))) for k in range(24) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    lines = pa.array([f"line {k} that stands in 20 of all texts" for k in range(1, 24, 2)])
+    want = np.unique(textops.shingle_sets(*textops.buffers(lines), 5)[1].view(np.int64)).tolist()
+    common = np.unique(textops.shingle_sets(*textops.buffers(pa.array(["that stands in 19 of all texts"])), 5)[1].view(np.int64)).tolist()
+    monkeypatch.setattr(jaccard, "HEAVY_SHINGLES", 24 * 20 * 12 // 7)
+    assert sorted(r.key for r in jaccard._heavy(docs, 5, 24 * 20 * 12).collect()) == sorted({*want, *common})
