@@ -76,7 +76,7 @@ def analyze(rois: DataFrame, sections: DataFrame, keep=stored, marker: str = cla
     ordered = results.labelled(ordered, KEYS, F.col("joined"))
 
     walked = keep(clip.stretches(lines, KEYS))
-    marked = keep(clip.labelled_stretches(walked, labelled, KEYS))
+    marked = keep(clip.clipped(lines, labelled, KEYS))
     across, down = (F.col("x2") - F.col("x")) * F.col("px_w"), (F.col("y2") - F.col("y")) * F.col("px_h")
     scaled = lambda rows: rows.join(scale, "section_id").withColumn("step_len", F.sqrt(across * across + down * down) / F.col("n"))
     within = clip.length_by_label(scaled(marked), KEYS)

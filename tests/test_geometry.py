@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from foliometry.operators import clip, components, fissure, partition, polyline, raster, spans
+from foliometry.queries import measures
 
 LINE = "sec int, idx int, x double, y double"
 
@@ -288,3 +289,28 @@ def test_lines_are_dealt_out_by_their_number_before_they_grow(spark, monkeypatch
     arcs = fissure.crossing_arcs(cuts, lines, ["sec"], "cut_id")
     assert "30), REPARTITION_BY_NUM" in arcs._jdf.queryExecution().toString()
     assert arcs.count() == 60
+
+
+def test_a_line_is_clipped_where_it_meets_its_spans(spark, monkeypatch):
+    """As the stretches within spans are, those that follow each other as one; also of lines on pixel borders, and in small pieces."""
+    rng = random.Random(4)
+    near = lambda: rng.choice([rng.uniform(-3, 9), float(rng.randrange(-3, 9)), rng.randrange(-12, 36) / 4])
+    rows = [(k % 7, k, i, near(), near()) for k in range(40) for i in range(9)] + [(1, None, 0, 1.0, 1.0), (1, None, 1, 5.0, 5.0), (1, 50, 0, 1.0, 1.0), (1, 51, 0, None, 1.0), (1, 51, 1, 2.0, 2.0)]
+    region = [(k % 7, k, y, a, a + 2, "abcd"[(a + 3) % 4]) for k in range(1, 60) for y in range(-3, 9, 1 + k % 2) for a in (-3, -1, 2, 6)] + [(1, None, 2, 0, 9, "a")]
+    keys = ["sec", "no"]
+    lines = spark.createDataFrame(rows, "sec int, no int, idx int, x double, y double")
+    spans_ = spark.createDataFrame(region, "sec int, no int, y int, x0 int, x1 int, label string")
+    want = clip.labelled_stretches(clip.stretches(lines, keys, 2.0, 0.5), spans_, keys).cache()
+    steps_of = lambda df: sorted(tuple(r) for r in df.select(*keys, "seg", "x", "y", "x2", "y2", "n", "step_len", "label", F.explode(F.sequence("s0", "s1"))).collect())
+    runs_of = lambda df: sorted(tuple(r) for r in clip.runs(df, keys).collect())
+    got = clip.clipped(lines, spans_, keys, 2.0, 0.5).cache()
+    assert steps_of(got) == steps_of(want) and runs_of(got) == runs_of(want)
+    assert got.count() < want.count() * 0.8
+    monkeypatch.setattr(clip, "PAIRS", 5)
+    again = clip.clipped(lines, spans_, keys, 2.0, 0.5)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, got.collect()))
+
+
+def test_runs_of_lines_move_no_stretches(spark):
+    plan = measures.line_runs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(row#" not in plan and "explode(sequence(" not in plan  # a stretch for each scanline is neither made nor moved
