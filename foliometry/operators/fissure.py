@@ -36,7 +36,7 @@ def line_ends(lines: DataFrame, keys: list[str]) -> DataFrame:
     return lines.groupBy(*keys).agg(F.min_by(v, "idx").alias("a"), F.max_by(v, "idx").alias("b"), F.max("idx").alias("last"))
 
 
-def outer_end_first(lines: DataFrame, spans: DataFrame, shapes: DataFrame, keys: list[str], line_key: str) -> DataFrame:
+def outer_end_first(lines: DataFrame, spans: DataFrame, shapes: DataFrame, keys: list[str], line_key: str, most_sides: int | None = polyline.KERNEL_SIDES) -> DataFrame:
     """keys, line_key, depth_a, depth_b, reversed: whether the last vertex is the outer end.
 
     The shallower end is outside. Of equal depths, the end farther from white matter (by over
@@ -48,7 +48,7 @@ def outer_end_first(lines: DataFrame, spans: DataFrame, shapes: DataFrame, keys:
     pk = [line_key, "end"]
     deep = nesting_depth(points, spans, keys, pk)
     for layer in ("wm", "cb"):
-        near = polyline.nearest(outline_segments(shapes.where(F.col("layer") == layer), keys), points, keys, pk)
+        near = polyline.nearest(outline_segments(shapes.where(F.col("layer") == layer), keys), points, keys, pk, most_sides)
         deep = deep.join(near.select(*keys, *pk, F.col("dist").alias(f"to_{layer}")), [*keys, *pk], "left")
     side = lambda end: [F.max(F.when(F.col("end") == end, F.col(c))).alias(f"{n}_{end}") for c, n in (("depth", "depth"), ("to_wm", "wm"), ("to_cb", "cb"))]
     both = deep.groupBy(*keys, line_key).agg(*side("a"), *side("b"))
@@ -100,13 +100,13 @@ def _extended(lines: DataFrame, spans: DataFrame, reach: DataFrame, keys: list[s
     return lines.select(*own, "idx", "x", "y").unionByName(first.select(*own, new_idx.alias("idx"), F.col("p.qx").alias("x"), F.col("p.qy").alias("y")))
 
 
-def reaches(lines: DataFrame, shapes: DataFrame, diagonals: DataFrame, keys: list[str], line_key: str, at_start: bool, layer: str) -> DataFrame:
+def reaches(lines: DataFrame, shapes: DataFrame, diagonals: DataFrame, keys: list[str], line_key: str, at_start: bool, layer: str, most_sides: int | None = polyline.KERNEL_SIDES) -> DataFrame:
     """keys, line_key, reach: how far an end may be extended."""
     own = [*keys, line_key]
     ends = line_ends(lines, own)
     end = "a" if at_start else "b"
     points = ends.select(*own, F.col(f"{end}.x").alias("qx"), F.col(f"{end}.y").alias("qy"))
-    near = polyline.nearest(outline_segments(shapes.where(F.col("layer") == layer), keys), points, keys, [line_key])
+    near = polyline.nearest(outline_segments(shapes.where(F.col("layer") == layer), keys), points, keys, [line_key], most_sides)
     cap = F.least(F.lit(DIAGONAL_SHARE) * F.col("diagonal"), F.greatest(F.lit(LEAST_REACH), F.lit(REACH_FACTOR) * F.col("dist")))
     return near.join(diagonals, keys).select(*own, cap.alias("reach"))
 
@@ -117,14 +117,14 @@ def diagonals(spans: DataFrame, keys: list[str]) -> DataFrame:
     return spans.where(F.col("layer") == "cb").groupBy(*keys).agg(F.sqrt((w * w + h * h).cast("double")).alias("diagonal"))
 
 
-def spanning_cuts(lines: DataFrame, spans: DataFrame, shapes: DataFrame, keys: list[str], line_key: str, keep=lambda df: df) -> DataFrame:
+def spanning_cuts(lines: DataFrame, spans: DataFrame, shapes: DataFrame, keys: list[str], line_key: str, keep=lambda df: df, most_sides: int | None = polyline.KERNEL_SIDES) -> DataFrame:
     """keys, line_key, idx, x, y of oriented lines that begin outside the outline and end in white matter.
 
     Each end is looked at several times; ``keep`` stores the lines in between.
     """
     d, lines = diagonals(spans, keys), keep(lines)
-    out = keep(_extended(lines, spans, reaches(lines, shapes, d, keys, line_key, True, "cb"), keys, line_key, True, "cb", False))
-    return _extended(out, spans, reaches(out, shapes, d, keys, line_key, False, "wm"), keys, line_key, False, "wm", True)
+    out = keep(_extended(lines, spans, reaches(lines, shapes, d, keys, line_key, True, "cb", most_sides), keys, line_key, True, "cb", False))
+    return _extended(out, spans, reaches(out, shapes, d, keys, line_key, False, "wm", most_sides), keys, line_key, False, "wm", True)
 
 
 def with_white_matter(lines: DataFrame, shapes: DataFrame, keys: list[str]) -> DataFrame:

@@ -42,10 +42,18 @@ def validate(rois: DataFrame, sections: DataFrame | None = None, marker: str = c
     return classify.measured_rows(rois, problems, marker), problems
 
 
+def _most_sides(good: DataFrame) -> int | None:
+    """The bound of ``polyline.nearest`` if an outline or line has more vertices, else None: they are counted once for all its calls."""
+    n = F.aggregate("rings", F.lit(0).cast("long"), lambda n, ring: n + F.coalesce(F.size(ring), F.lit(0)))
+    many = good.groupBy(*KEYS, "category").agg(F.sum(n).alias("n")).where(F.col("n") > polyline.KERNEL_SIDES)
+    return None if many.isEmpty() else polyline.KERNEL_SIDES
+
+
 def analyze(rois: DataFrame, sections: DataFrame, keep=stored, marker: str = classify.OUTPUT_PROPERTY) -> Analysis:
     """Measures every valid piece. ``keep`` stores the tables that later steps read several times."""
     good, problems = validate(rois, sections, marker, keep)
     good = keep(good)
+    most_sides = _most_sides(good)
     names = F.create_map(*(F.lit(x) for kv in _LAYER.items() for x in kv))
     shapes = good.where(F.col("category").isin(*_LAYER)).select(*KEYS, names[F.col("category")].alias("layer"), "rings")
     scale = sections.select("section_id", "width", "height", "px_w", "px_h", "unit")
@@ -55,8 +63,8 @@ def analyze(rois: DataFrame, sections: DataFrame, keep=stored, marker: str = cla
     lines = line_vertices(good.where(F.col("category") == "PURKINJE"), KEYS)
     traced = fissure.with_white_matter(good.where(F.col("category") == "FISSURE"), shapes, KEYS)
     traced = line_vertices(traced.select(*KEYS, F.col("roi_idx").alias("cut_id"), "rings"), [*KEYS, "cut_id"])
-    decisions = fissure.outer_end_first(traced, filled, shapes, KEYS, "cut_id")
-    cuts = keep(fissure.spanning_cuts(fissure.oriented(traced, decisions, KEYS, "cut_id"), filled, shapes, KEYS, "cut_id", keep))
+    decisions = fissure.outer_end_first(traced, filled, shapes, KEYS, "cut_id", most_sides)
+    cuts = keep(fissure.spanning_cuts(fissure.oriented(traced, decisions, KEYS, "cut_id"), filled, shapes, KEYS, "cut_id", keep, most_sides))
     grey = cells.where("grey").select(*KEYS, "y", "x0", "x1")
     labelled = keep(partition(grey, cuts, KEYS))
 
@@ -65,26 +73,24 @@ def analyze(rois: DataFrame, sections: DataFrame, keep=stored, marker: str = cla
     lengths = segs.groupBy(*KEYS).agg(F.max("cum1").alias("length"))
     samples = polyline.points_at(segs, polyline.sampled(lengths, KEYS, F.greatest(F.lit(1), F.ceil("length"))), KEYS)
     where = labelled.select(*KEYS, "y", "x0", "x1", "label", F.col("label").alias("layer"))
-    points = samples.select(*KEYS, "k", F.col("px").alias("qx"), F.col("py").alias("qy"))
-    found = spans.points_in(points, where, KEYS, ["k"]).select(*KEYS, "k", F.col("layer").alias("label"))
-    samples = keep(samples.join(found, [*KEYS, "k"]))
+    points = samples.select(*KEYS, "k", "arc", F.col("px").alias("qx"), F.col("py").alias("qy"))
+    samples = keep(spans.points_in(points, where, KEYS, ["k", "arc"]).withColumnRenamed("layer", "label"))
     joined = results.ends_joined(samples, KEYS).select(*KEYS, "joined")
     order = results.line_order(samples, KEYS)
     size = labelled.groupBy(*KEYS, "label").agg(F.sum(F.col("x1") - F.col("x0")).alias("n"), *((F.sum((F.col("x1") - F.col("x0")) * v) / F.sum(F.col("x1") - F.col("x0")) + 0.5).alias(q) for v, q in (((F.col("x0") + F.col("x1") - 1) / 2, "qx"), (F.col("y"), "qy"))))
-    beside = polyline.nearest(segs, size.join(order, [*KEYS, "label"], "left_anti"), KEYS, ["label"]).select(*KEYS, "label", F.col("arc").alias("order_arc"))
+    beside = polyline.nearest(segs, size.join(order, [*KEYS, "label"], "left_anti"), KEYS, ["label"], most_sides).select(*KEYS, "label", F.col("arc").alias("order_arc"))
     ordered = order.unionByName(beside).join(joined, KEYS, "left").withColumn("joined", F.coalesce("joined", F.lit(False)))
     ordered = results.labelled(ordered, KEYS, F.col("joined"))
 
-    walked = keep(clip.stretches(lines, KEYS))
     marked = keep(clip.clipped(lines, labelled, KEYS))
     across, down = (F.col("x2") - F.col("x")) * F.col("px_w"), (F.col("y2") - F.col("y")) * F.col("px_h")
-    scaled = lambda rows: rows.join(scale, "section_id").withColumn("step_len", F.sqrt(across * across + down * down) / F.col("n"))
-    within = clip.length_by_label(scaled(marked), KEYS)
+    size_of = F.sqrt(across * across + down * down)
+    within = clip.length_by_label(marked.join(scale, "section_id").withColumn("step_len", size_of / F.col("n")), KEYS)
     pixel = F.col("px_w") * F.col("px_h")
     parts = ordered.join(section_areas(cells, labelled, KEYS), [*KEYS, "label"], "left").join(within, [*KEYS, "label"], "left").join(scale, "section_id")
     parts = keep(parts.select(*KEYS, "ord", "name", "label", *((F.coalesce(c, F.lit(0)) * pixel).alias(c) for c in ("granular", "molecular")), F.coalesce("length", F.lit(0.0)).alias("purkinje")))
-    whole = scaled(walked).groupBy(*KEYS).agg(F.sum(clip.steps() * F.col("step_len")).alias("purkinje_len"))
-    visited = clip.pixels_visited(walked, KEYS)
+    whole = segs.join(scale, "section_id").groupBy(*KEYS).agg(F.sum(size_of).alias("purkinje_len"))
+    visited = clip.pixels_visited(clip.stretches(lines, KEYS), KEYS)
     pieces = good.select(*KEYS).distinct()
     totals = pieces.join(spans.layer_pixels(cells, KEYS), KEYS, "left").join(whole, KEYS, "left").join(visited, KEYS, "left").join(joined, KEYS, "left").join(scale, "section_id")
     area = lambda c: (F.coalesce(c, F.lit(0)) * pixel).alias("cerebellum" if c == "cb" else c)

@@ -59,7 +59,7 @@ def _region(name: str, pinched: bool) -> Column:
 
 
 def phantoms(spark: SparkSession, n: int, what: Phantom = Phantom(), prefix: str = "p") -> tuple[DataFrame, DataFrame]:
-    """(sections, rois) of ``n`` equal images; rings are built where the rows are."""
+    """(sections, rois) of ``n`` equal images."""
     ids = spark.range(n).select(F.concat(F.lit(prefix), F.col("id").cast("string")).alias("section_id"))
     sections = ids.select("section_id", F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), F.lit(what.pixel).alias("px_w"), F.lit(what.pixel).alias("px_h"), F.lit(what.unit).alias("unit"), F.concat("section_id", F.lit(".tif")).alias("title"), F.lit(None).cast("string").alias("file"))
     rows = [(name, "POLYGON", _region(name, what.pinched)) for name in ("CB", "GL+WM", "WM")]
@@ -74,5 +74,6 @@ def phantoms(spark: SparkSession, n: int, what: Phantom = Phantom(), prefix: str
     if what.base_fissure:
         rows.append((f"FL{what.fissures + 1}", "POLYLINE", F.array(_at(outer, F.lit(90.0)), _at(inner, F.lit(90.0)))))
     each = F.array(*(F.struct(F.lit(i).alias("roi_idx"), F.lit(name).alias("name"), F.lit(kind).alias("kind"), F.array(ring).alias("rings")) for i, (name, kind, ring) in enumerate(rows)))
-    rois = ids.select("section_id", F.explode(each).alias("r")).select("section_id", "r.roi_idx", "r.name", "r.kind", F.lit(None).cast("map<string,string>").alias("props"), "r.rings")
+    drawn = F.broadcast(spark.range(1).select(each.alias("each")))  # once, as all images are equal
+    rois = ids.crossJoin(drawn).select("section_id", F.explode("each").alias("r")).select("section_id", "r.roi_idx", "r.name", "r.kind", F.lit(None).cast("map<string,string>").alias("props"), "r.rings")
     return sections, rois

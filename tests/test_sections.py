@@ -10,8 +10,9 @@ from xml.etree import ElementTree
 import pytest
 from pyspark.sql import functions as F
 
-from foliometry.operators import report, results
-from foliometry.plans.analyze import KEYS, analyze, combine
+from foliometry.operators import clip, polyline, report, results
+from foliometry.plans.analyze import KEYS, _most_sides, analyze, combine
+from foliometry.plans.store import Scratch
 from foliometry.sources import sinks, tables
 from foliometry.sources.files import folder_name
 from foliometry.sources.phantom import Phantom, phantoms
@@ -243,3 +244,22 @@ def test_rows_that_few_keys_grow_to_are_not_broadcast(spark):
     suppliers = spark.read.parquet("/root/testdata/sf0.001/supplier.parquet")
     joined = tables.cuts_of(suppliers).join(tables.octagons_of(suppliers).drop("rings"), "section_id")
     assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_plan_walks_and_counts_what_it_needs_once(spark, monkeypatch):
+    """One query counts the sides for all calls of nearest, the stretches are read by one only, and samples are placed once."""
+    counted, walked, placed = [], [], []
+    for module, name, seen in ((polyline, "nearest", counted), (clip, "stretches", walked), (polyline, "points_at", placed)):
+        plain = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, plain=plain, seen=seen, **k: seen.append((a, k)) or plain(*a, **k))
+    images, rois = phantoms(spark, 2)
+    kept = []
+    with Scratch(spark) as scratch:
+        got = analyze(rois, images, lambda df: kept.append(df) or scratch(df))
+        assert got.parts.count() == 16
+        assert len(counted) == 5 and all(a[-1] is None for a, _ in counted) and len(walked) == 1
+        samples = [df for df in kept if {"k", "arc", "label"} <= set(df.columns)]
+        assert len(samples) == 1 and samples[0]._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+        assert not any({"s0", "row"} <= set(df.columns) for df in kept)
+        monkeypatch.setattr(polyline, "KERNEL_SIDES", 700)  # outlines beyond the bound are told
+        assert _most_sides(got.good) == 700
